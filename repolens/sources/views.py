@@ -211,3 +211,59 @@ def v_code(t: Tables) -> DataFrame:
         F.lit("    return x"), nl)
     return t.part.select("p_partkey", F.concat(F.lit("pkg/c"), _s(k), F.lit(".py")).alias("path"),
                          content.alias("content"))
+
+
+def v_event_lines(t: Tables) -> DataFrame:
+    """Server-sent event lines of every assistant response, derived from the
+    40-character fragments of ``v_chunks``: ``response_id, line_no, line``.
+
+    Per response with ``n`` fragments: line 0 is a keep-alive comment; lines
+    1..n carry the content deltas; when ``response_id % 3 = 0`` lines n+1 and
+    n+2 stream one tool call in two pieces and, when ``response_id % 6 = 0``,
+    line n+3 a second call; line n+4 is a partial usage record, line n+5 the
+    final usage, line n+6 a malformed payload and line n+7 the end marker.
+    """
+    ch = v_chunks(t)
+    n = ch.groupBy("response_id").agg(F.max("seq").alias("n"))
+    rid = F.col("response_id")
+
+    def line(obj):
+        return F.concat(F.lit("data: "), F.to_json(obj))
+
+    def choice(delta):
+        return F.struct(F.array(F.struct(F.lit(0).alias("index"), delta.alias("delta"))).alias("choices"))
+
+    def tool(index, name, args, id_=None):
+        fields = [F.lit(index).alias("index")]
+        if id_ is not None:
+            fields.append(id_.alias("id"))
+        fields.append(F.struct(F.lit(name).alias("name"), args.alias("arguments")).alias("function"))
+        return choice(F.struct(F.array(F.struct(*fields)).alias("tool_calls")))
+
+    def usage(p, c):
+        return F.struct(F.array().cast("array<string>").alias("choices"),
+                        F.struct(p.alias("prompt_tokens"), c.alias("completion_tokens")).alias("usage"))
+
+    content = ch.select("response_id", F.col("seq").alias("line_no"),
+                        line(choice(F.struct(F.col("frag").alias("content")))).alias("line"))
+    base = n.select("response_id", "n")
+    keep_alive = base.select("response_id", F.lit(0).cast("bigint").alias("line_no"), F.lit(": keep-alive").alias("line"))
+    t1 = base.where(rid % 3 == 0).select(
+        "response_id", (F.col("n") + 1).alias("line_no"),
+        line(tool(0, "read_", F.lit('{"filepath": '), F.concat(F.lit("call_"), rid.cast("string")))).alias("line"))
+    t2 = base.where(rid % 3 == 0).select(
+        "response_id", (F.col("n") + 2).alias("line_no"),
+        line(tool(0, "file", F.concat(F.lit('"p'), rid.cast("string"), F.lit('.py"}')))).alias("line"))
+    t3 = base.where(rid % 6 == 0).select(
+        "response_id", (F.col("n") + 3).alias("line_no"),
+        line(tool(1, "list_files", F.lit("{}"), F.concat(F.lit("call_"), rid.cast("string"), F.lit("_b")))).alias("line"))
+    u1 = base.select("response_id", (F.col("n") + 4).alias("line_no"),
+                     line(usage(F.lit(5).cast("bigint"), F.lit(0).cast("bigint"))).alias("line"))
+    u2 = base.select("response_id", (F.col("n") + 5).alias("line_no"),
+                     line(usage((rid % 7) * 10, F.col("n"))).alias("line"))
+    bad = base.select("response_id", (F.col("n") + 6).alias("line_no"), F.lit('data: {"choices": [').alias("line"))
+    done = base.select("response_id", (F.col("n") + 7).alias("line_no"), F.lit("data: [DONE]").alias("line"))
+    out = content
+    for part in (keep_alive, t1, t2, t3, u1, u2, bad, done):
+        out = out.unionByName(part)
+    return out
