@@ -47,16 +47,37 @@ def _norm(v):
     return v
 
 
+def _family(t: str) -> str:
+    t = t.lower()
+    if any(k in t for k in ("bigint", "int", "long", "short", "byte", "hugeint")) and "interval" not in t:
+        return "int"
+    if any(k in t for k in ("double", "float", "decimal", "real")):
+        return "float"
+    if any(k in t for k in ("string", "varchar")):
+        return "string"
+    if "bool" in t:
+        return "bool"
+    if "timestamp" in t or "date" in t:
+        return "time"
+    return t
+
+
 def compare(spark_df, sql: str, sf_dir: str) -> dict:
     con = duck(sf_dir)
     rel = con.sql(sql)
     dcols = list(rel.columns)
+    dtypes = dict(zip(dcols, [str(t) for t in rel.types]))
+    stypes = {f.name: f.dataType.simpleString() for f in spark_df.schema.fields}
     drows = rel.fetchall()
     scols = spark_df.columns
     srows = [tuple(r) for r in spark_df.collect()]
     out = {"spark_rows": len(srows), "oracle_rows": len(drows),
            "spark_cols": sorted(scols), "oracle_cols": sorted(dcols)}
     out["cols_match"] = sorted(scols) == sorted(dcols)
+    if out["cols_match"]:
+        bad = {c: (stypes[c], dtypes[c]) for c in scols if _family(stypes[c]) != _family(dtypes[c])}
+        if bad:
+            out["type_mismatch"] = bad
     if not out["cols_match"]:
         out["match"] = False
         return out
