@@ -22,16 +22,17 @@ MAX_DIFF_CHARS = 2000
 TRUNCATION_MARKER = "\n... (truncated for brevity)"
 # Characters that end a line for Python's str.splitlines().
 _LINE_BREAKS = r"\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
-# Python's str.strip() whitespace: Unicode White_Space plus the four
-# information separators \x1c-\x1f.
-_WS = r"[\s\u001c\u001d\u001e\u001f]"
+# Python's str.strip() whitespace: every character for which str.isspace()
+# holds (all lie below U+3001).
+PY_WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+_WS = "[" + "".join(f"\\u{ord(c):04x}" for c in PY_WHITESPACE) + "]"
 # Letters, digits and underscore, as Python's Unicode ``\w``.
 WORD_CLASS = r"\p{L}\p{N}_"
 
 
 def py_strip(c) -> Column:
     """Python ``str.strip()`` (Spark's ``trim`` strips spaces only)."""
-    return F.regexp_replace(col(c), rf"(?U)^{_WS}+|{_WS}+$", "")
+    return F.regexp_replace(col(c), rf"^{_WS}+|{_WS}+$", "")
 
 
 def is_safe_path(path) -> Column:
@@ -39,11 +40,22 @@ def is_safe_path(path) -> Column:
     return ~F.contains(col(path), F.lit(".env"))
 
 
+def _is_word_char(ch: str) -> bool:
+    return ch.isalnum() or ch == "_"
+
+
 def command_word_pattern(words=None) -> str:
+    """Whole-word alternation with Python's Unicode ``\\b`` semantics spelled
+    out as lookarounds over ``[\\p{L}\\p{N}_]`` (Java's ``\\b`` and ``\\w``
+    differ from Python's on non-ASCII text)."""
     words = FORBIDDEN_COMMAND_WORDS if words is None else list(words)
-    alts = "|".join(re.escape(w) for w in words)
-    # (?U): Python's \b is Unicode-aware; Java's is not without the flag.
-    return rf"(?U)\b(?:{alts})\b"
+    w = f"[{WORD_CLASS}]"
+    alts = []
+    for word in words:
+        start = f"(?<!{w})" if _is_word_char(word[0]) else f"(?<={w})"
+        end = f"(?!{w})" if _is_word_char(word[-1]) else f"(?={w})"
+        alts.append(start + re.escape(word) + end)
+    return "|".join(alts)
 
 
 def is_safe_command(text, words=None) -> Column:

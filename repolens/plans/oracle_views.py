@@ -173,6 +173,14 @@ def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
     names = _needed(sql + " ".join((extra or {}).values()))
     ctes = [f"{n} AS (\n{VIEWS[n]}\n)" for n in names]
     ctes += [f"{n} AS (\n{body.strip()}\n)" for n, body in (extra or {}).items()]
+    body = sql.strip()
     if not ctes:
-        return sql.strip()
-    return "WITH " + ",\n".join(ctes) + "\n" + sql.strip()
+        return body
+    head = "WITH "
+    m = re.match(r"(?is)^with\s+(recursive\s+)?", body)
+    if m:
+        # Merge with the statement's own CTE list (keeping RECURSIVE).
+        if m.group(1):
+            head = "WITH RECURSIVE "
+        return head + ",\n".join(ctes) + ",\n" + body[m.end():]
+    return head + ",\n".join(ctes) + "\n" + body
