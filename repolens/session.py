@@ -52,3 +52,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return spark.sparkContext.getCheckpointDir() or d
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``repolens`` importable on executors (Python workers run the
+    ``mapInPandas`` steps).  Zips the package once per SparkContext and adds
+    it with ``addPyFile`` -- the programmatic form of ``--py-files``."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_repolens_shipped", False):
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    out = os.path.join(tempfile.mkdtemp(prefix="repolens-pyfiles-"), "repolens.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg):
+            if "__pycache__" in d:
+                continue
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    sc._repolens_shipped = True

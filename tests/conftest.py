@@ -24,7 +24,8 @@ def spark():
          .config("spark.driver.memory", "8g")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
-    from repolens.session import ensure_checkpoint_dir
+    from repolens.session import ensure_checkpoint_dir, ship_package
 
     ensure_checkpoint_dir(s)
+    ship_package(s)
     yield s
