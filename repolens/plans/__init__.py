@@ -1,5 +1,5 @@
 """Registered queries: each builds its plan from the driver tables with the
 operators of this package; ``ORACLE`` holds the DuckDB twin statements."""
 
-from . import audit_plans, corpus_plans, response_plans, session_plans, summary_plans  # noqa: F401
+from . import audit_plans, corpus_plans, graph_plans, response_plans, session_plans, summary_plans  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
