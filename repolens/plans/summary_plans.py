@@ -122,3 +122,16 @@ def q_summarize_change_sets(spark, sf_dir):
     d = V.v_diffs(Tables(spark, sf_dir))
     out = SM.summarize_change_sets(d, demo_summarizer, demo_coordinator)
     return out.select("change_set", "message", "n_batches", "n_failed")
+
+
+@register("render_prompt", f"""
+SELECT change_set, pos,
+       replace({_lit(SM.FILE_PROMPT)}, '{{diff}}',
+               CASE WHEN length(diff) > 2000 THEN substr(diff, 1, 2000) || chr(10) || '... (truncated for brevity)'
+                    ELSE diff END) AS prompt
+FROM v_diffs""")
+def q_render_prompt(spark, sf_dir):
+    from ..functions.text import render_template, truncate_text
+
+    d = V.v_diffs(Tables(spark, sf_dir))
+    return d.select("change_set", "pos", render_template(SM.FILE_PROMPT, diff=truncate_text("diff")).alias("prompt"))
