@@ -31,8 +31,9 @@ WORD_CLASS = r"\p{L}\p{N}_"
 
 
 def py_strip(c) -> Column:
-    """Python ``str.strip()`` (Spark's ``trim`` strips spaces only)."""
-    return F.regexp_replace(col(c), rf"^{_WS}+|{_WS}+$", "")
+    """Python ``str.strip()`` (Spark's ``trim`` strips spaces only):
+    ``btrim`` with the exact whitespace set, no regex."""
+    return F.btrim(col(c), F.lit(PY_WHITESPACE))
 
 
 def is_safe_path(path) -> Column:

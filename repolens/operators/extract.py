@@ -135,7 +135,7 @@ def extract_structure(files: DataFrame, path_col: str = "path", content_col: str
     return src.mapInPandas(_structure_batches, STRUCTURE_SCHEMA)
 
 
-def _function_rows(path, text):
+def _function_rows(path, text, with_code=True):
     tree = _parse(text)
     if tree is None:
         return []
@@ -147,32 +147,38 @@ def _function_rows(path, text):
             depth[id(child)] = depth.get(id(node), 0) + (1 if isinstance(
                 node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) else 0)
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            try:
-                code = ast.unparse(node)
-            except Exception:  # noqa: BLE001
-                code = None
+            code = None
+            if with_code:
+                try:
+                    code = ast.unparse(node)
+                except Exception:  # noqa: BLE001
+                    code = None
             rows.append((path, i, node.name, isinstance(node, ast.AsyncFunctionDef), depth.get(id(node), 0),
                          node.lineno, bool(ast.get_docstring(node)), code))
     return rows
 
 
-def _function_batches(it):
+def _function_batches(with_code):
     cols = ["path", "bfs_pos", "name", "is_async", "depth", "lineno", "has_docstring", "code"]
-    for pdf in it:
-        rows = []
-        for path, text in zip(pdf["path"], pdf["content"]):
-            rows.extend(_function_rows(path, text if text is not None else ""))
-        out = pd.DataFrame(rows, columns=cols)
-        for c in ("bfs_pos", "depth", "lineno"):
-            out[c] = out[c].astype("int32")
-        yield out
+
+    def run(it):
+        for pdf in it:
+            rows = []
+            for path, text in zip(pdf["path"], pdf["content"]):
+                rows.extend(_function_rows(path, text if text is not None else "", with_code))
+            out = pd.DataFrame(rows, columns=cols)
+            for c in ("bfs_pos", "depth", "lineno"):
+                out[c] = out[c].astype("int32")
+            yield out
+    return run
 
 
-def extract_functions(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
+def extract_functions(files: DataFrame, path_col: str = "path", content_col: str = "content",
+                      with_code: bool = True) -> DataFrame:
     """Every function (sync and async, any depth) with its breadth-first
-    position, docstring flag and re-rendered source."""
+    position, docstring flag and (``with_code``) re-rendered source."""
     src = files.select(F.col(path_col).alias("path"), F.col(content_col).alias("content"))
-    return src.mapInPandas(_function_batches, FUNCTIONS_SCHEMA)
+    return src.mapInPandas(_function_batches(with_code), FUNCTIONS_SCHEMA)
 
 
 def find_function(files: DataFrame, requests: DataFrame, path_col: str = "path",
@@ -195,7 +201,7 @@ def find_function(files: DataFrame, requests: DataFrame, path_col: str = "path",
 def docstring_coverage(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
     """U4: per file, functions (all depths, sync and async) and how many lack
     a docstring (an empty docstring counts as missing)."""
-    fns = extract_functions(files, path_col, content_col)
+    fns = extract_functions(files, path_col, content_col, with_code=False)
     agg = fns.groupBy("path").agg(F.count("*").alias("n_functions"),
                                   F.count_if(~F.col("has_docstring")).alias("n_missing"))
     return agg.withColumn("missing_ratio", F.col("n_missing") / F.col("n_functions"))

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
-from .ordered import ordered_concat
 
 # Fixed values that must equal the reference's behaviour.
 DATA_PREFIX = "data: "
@@ -133,8 +132,19 @@ def assemble_responses(lines: DataFrame, key: str = "response_id", order: str =
     Output ``key, content, tool_calls ARRAY<STRUCT<index,id,name,arguments>>``.
     """
     p = chunk_fields(event_line_source(lines, key, order, line_col))
-    frags = p.where(F.col("content").isNotNull() & (F.col("content") != "")).select(key, order, "content")
-    content = ordered_concat(frags, [key], order, "content", out_col="content")
+    # Content: one two-level ordered fold over every valid chunk, so the
+    # response keys come out of the same pass (chunks are parsed once for
+    # this branch and once for the tool-call branch below).
+    c = p.select(key, order, F.when(F.col("content") != "", F.col("content")).alias("content"))
+    arr = lambda: F.array_sort(F.collect_list(F.when(F.col("content").isNotNull(),
+                                                     F.struct(F.col(order).alias("o"), F.col("content").alias("t")))))
+    lvl1 = (c.groupBy(key, F.floor(F.col(order) / 4096).alias("_b"))
+            .agg(F.min(order).alias("_o"), F.array_join(F.transform(arr(), lambda x: x["t"]), "").alias("_t"),
+                 F.count("content").alias("_n")))
+    lvl2 = lvl1.groupBy(key).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_t"))), lambda x: x["_t"]), "")
+        .alias("content"), F.sum("_n").alias("_n"))
+    content = lvl2.select(key, F.when(F.col("_n") > 0, F.col("content")).alias("content"))
 
     d = p.where(F.col("tool_deltas").isNotNull()).select(key, order, F.posexplode("tool_deltas").alias("pos", "tc"))
     d = d.select(key, (F.col(order) * 1_000_000 + F.col("pos")).alias("o"),
@@ -153,9 +163,7 @@ def assemble_responses(lines: DataFrame, key: str = "response_id", order: str =
     calls = calls.groupBy(key).agg(F.array_sort(F.collect_list(
         F.struct("first", F.col("idx").alias("index"), "id", "name", "arguments"))).alias("tc"))
     calls = calls.select(key, F.transform("tc", lambda x: x.dropFields("first")).alias("tool_calls"))
-    keys = p.select(key).distinct()
-    return (keys.join(content, key, "left").join(calls, key, "left")
-            .select(key, "content", "tool_calls"))
+    return content.join(calls, key, "left").select(key, "content", "tool_calls")
 
 
 def iteration_limit_audit(rounds: DataFrame, run_col: str = "run", order_col: str = "ts",

@@ -121,7 +121,9 @@ WHERE u.repo IN (SELECT repo_id FROM v_manifests)
 
 def _code_audit(t: Tables):
     code = V.v_code(t).withColumn("repo", F.col("p_partkey"))
-    refs = extract.extract_refs(code, keys=["repo", "path"])
+    # The Python extraction feeds two branches (classification of distinct
+    # names, and the used names per repo): materialise it once, reliably.
+    refs = extract.extract_refs(code, keys=["repo", "path"]).checkpoint(eager=True)
     external = audit.classify_refs(refs, V.v_dists(t))
     used = audit.used_install_names(refs.join(external.select("ref"), "ref", "left_semi"))
     man = V.v_manifests(t)

@@ -246,24 +246,22 @@ def v_event_lines(t: Tables) -> DataFrame:
 
     content = ch.select("response_id", F.col("seq").alias("line_no"),
                         line(choice(F.struct(F.col("frag").alias("content")))).alias("line"))
-    base = n.select("response_id", "n")
-    keep_alive = base.select("response_id", F.lit(0).cast("bigint").alias("line_no"), F.lit(": keep-alive").alias("line"))
-    t1 = base.where(rid % 3 == 0).select(
-        "response_id", (F.col("n") + 1).alias("line_no"),
-        line(tool(0, "read_", F.lit('{"filepath": '), F.concat(F.lit("call_"), rid.cast("string")))).alias("line"))
-    t2 = base.where(rid % 3 == 0).select(
-        "response_id", (F.col("n") + 2).alias("line_no"),
-        line(tool(0, "file", F.concat(F.lit('"p'), rid.cast("string"), F.lit('.py"}')))).alias("line"))
-    t3 = base.where(rid % 6 == 0).select(
-        "response_id", (F.col("n") + 3).alias("line_no"),
-        line(tool(1, "list_files", F.lit("{}"), F.concat(F.lit("call_"), rid.cast("string"), F.lit("_b")))).alias("line"))
-    u1 = base.select("response_id", (F.col("n") + 4).alias("line_no"),
-                     line(usage(F.lit(5).cast("bigint"), F.lit(0).cast("bigint"))).alias("line"))
-    u2 = base.select("response_id", (F.col("n") + 5).alias("line_no"),
-                     line(usage((rid % 7) * 10, F.col("n"))).alias("line"))
-    bad = base.select("response_id", (F.col("n") + 6).alias("line_no"), F.lit('data: {"choices": [').alias("line"))
-    done = base.select("response_id", (F.col("n") + 7).alias("line_no"), F.lit("data: [DONE]").alias("line"))
-    out = content
-    for part in (keep_alive, t1, t2, t3, u1, u2, bad, done):
-        out = out.unionByName(part)
-    return out
+    n1 = F.col("n")
+
+    def at(offset, text, cond=None):
+        s = F.struct((n1 + offset).cast("bigint").alias("line_no"), text.alias("line"))
+        return s if cond is None else F.when(cond, s)
+
+    tail = F.array(
+        F.struct(F.lit(0).cast("bigint").alias("line_no"), F.lit(": keep-alive").alias("line")),
+        at(1, line(tool(0, "read_", F.lit('{"filepath": '), F.concat(F.lit("call_"), rid.cast("string")))), rid % 3 == 0),
+        at(2, line(tool(0, "file", F.concat(F.lit('"p'), rid.cast("string"), F.lit('.py"}')))), rid % 3 == 0),
+        at(3, line(tool(1, "list_files", F.lit("{}"), F.concat(F.lit("call_"), rid.cast("string"), F.lit("_b")))),
+           rid % 6 == 0),
+        at(4, line(usage(F.lit(5).cast("bigint"), F.lit(0).cast("bigint")))),
+        at(5, line(usage((rid % 7) * 10, n1))),
+        at(6, F.lit('data: {"choices": [')),
+        at(7, F.lit("data: [DONE]")))
+    extra = (n.select("response_id", F.explode(tail).alias("x")).where(F.col("x").isNotNull())
+             .select("response_id", "x.line_no", "x.line"))
+    return content.unionByName(extra)
