@@ -59,8 +59,10 @@ def _refs_batches(keys):
                 for r in sorted(_top_level_refs(tree)):
                     idx.append(i)
                     refs.append(r)
+            if not idx:
+                continue  # an empty batch would not serialise as Arrow
             out = pdf[keys].iloc[idx].reset_index(drop=True)
-            out["ref"] = refs
+            out["ref"] = pd.Series(refs, dtype="object")
             yield out
     return run
 
@@ -120,6 +122,8 @@ def _structure_batches(it):
         rows = []
         for path, text in zip(pdf["path"], pdf["content"]):
             rows.extend(_structure_rows(path, text if text is not None else ""))
+        if not rows:
+            continue
         out = pd.DataFrame(rows, columns=cols)
         out["pos"] = out["pos"].astype("int32")
         out["lineno"] = out["lineno"].astype("Int32")
@@ -166,6 +170,8 @@ def _function_batches(with_code):
             rows = []
             for path, text in zip(pdf["path"], pdf["content"]):
                 rows.extend(_function_rows(path, text if text is not None else "", with_code))
+            if not rows:
+                continue
             out = pd.DataFrame(rows, columns=cols)
             for c in ("bfs_pos", "depth", "lineno"):
                 out[c] = out[c].astype("int32")

@@ -47,6 +47,12 @@ def read_corpus(spark: SparkSession, root: str, glob: str | None = None) -> Data
     ``repo`` is the first directory below ``root``; ``path`` is relative to
     the repo.  ``glob`` (e.g. ``*.py``) is applied by the file listing
     itself, before any bytes are read.
+
+    Spark's file listing skips names starting with ``_`` or ``.`` (it treats
+    them as metadata/hidden), so ``__init__.py`` and dot-files never appear
+    here.  The default scan filter drops ``__init__.py`` anyway; a corpus
+    that needs such files must come in as a ``(repo, path, content)`` table
+    produced by another listing.
     """
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
