@@ -32,10 +32,11 @@ STDLIB_COMMON = [
     "readline", "textwrap", "bisect", "contextlib", "glob", "heapq", "weakref",
     "webbrowser", "winreg", "xml", "xmlrpc", "zipfile", "zlib",
 ]
-# Declared packages that are build/dev tools and never count as unused.
-TOOL_ONLY = ["setuptools", "wheel", "twine", "black", "pytest-mock", "sarathi", "tomllib", "pip"]
-# Used names never reported as undeclared (the project itself and setuptools).
-SELF_NAMES = ["sarathi", "setuptools"]
+# Declared packages that are build/dev tools and never count as unused (the
+# project's own name, read from its manifest, is excluded as well).
+TOOL_ONLY = ["setuptools", "wheel", "twine", "black", "pytest-mock", "tomllib", "pip"]
+# Used names never reported as undeclared (besides the project's own name).
+SELF_NAMES = ["setuptools"]
 # License values that count as missing (compared lower-cased).
 UNKNOWN_LICENSES = ["unknown", "n/a", ""]
 # Package whose license defaults to MIT when nothing else is known.

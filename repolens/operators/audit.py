@@ -119,12 +119,14 @@ def used_install_names(external_refs: DataFrame, aliases: dict | None = None) ->
 
 
 def integrity_check(declared: DataFrame, used: DataFrame, repos: DataFrame | None = None, tool_only=None,
-                    stdlib=None, self_names=None) -> DataFrame:
+                    stdlib=None, self_names=None, project_names: DataFrame | None = None) -> DataFrame:
     """Per repository, ``unused`` = declared - used - tool list and
     ``undeclared`` = used - declared - stdlib list - project names, compared
     on normalized install names.  Repositories without a manifest (absent from
     ``repos``, default: those with a declared name) get no report; a manifest
-    that declares nothing still gets one.  Output ``repo, kind, name``."""
+    that declares nothing still gets one.  A repository's own project name
+    (``project_names``: ``repo, name``, e.g. from ``extract.extract_project_name``)
+    is never reported either way.  Output ``repo, kind, name``."""
     tool_only = TOOL_ONLY if tool_only is None else list(tool_only)
     stdlib = STDLIB_COMMON if stdlib is None else list(stdlib)
     self_names = SELF_NAMES if self_names is None else list(self_names)
@@ -136,7 +138,10 @@ def integrity_check(declared: DataFrame, used: DataFrame, repos: DataFrame | Non
     undeclared = (use.join(dec, ["repo", "name"], "left_anti")
                   .where(~F.col("name").isin(*(stdlib + self_names)))
                   .withColumn("kind", F.lit("undeclared")))
-    return unused.unionByName(undeclared).select("repo", "kind", "name")
+    out = unused.unionByName(undeclared).select("repo", "kind", "name")
+    if project_names is not None:
+        out = out.join(project_names.select("repo", "name").distinct(), ["repo", "name"], "left_anti")
+    return out
 
 
 def integrity_counts(report: DataFrame) -> DataFrame:

@@ -232,3 +232,11 @@ def extract_declared(manifests: DataFrame, repo_col: str = "repo_id", text_col:
     name = requirement_name("item")
     return (raw.select("repo", normalize_name(name, strip_extras=False).alias("name"))
             .where(F.col("name").isNotNull()).distinct())
+
+
+def extract_project_name(manifests: DataFrame, repo_col: str = "repo_id", text_col: str = "manifest") -> DataFrame:
+    """The project's own (normalized) name from a manifest's first
+    ``name = "..."`` line: ``repo, name``."""
+    n = F.regexp_extract(F.col(text_col), r"(?m)^name\s*=\s*[\"']([^\"']+)[\"']", 1)
+    return (manifests.select(F.col(repo_col).alias("repo"), normalize_name(n, strip_extras=False).alias("name"))
+            .where(F.col("name") != ""))

@@ -128,7 +128,8 @@ def _code_audit(t: Tables):
     used = audit.used_install_names(refs.join(external.select("ref"), "ref", "left_semi"))
     man = V.v_manifests(t)
     declared = extract.extract_declared(man)
-    report = audit.integrity_check(declared, used, repos=man.select(F.col("repo_id").alias("repo")))
+    report = audit.integrity_check(declared, used, repos=man.select(F.col("repo_id").alias("repo")),
+                                   project_names=extract.extract_project_name(man))
     return code, refs, external, report
 
 

@@ -21,12 +21,14 @@ from ..functions.text import is_safe_path
 # Default scan filters: file-name endings and whole file names to skip.
 DEFAULT_IGNORE_EXTENSIONS = [".pycache", ".pyc", ".pyo"]
 DEFAULT_IGNORE_FILES = ["__init__.py"]
+# The tool's own state directory (pruned by the walkers like ``.git``).
+TOOL_STATE_DIR = ".repolens"
 # Directory names pruned by each walker.
 AUDIT_IGNORE_DIRS = [".venv", "venv", "env", "site-packages", "node_modules", ".git", "__pycache__",
-                     ".sarathi", "conda-meta", "lib", "bin", "include", "share", "pkgs"]
+                     TOOL_STATE_DIR, "conda-meta", "lib", "bin", "include", "share", "pkgs"]
 SOURCE_FINDER_IGNORE_DIRS = [".git", "__pycache__", "venv", ".venv", "node_modules"]
 OVERVIEW_IGNORE_DIRS = [".git", "__pycache__", "venv", ".venv", "node_modules", ".pytest_cache"]
-MENTION_IGNORE_DIRS = [".git", "__pycache__", "venv", ".venv", "node_modules", ".sarathi", ".pytest_cache",
+MENTION_IGNORE_DIRS = [".git", "__pycache__", "venv", ".venv", "node_modules", TOOL_STATE_DIR, ".pytest_cache",
                        ".idea", ".vscode", "build", ".github"]
 MENTION_IGNORE_EXTENSIONS = [".pyc", ".pyo", ".pyd", ".so", ".dll", ".exe", ".DS_Store", ".o", ".bin"]
 # Error texts of the file reader.

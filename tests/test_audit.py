@@ -71,3 +71,10 @@ def test_installed_edges(spark):
                                 "p_partkey bigint, pos int, requirement string")
     dists = spark.createDataFrame([("foo_bar",)], "name string")
     assert [(r.pkg, r.dep) for r in A.installed_edges(req, dists).collect()] == [(1, "foo-bar")]
+
+
+def test_project_own_name_not_reported(spark):
+    declared = spark.createDataFrame([("p", "my-tool"), ("p", "httpx")], "repo string, name string")
+    used = spark.createDataFrame([("p", "httpx"), ("p", "my-tool-x")], "repo string, name string")
+    own = spark.createDataFrame([("p", "my-tool"), ("p", "my-tool-x")], "repo string, name string")
+    assert A.integrity_check(declared, used, project_names=own).count() == 0

@@ -35,11 +35,11 @@ def _files(spark, rows):
 
 
 def test_extract_refs(spark):
-    f = _files(spark, [("a.py", "import os\nimport httpx\nfrom yaml import load\nimport sarathi.cli"),
+    f = _files(spark, [("a.py", "import os\nimport httpx\nfrom yaml import load\nimport mypkg.cli"),
                        ("b.py", "from . import x\nfrom .y import z\nif True:\n    import json"),
                        ("c.py", "def broken(:\n")])
     got = sorted((r.path, r.ref) for r in E.extract_refs(f).collect())
-    assert got == [("a.py", "httpx"), ("a.py", "os"), ("a.py", "sarathi"), ("a.py", "yaml"), ("b.py", "json")]
+    assert got == [("a.py", "httpx"), ("a.py", "mypkg"), ("a.py", "os"), ("a.py", "yaml"), ("b.py", "json")]
 
 
 def test_extract_refs_carries_keys(spark):
@@ -87,3 +87,9 @@ def test_extract_declared(spark):
     got = sorted((r.repo, r.name) for r in E.extract_declared(man).collect())
     # repo 2: the block stops at the first "]" (inside x[y]), dev keeps double-quoted items only
     assert got == [(1, "httpx"), (1, "unused-lib"), (2, "foo-bar"), (2, "pytest")]
+
+
+def test_extract_project_name(spark):
+    man = spark.createDataFrame([(1, '[project]\nname = "My_Tool"\ndependencies = []'), (2, "x = 1")],
+                                "repo_id bigint, manifest string")
+    assert [(r.repo, r.name) for r in E.extract_project_name(man).collect()] == [(1, "my-tool")]
