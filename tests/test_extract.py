@@ -93,3 +93,19 @@ def test_extract_project_name(spark):
     man = spark.createDataFrame([(1, '[project]\nname = "My_Tool"\ndependencies = []'), (2, "x = 1")],
                                 "repo_id bigint, manifest string")
     assert [(r.repo, r.name) for r in E.extract_project_name(man).collect()] == [(1, "my-tool")]
+
+
+def test_sql_udtfs(spark):
+    from repolens.functions.udtf import register_udtfs
+
+    register_udtfs(spark)
+    _files(spark, [("a.py", "import os\nfrom x.y import z\n"), ("t.py", STRUCT_SRC), ("bad.py", "def (")]) \
+        .createOrReplaceTempView("udtf_files")
+    refs = spark.sql("SELECT f.path, t.ref FROM udtf_files f, LATERAL extract_refs(f.content) t").collect()
+    assert sorted((r.path, r.ref) for r in refs) == [("a.py", "os"), ("a.py", "x")]
+    st = spark.sql("SELECT t.kind, t.name, t.lineno FROM udtf_files f, LATERAL extract_structure(f.content) t "
+                   "WHERE f.path = 't.py' ORDER BY t.pos").collect()
+    assert [(r.kind, r.name, r.lineno) for r in st] == [("class", "TestClass", 2), ("function", "function", 6)]
+    fns = spark.sql("SELECT t.name, t.has_docstring FROM udtf_files f, "
+                    "LATERAL extract_functions(f.content, false) t WHERE f.path = 't.py'").collect()
+    assert sorted(r.name for r in fns) == ["function", "method"]
