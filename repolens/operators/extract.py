@@ -25,6 +25,16 @@ FUNCTIONS_SCHEMA = ("path string, bfs_pos int, name string, is_async boolean, de
                     "has_docstring boolean, code string")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a Python stage at least ``defaultParallelism`` input partitions.
+
+    A small source (one file, one row group) scans as one partition, which
+    would put every parse in one Python worker.  Large inputs already have
+    many scan partitions and are left alone (no extra shuffle of text)."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def _parse(text):
     try:
         return ast.parse(text)
@@ -76,7 +86,7 @@ def extract_refs(files: DataFrame, path_col: str = "path", content_col: str = "c
     ``repo`` column survives without a join back.
     """
     keys = list(keys or [path_col])
-    src = files.select(*keys, F.col(content_col).alias("content"))
+    src = spread(files.select(*keys, F.col(content_col).alias("content")))
     return src.mapInPandas(_refs_batches(keys), _key_schema(src, keys) + ", ref string")
 
 
@@ -135,7 +145,7 @@ def extract_structure(files: DataFrame, path_col: str = "path", content_col: str
     (with positional argument names) and imports (``module.name``; relative
     ``from . import y`` gives ``.y``), with line numbers.  A file that does
     not parse yields one ``error`` row."""
-    src = files.select(F.col(path_col).alias("path"), F.col(content_col).alias("content"))
+    src = spread(files.select(F.col(path_col).alias("path"), F.col(content_col).alias("content")))
     return src.mapInPandas(_structure_batches, STRUCTURE_SCHEMA)
 
 
@@ -183,7 +193,7 @@ def extract_functions(files: DataFrame, path_col: str = "path", content_col: str
                       with_code: bool = True) -> DataFrame:
     """Every function (sync and async, any depth) with its breadth-first
     position, docstring flag and (``with_code``) re-rendered source."""
-    src = files.select(F.col(path_col).alias("path"), F.col(content_col).alias("content"))
+    src = spread(files.select(F.col(path_col).alias("path"), F.col(content_col).alias("content")))
     return src.mapInPandas(_function_batches(with_code), FUNCTIONS_SCHEMA)
 
 
