@@ -50,8 +50,9 @@ def q_find_function(spark, sf_dir):
 
 
 @register("docstring_coverage", """
-SELECT path, 3 AS n_functions,
-       1 + CASE WHEN p_partkey % 2 = 1 THEN 1 ELSE 0 END + CASE WHEN p_partkey % 3 <> 0 THEN 1 ELSE 0 END AS n_missing,
+SELECT path, CAST(3 AS BIGINT) AS n_functions,
+       CAST(1 + CASE WHEN p_partkey % 2 = 1 THEN 1 ELSE 0 END + CASE WHEN p_partkey % 3 <> 0 THEN 1 ELSE 0 END AS BIGINT)
+         AS n_missing,
        (1 + CASE WHEN p_partkey % 2 = 1 THEN 1 ELSE 0 END + CASE WHEN p_partkey % 3 <> 0 THEN 1 ELSE 0 END) / 3.0
          AS missing_ratio
 FROM v_code""")

@@ -157,8 +157,8 @@ WITH f AS (SELECT DISTINCT '@' || path AS option FROM v_files
                      IN {sql_list(C.MENTION_IGNORE_EXTENSIONS)}),
 q AS (SELECT DISTINCT lower(lang) AS query FROM documents
       UNION SELECT lower(unnest({'[' + sql_list(EXTRA_QUERIES)[1:-1] + ']'})))
-SELECT query, row_number() OVER (PARTITION BY query ORDER BY len(string_split(option, '/')), lower(substr(option, 2)), option)
-         AS rank, option
+SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY len(string_split(option, '/')),
+                                       lower(substr(option, 2)), option) AS INTEGER) AS rank, option
 FROM q JOIN f ON contains(lower(substr(f.option, 2)), q.query)
 QUALIFY rank <= {PATH_SEARCH_K}""")
 def q_path_search(spark, sf_dir):

@@ -77,7 +77,8 @@ SELECT s.change_set, f.summaries FROM (SELECT DISTINCT change_set FROM v_diffs)
 
 
 @register("size_batches", """
-SELECT change_set, batch_no, n_items, paths, CAST(total_chars AS BIGINT) AS total_chars FROM o_batches""", _BATCH)
+SELECT change_set, batch_no, CAST(n_items AS INTEGER) AS n_items, paths, CAST(total_chars AS BIGINT) AS total_chars
+FROM o_batches""", _BATCH)
 def q_size_batches(spark, sf_dir):
     b = SM.size_batches(V.v_diffs(Tables(spark, sf_dir)))
     return b.select("change_set", "batch_no", "n_items",

@@ -62,6 +62,11 @@ def _family(t: str) -> str:
     return t
 
 
+_EXACT = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+          "timestamp": "TIMESTAMP WITH TIME ZONE", "timestamp_ntz": "TIMESTAMP", "float": "FLOAT",
+          "smallint": "SMALLINT", "tinyint": "TINYINT", "date": "DATE"}
+
+
 def compare(spark_df, sql: str, sf_dir: str) -> dict:
     con = duck(sf_dir)
     rel = con.sql(sql)
@@ -78,6 +83,9 @@ def compare(spark_df, sql: str, sf_dir: str) -> dict:
         bad = {c: (stypes[c], dtypes[c]) for c in scols if _family(stypes[c]) != _family(dtypes[c])}
         if bad:
             out["type_mismatch"] = bad
+        exact = {c: (stypes[c], dtypes[c]) for c in scols if _EXACT.get(stypes[c]) != dtypes[c]}
+        if exact:
+            out["exact_type_diff"] = exact
     if not out["cols_match"]:
         out["match"] = False
         return out
