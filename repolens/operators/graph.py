@@ -120,11 +120,15 @@ def preorder_tree(edges: DataFrame, roots: DataFrame, installed: DataFrame | Non
         cand = (labels.join(e, F.col("node") == F.col("_s"))
                 .where(~F.array_contains("label", F.col("_d")))
                 .select("root", F.col("_d").alias("node"), F.concat("label", F.array("_d")).alias("label")))
-        merged = labels.unionByName(cand).groupBy("root", "node").agg(F.min("label").alias("label"))
-        merged = _ckpt(merged)
-        changed = merged.join(labels, ["root", "node", "label"], "left_anti")
-        labels = merged
-        if changed.isEmpty():
+        # Tag where the winning label comes from: 0 = already known, 1 = new
+        # this round (ties keep the known one), so "did anything change" is a
+        # filter on the checkpointed result instead of another shuffle join.
+        both = labels.select("*", F.lit(0).alias("_new")).unionByName(cand.select("*", F.lit(1).alias("_new")))
+        best = both.groupBy("root", "node").agg(F.min(F.struct("label", "_new")).alias("b"))
+        merged = _ckpt(best.select("root", "node", F.col("b.label").alias("label"), F.col("b._new").alias("_new")))
+        changed = not merged.where(F.col("_new") == 1).isEmpty()
+        labels = merged.drop("_new")
+        if not changed:
             break
     lab = labels.alias("p")
     rows = (lab.join(e, F.col("p.node") == F.col("_s"))
