@@ -219,3 +219,27 @@ def q_coerce_typed_value(spark, sf_dir):
          .unionAll(lit))
     cols = S.coerce_typed_value("value")
     return v.select("value", *[c.alias(n) for n, c in cols.items()])
+
+
+@register("assemble_context", """
+WITH req AS (SELECT conv_id * 100 + turn AS request_id, conv_id, text AS request FROM conversations WHERE role = 'user'),
+cf AS (SELECT r.request_id, 0 AS pos, f.path FROM req r JOIN v_files f ON f.doc_id = r.conv_id
+       UNION ALL SELECT request_id, 1, 'missing/' || CAST(conv_id AS VARCHAR) || '.py' FROM req),
+b AS (SELECT cf.request_id, string_agg(chr(10) || '--- ' || cf.path || ' ---' || chr(10)
+             || coalesce(f.content, 'Error reading: [Errno 2] No such file or directory: ''' || cf.path || '''')
+             || chr(10), '' ORDER BY cf.pos) AS ctx
+      FROM cf LEFT JOIN v_files f ON f.path = cf.path GROUP BY cf.request_id)
+SELECT r.request_id, CASE WHEN b.ctx IS NOT NULL THEN r.request || chr(10) || chr(10) || 'Context files:' || chr(10) || b.ctx
+                          ELSE r.request END AS request
+FROM req r LEFT JOIN b USING (request_id)""")
+def q_assemble_context(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    files = V.v_files(t)
+    req = (t.conversations.where(F.col("role") == "user")
+           .select((F.col("conv_id") * 100 + F.col("turn")).alias("request_id"), "conv_id",
+                   F.col("text").alias("request")))
+    cf = (req.join(files.select(F.col("doc_id").alias("conv_id"), "path"), "conv_id")
+          .select("request_id", F.lit(0).alias("pos"), "path")
+          .unionByName(req.select("request_id", F.lit(1).alias("pos"),
+                                  F.concat(F.lit("missing/"), F.col("conv_id").cast("string"), F.lit(".py")).alias("path"))))
+    return C.assemble_context(req, cf, files)

@@ -203,3 +203,27 @@ def read_documents(requests: DataFrame, files: DataFrame, path_col: str = "path"
             .otherwise(F.col("_content")))
     return out.select("path", text.alias("content"),
                       (is_safe_path("path") & F.col("_hit").isNotNull()).alias("ok"))
+
+
+CONTEXT_HEADER = "\n\nContext files:\n"
+
+
+def assemble_context(requests: DataFrame, context_files: DataFrame, files: DataFrame, key_col: str = "request_id",
+                     text_col: str = "request", path_col: str = "path", content_col: str = "content") -> DataFrame:
+    """S5 (context assembly): append to each request a ``Context files:``
+    section with one ``--- path ---`` block per listed file, in list order
+    (``context_files``: ``key, pos, path``); a file that cannot be read gets
+    an error line instead of its content.  Requests without context files
+    are unchanged.  Left join to the corpus plus a two-level ordered fold."""
+    from ..operators.ordered import ordered_concat
+
+    f = files.select(F.col(path_col).alias("path"), F.col(content_col).alias("_c"))
+    cf = context_files.select(F.col(key_col).alias("_k"), "pos", "path").join(f, "path", "left")
+    err = F.concat(F.lit("Error reading: [Errno 2] No such file or directory: '"), F.col("path"), F.lit("'"))
+    block = F.concat(F.lit("\n--- "), F.col("path"), F.lit(" ---\n"), F.coalesce(F.col("_c"), err), F.lit("\n"))
+    blocks = ordered_concat(cf.select("_k", "pos", block.alias("b")), ["_k"], "pos", "b", out_col="_ctx")
+    r = requests.select(F.col(key_col).alias("_k"), F.col(text_col).alias("_t"))
+    out = r.join(blocks, "_k", "left")
+    text = F.when(F.col("_ctx").isNotNull(), F.concat(F.col("_t"), F.lit(CONTEXT_HEADER), F.col("_ctx"))) \
+        .otherwise(F.col("_t"))
+    return out.select(F.col("_k").alias(key_col), text.alias(text_col))
