@@ -23,7 +23,8 @@ SENSITIVE_TOOLS = ["write_file", "replace_file_content", "multi_replace_file_con
 ALLOW_CHOICES = ["y", "always", "session"]
 STICKY_CHOICES = ["always", "session"]
 # Context block injected for an @mention of an existing file.
-CONTEXT_HEADER = "\n--- Context from {path} ---\n"
+CONTEXT_HEADER_START = "\n--- Context from "
+CONTEXT_HEADER_END = " ---\n"
 CONTEXT_FOOTER = "\n---------------------------------\n"
 # Test-file suggestion prefix.
 TEST_PREFIX = "test_"
@@ -85,7 +86,7 @@ def inject_mentions(texts: DataFrame, files: DataFrame, key_col: str = "doc_id",
     toks = toks.withColumn("mention", F.when(F.col("tok").rlike(rf"^@[{WORD_CLASS}./-]+$"), F.substring("tok", 2, 1 << 30)))
     f = files.select(F.col(path_col).alias("mention"), F.col(content_col).alias("_c"))
     j = toks.join(f, "mention", "left")
-    block = F.concat(F.lit("\n--- Context from "), F.col("mention"), F.lit(" ---\n"), F.col("_c"),
+    block = F.concat(F.lit(CONTEXT_HEADER_START), F.col("mention"), F.lit(CONTEXT_HEADER_END), F.col("_c"),
                      F.lit(CONTEXT_FOOTER))
     j = j.select("_k", "pos", F.when(F.col("_c").isNotNull(), block).otherwise(F.col("tok")).alias("piece"))
     folded = ordered_concat(j, ["_k"], "pos", "piece", out_col="_t")

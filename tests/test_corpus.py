@@ -3,7 +3,6 @@
 import os
 import tempfile
 
-from pyspark.sql import functions as F
 
 from repolens.functions import text as X
 from repolens.sources import corpus as C

@@ -2,7 +2,6 @@
 
 import json
 
-import pytest
 
 from repolens.operators import responses as R
 
