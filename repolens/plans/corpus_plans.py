@@ -57,12 +57,13 @@ def q_dir_listing(spark, sf_dir):
 
 
 @register("project_structure", f"""
-WITH f AS (SELECT repo, {_REL} AS rel, string_split({_REL}, '/') AS parts FROM v_files
-           WHERE {_no_dirs(C.OVERVIEW_IGNORE_DIRS)})
+WITH f AS (SELECT repo, {_REL} AS rel, string_split({_REL}, '/') AS parts FROM v_files)
 SELECT DISTINCT repo, 'directory' AS kind, array_to_string(parts[1:i], '/') AS path
 FROM f, LATERAL (SELECT unnest(range(1, len(parts))) AS i) r
+WHERE NOT list_has_any(parts[1:i], [{', '.join(repr(d) for d in C.OVERVIEW_IGNORE_DIRS)}])
 UNION
-SELECT DISTINCT repo, 'python_file', rel FROM f WHERE rel LIKE '%.py'""")
+SELECT DISTINCT repo, 'python_file', rel FROM f
+WHERE rel LIKE '%.py' AND NOT list_has_any(parts[1:-2], [{', '.join(repr(d) for d in C.OVERVIEW_IGNORE_DIRS)}])""")
 def q_project_structure(spark, sf_dir):
     return C.project_structure(V.v_files(Tables(spark, sf_dir)))
 

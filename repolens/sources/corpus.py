@@ -180,13 +180,16 @@ def project_structure(files: DataFrame, repo_col: str = "repo", path_col: str =
     Directories are derived from files, so empty directories do not appear.
     """
     df = files.select(col(repo_col).alias("repo"), relative_path(path_col, repo_col).alias("rel"))
-    df = df.where(no_ignored_dir("rel", OVERVIEW_IGNORE_DIRS))
+    ignored = F.array(*[F.lit(d) for d in OVERVIEW_IGNORE_DIRS])
     parts = F.split("rel", "/")
+    # A directory is listed when the walk reaches it: none of its own
+    # components is pruned (what lies below it does not matter).
     dirs = (df.where(F.size(parts) > 1)
             .select("repo", F.explode(_ancestors("rel")).alias("path"))
+            .where(~F.coalesce(F.arrays_overlap(F.split("path", "/"), ignored), F.lit(False)))
             .select("repo", F.lit("directory").alias("kind"), "path"))
-    py = df.where(F.col("rel").endswith(".py")).select("repo", F.lit("python_file").alias("kind"),
-                                                       F.col("rel").alias("path"))
+    py = (df.where(no_ignored_dir("rel", OVERVIEW_IGNORE_DIRS) & F.col("rel").endswith(".py"))
+          .select("repo", F.lit("python_file").alias("kind"), F.col("rel").alias("path")))
     return dirs.unionByName(py).distinct()
 
 

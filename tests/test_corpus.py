@@ -71,13 +71,15 @@ def test_prune_profiles(spark):
 
 def test_dir_listing_and_structure(spark):
     df = spark.createDataFrame([("r", "r/a/b.py"), ("r", "r/a/c/.env"), ("r", "r/a/c/d.txt"), ("r", "r/top.py"),
-                                ("r", "r/.git/x.py")], "repo string, path string")
+                                ("r", "r/.git/x.py"), ("r", "r/e/.git/y.py")], "repo string, path string")
     listing = {(r.directory, r.child) for r in C.dir_listing(df).collect()}
     assert ("r/a", "b.py") in listing and ("r/a", "c") in listing and ("r/a/c", ".env") not in listing
     one = {r.child for r in C.dir_listing(df, "r/a").collect()}
     assert one == {"b.py", "c"}
     st = {(r.kind, r.path) for r in C.project_structure(df).collect()}
-    assert st == {("directory", "a"), ("directory", "a/c"), ("python_file", "a/b.py"), ("python_file", "top.py")}
+    # "e" is reached by the walk even though all it holds is pruned
+    assert st == {("directory", "a"), ("directory", "a/c"), ("directory", "e"), ("python_file", "a/b.py"),
+                  ("python_file", "top.py")}
 
 
 def test_read_documents_errors(spark):
