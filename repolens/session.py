@@ -56,8 +56,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``repolens`` importable on executors (Python workers run the
-    ``mapInPandas`` steps).  Zips the package once per SparkContext and adds
-    it with ``addPyFile`` -- the programmatic form of ``--py-files``."""
+    ``mapInPandas`` steps).  Zips the package once per SparkContext, copies
+    the zip into the shared checkpoint folder with the Hadoop FileSystem API
+    (HDFS, object stores, local) and adds it with ``addPyFile`` -- the
+    programmatic form of ``--py-files``.  Executors fetch it from there, not
+    from a machine-local folder."""
+    import hashlib
     import zipfile
 
     sc = spark.sparkContext
@@ -65,14 +69,25 @@ def ship_package(spark: SparkSession) -> None:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
-    out = os.path.join(tempfile.mkdtemp(prefix="repolens-pyfiles-"), "repolens.zip")
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for d, _, files in os.walk(pkg):
+    local = os.path.join(tempfile.mkdtemp(prefix="repolens-pyfiles-"), "repolens.zip")
+    digest = hashlib.sha1()
+    with zipfile.ZipFile(local, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in sorted(os.walk(pkg)):
             if "__pycache__" in d:
                 continue
-            for f in files:
+            for f in sorted(files):
                 if f.endswith(".py"):
                     full = os.path.join(d, f)
                     z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(out)
+                    with open(full, "rb") as fh:
+                        digest.update(fh.read())
+    target = local
+    ckpt = ensure_checkpoint_dir(spark)
+    if ckpt:
+        jvm = sc._jvm
+        dst = jvm.org.apache.hadoop.fs.Path(f"{ckpt.rstrip('/')}/pyfiles/repolens-{digest.hexdigest()[:16]}.zip")
+        fs = dst.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.copyFromLocalFile(False, True, jvm.org.apache.hadoop.fs.Path(local), dst)
+        target = dst.toString()
+    sc.addPyFile(target)
     sc._repolens_shipped = True
