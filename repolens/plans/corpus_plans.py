@@ -244,3 +244,20 @@ def q_assemble_context(spark, sf_dir):
           .unionByName(req.select("request_id", F.lit(1).alias("pos"),
                                   F.concat(F.lit("missing/"), F.col("conv_id").cast("string"), F.lit(".py")).alias("path"))))
     return C.assemble_context(req, cf, files)
+
+
+@register("name_index", f"""
+WITH f AS (SELECT DISTINCT path, string_split(path, '/')[-1] AS name FROM v_files
+           WHERE NOT list_has_any(string_split(substr(path, length(repo) + 2), '/')[1:-2],
+                                  {'[' + sql_list(C.MENTION_IGNORE_DIRS)[1:-1] + ']'})
+             AND NOT (CASE WHEN contains(ltrim(string_split(path, '/')[-1], '.'), '.')
+                           THEN regexp_extract(string_split(path, '/')[-1], '^.+?(\\.[^.]*)$', 1) ELSE '' END)
+                     IN {sql_list(C.MENTION_IGNORE_EXTENSIONS)})
+SELECT name AS ref, path, count(*) OVER (PARTITION BY name) AS n_files FROM f""")
+def q_name_index(spark, sf_dir):
+    """A1, file-name shape: file name -> paths of the mention index (long form)."""
+    from ..operators.audit import ref_index
+
+    files = C.corpus_scan_pruned(V.v_files(Tables(spark, sf_dir)), "mention_index")
+    named = files.select("path", C.file_name("path").alias("ref"))
+    return ref_index(named, named.select("ref"))
