@@ -132,7 +132,9 @@ def _call_batches(fn: Callable[[str], str], keys: list[str]):
 def map_batches(batches: DataFrame, fn: Callable[[str], str] = first_words, template: str = FILE_PROMPT,
                 key: str = "change_set", max_concurrent: int | None = None) -> DataFrame:
     """One call of ``fn`` per batch; a failure becomes an ``error`` value
-    on that row, never a failed job.  ``max_concurrent`` caps the number of
+    on that row, never a failed job.  The result is lazy: a caller that
+    consumes it more than once should ``checkpoint()`` it so the function
+    is not called again.  ``max_concurrent`` caps the number of
     partitions (hence simultaneous calls); by default Spark's parallelism
     applies.  Only the prompt and keys cross into Python (Arrow batches)."""
     b = batches.select(key, "batch_no", F.transform("members", lambda m: m["path"]).alias("files"),
@@ -198,7 +200,10 @@ def summarize_change_sets(diffs: DataFrame, fn: Callable[[str], str] = first_wor
     a summary."""
     coordinator_fn = coordinator_fn or fn
     batches = size_batches(diffs, key)
-    results = map_batches(batches, fn, file_prompt, key, max_concurrent)
+    # The per-batch results feed two branches (the fold and the stats): call
+    # the user's function once per batch and keep the answers (reliable
+    # checkpoint in the shared folder), instead of calling it twice.
+    results = map_batches(batches, fn, file_prompt, key, max_concurrent).checkpoint(eager=True)
     sets = diffs.select(key).distinct()
     folded = fold_summaries(results, key, sets)
     prompts = folded.select(key, F.when(F.col("summaries").isNotNull(),

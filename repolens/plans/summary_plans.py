@@ -89,7 +89,7 @@ def q_size_batches(spark, sf_dir):
 
 def _results(spark, sf_dir):
     d = V.v_diffs(Tables(spark, sf_dir))
-    return d, SM.map_batches(SM.size_batches(d), demo_summarizer)
+    return d, SM.map_batches(SM.size_batches(d), demo_summarizer)   # consumed once per query
 
 
 @register("map_batches", "SELECT change_set, batch_no, paths AS files, summary, error FROM o_results", _BATCH)
