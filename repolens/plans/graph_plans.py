@@ -88,3 +88,20 @@ def q_preorder_tree(spark, sf_dir):
     against a direct depth-first walk in the tests."""
     edges, roots, inst = _graph(Tables(spark, sf_dir))
     return G.preorder_tree(edges, roots, inst)
+
+
+@register("depgraph_summary", """
+WITH RECURSIVE r(node) AS (
+  SELECT node FROM o_roots
+  UNION
+  SELECT e.dst FROM r JOIN o_edges e ON e.src = r.node)
+SELECT (SELECT count(*) FROM o_roots) AS n_roots, (SELECT count(*) FROM r) AS n_reachable""", _G)
+def q_depgraph_summary(spark, sf_dir):
+    """A7, graph part: number of root packages and of distinct packages
+    reachable from them (roots included)."""
+    edges, roots, inst = _graph(Tables(spark, sf_dir))
+    reach = G.reachable(edges, roots, inst)
+    counts = (roots.select(F.lit(1).alias("is_root"))
+              .unionByName(reach.select(F.lit(0).alias("is_root"))))
+    return counts.agg(F.count_if(F.col("is_root") == 1).alias("n_roots"),
+                      F.count_if(F.col("is_root") == 0).alias("n_reachable"))
