@@ -129,3 +129,21 @@ def test_validate_calls(spark):
     assert got[4] == ("missing_argument", "content")
     assert got[5] == ("unexpected_argument", "x")
     assert got[6] == ("ok", None)
+
+
+def test_read_event_files(spark):
+    import os
+    import uuid
+
+    from repolens.sources.events import read_event_files
+
+    root = spark.sparkContext.getCheckpointDir().replace("file:", "").rstrip("/") + f"/events-{uuid.uuid4().hex}"
+    os.makedirs(root)
+    with open(os.path.join(root, "r1.txt"), "w") as f:
+        f.write("\n".join([_chunk("hel"), ": ping", _chunk("lo"), "data: [DONE]", ""]))
+    with open(os.path.join(root, "r2.txt"), "w") as f:
+        f.write(_chunk("x") + "\r\n" + "data: [DONE]")
+    lines = read_event_files(spark, root)
+    out = {r.response.rsplit("/", 1)[-1]: r.content
+           for r in R.assemble_responses(lines, key="response").collect()}
+    assert out == {"r1.txt": "hello", "r2.txt": "x"}
