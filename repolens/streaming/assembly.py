@@ -27,13 +27,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.responses import chunk_fields, parse_event_lines
 
-OUTPUT_SCHEMA = ("response_id bigint, content string, tool_calls_json string, n_lines bigint, "
-                 "complete boolean")
+OUTPUT_FIELDS = "content string, tool_calls_json string, n_lines bigint, complete boolean"
 STATE_SCHEMA = "line_nos array<bigint>, contents array<string>, tools array<string>, done boolean"
 DEFAULT_TIMEOUT_MS = 10 * 60 * 1000
 
 
-def _assemble(rid, line_nos, contents, tools, complete):
+def _assemble(key, rid, line_nos, contents, tools, complete):
     order = sorted(range(len(line_nos)), key=lambda i: line_nos[i])
     text = "".join(contents[i] for i in order if contents[i])
     calls: dict[int, dict] = {}
@@ -53,17 +52,17 @@ def _assemble(rid, line_nos, contents, tools, complete):
             if fn.get("arguments"):
                 calls[idx]["arguments"] += fn["arguments"]
     tool_json = json.dumps(list(calls.values())) if calls else None
-    return {"response_id": rid, "content": text or None, "tool_calls_json": tool_json,
+    return {key: rid, "content": text or None, "tool_calls_json": tool_json,
             "n_lines": len(line_nos), "complete": complete}
 
 
-def _make_fn(timeout_ms: int | None):
+def _make_fn(key_col: str, timeout_ms: int | None):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rid = int(key[0])
+        rid = key[0]
         if state.hasTimedOut:
             line_nos, contents, tools, _ = state.get
             state.remove()
-            yield pd.DataFrame([_assemble(rid, list(line_nos), list(contents), list(tools), False)])
+            yield pd.DataFrame([_assemble(key_col, rid, list(line_nos), list(contents), list(tools), False)])
             return
         if state.exists:
             line_nos, contents, tools, done = state.get
@@ -82,7 +81,7 @@ def _make_fn(timeout_ms: int | None):
                 tools.append(t)
         if done:
             state.remove()
-            yield pd.DataFrame([_assemble(rid, line_nos, contents, tools, True)])
+            yield pd.DataFrame([_assemble(key_col, rid, line_nos, contents, tools, True)])
         else:
             state.update((line_nos, contents, tools, False))
             if timeout_ms is not None:
@@ -90,15 +89,17 @@ def _make_fn(timeout_ms: int | None):
     return fn
 
 
-def assembly_stream(lines: DataFrame, timeout_ms: int | None = DEFAULT_TIMEOUT_MS) -> DataFrame:
-    """Streaming (or batch) event lines ``response_id, line_no, line`` ->
-    one row per finished response."""
-    p = chunk_fields(parse_event_lines(lines))
+def assembly_stream(lines: DataFrame, timeout_ms: int | None = DEFAULT_TIMEOUT_MS, key: str = "response_id",
+                    order: str = "line_no", line_col: str = "line") -> DataFrame:
+    """Streaming (or batch) event lines ``key, order, line`` -> one row per
+    finished response: ``key, content, tool_calls_json, n_lines, complete``."""
+    p = chunk_fields(parse_event_lines(lines, key, order, line_col))
     slim = p.where(F.col("is_done") | F.col("chunk").isNotNull()).select(
-        "response_id", "line_no", "is_done",
+        F.col(key), F.col(order).alias("line_no"), "is_done",
         F.when(F.col("content") != "", F.col("content")).alias("content"),
         F.when(F.size("tool_deltas") > 0, F.to_json("tool_deltas")).alias("tool_json"))
     slim = slim.where(F.col("is_done") | F.col("content").isNotNull() | F.col("tool_json").isNotNull())
-    return slim.groupBy("response_id").applyInPandasWithState(
-        _make_fn(timeout_ms), OUTPUT_SCHEMA, STATE_SCHEMA, "append",
+    schema = f"`{key}` {lines.schema[key].dataType.simpleString()}, {OUTPUT_FIELDS}"
+    return slim.groupBy(key).applyInPandasWithState(
+        _make_fn(key, timeout_ms), schema, STATE_SCHEMA, "append",
         GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
