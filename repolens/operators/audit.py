@@ -26,13 +26,14 @@ def _dist_dim(dists: DataFrame) -> DataFrame:
            else F.when(F.col("classifiers_txt").isNull() | (F.col("classifiers_txt") == ""),
                        F.array().cast("array<string>")).otherwise(F.split("classifiers_txt", r"\|")))
     lic = F.col("license") if "license" in dists.columns else F.lit(None).cast("string")
-    d = dists.select(F.col("name").alias("dist_name"), "version", lic.alias("license"), cls.alias("classifiers"))
+    # Resolve the license per distribution first, so the de-duplication below
+    # aggregates strings only (hash aggregation, no sort).
+    d = dists.select(F.col("name").alias("dist_name"), "version",
+                     resolve_license(lic, cls, F.col("name")).alias("license"))
     d = d.withColumn("norm", normalize_name("dist_name", strip_extras=False))
     # One row per normalized name (first by name) so the lookup cannot fan out.
-    d = d.groupBy("norm").agg(F.min_by(F.struct("dist_name", "version", "license", "classifiers"),
-                                       "dist_name").alias("d"))
-    return d.select("norm", "d.dist_name", "d.version",
-                    resolve_license("d.license", "d.classifiers", "d.dist_name").alias("license"))
+    d = d.groupBy("norm").agg(F.min_by(F.struct("dist_name", "version", "license"), "dist_name").alias("d"))
+    return d.select("norm", "d.dist_name", "d.version", "d.license")
 
 
 def _install_name(refs: DataFrame, aliases: DataFrame | dict | None) -> DataFrame:

@@ -36,8 +36,11 @@ FROM (SELECT DISTINCT ref, path FROM v_refs WHERE ref IN (SELECT ref FROM o_ext)
 
 
 def _page_audit(t: Tables):
-    refs = extract.extract_links(t.pages)
-    external = audit.classify_refs(refs, V.v_ref_dists(t), stdlib=V.v_ref_std(t), aliases=V.v_alias(t))
+    # The link extraction (regex over every page) feeds the reference table
+    # and the dimension views derived from it: run it once, reliably.
+    refs = extract.extract_links(t.pages).checkpoint(eager=True)
+    external = audit.classify_refs(refs, V.v_ref_dists(t, refs), stdlib=V.v_ref_std(t, refs),
+                                   aliases=V.v_alias(t, refs))
     return refs, external
 
 
@@ -49,7 +52,8 @@ def q_extract_links(spark, sf_dir):
 @register("resolve_packages", "SELECT ref, install_name, installed, version, license FROM o_pkg", _RESOLVED)
 def q_resolve_packages(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return audit.resolve_packages(extract.extract_links(t.pages), V.v_ref_dists(t), aliases=V.v_alias(t))
+    refs = extract.extract_links(t.pages).checkpoint(eager=True)
+    return audit.resolve_packages(refs, V.v_ref_dists(t, refs), aliases=V.v_alias(t, refs))
 
 
 @register("classify_refs", "SELECT ref, version, license FROM o_ext", _RESOLVED)

@@ -3,6 +3,10 @@ Spark from the driver tables (so their size grows with the tables).
 
 The same views exist as DuckDB SQL in ``repolens.plans.oracle_views`` for the
 side-by-side correctness check; any change here must be mirrored there.
+
+The dimension views derived from page references take an optional ``refs``
+DataFrame so a caller that already extracted the references (once) can
+derive them without re-scanning the pages.
 """
 
 from __future__ import annotations
@@ -157,21 +161,21 @@ def v_layers(t: Tables) -> DataFrame:
     return o.groupBy("priority", "key_path").agg(F.max("o_orderkey").alias("value"))
 
 
-def v_declared(t: Tables) -> DataFrame:
-    r = v_refs(t).where(F.length("ref") % 2 == 0).select(F.col("ref").alias("name"))
+def v_declared(t: Tables, refs: DataFrame | None = None) -> DataFrame:
+    r = (v_refs(t) if refs is None else refs).where(F.length("ref") % 2 == 0).select(F.col("ref").alias("name"))
     d = v_dists(t).where(F.col("p_partkey") < 20).select("name")
     return r.union(d).distinct()
 
 
-def v_alias(t: Tables) -> DataFrame:
-    return (v_refs(t).where(F.col("ref") != F.lower("ref"))
+def v_alias(t: Tables, refs: DataFrame | None = None) -> DataFrame:
+    return ((v_refs(t) if refs is None else refs).where(F.col("ref") != F.lower("ref"))
             .select(F.col("ref").alias("alias"), F.lower("ref").alias("install_name")).distinct())
 
 
-def v_ref_dists(t: Tables) -> DataFrame:
+def v_ref_dists(t: Tables, refs: DataFrame | None = None) -> DataFrame:
     """Metadata for distributions that resolve page references:
     ``name, version, license, classifiers_txt``."""
-    r = v_refs(t).where(F.length("ref") % 3 == 0)
+    r = (v_refs(t) if refs is None else refs).where(F.length("ref") % 3 == 0)
     return (r.select(F.lower("ref").alias("name"),
                      F.concat(_s(F.length("ref")), F.lit(".0")).alias("version"),
                      F.when(F.length("ref") % 2 == 0, F.lit("MIT")).otherwise(F.lit(None).cast("string"))
@@ -181,8 +185,8 @@ def v_ref_dists(t: Tables) -> DataFrame:
             .distinct())
 
 
-def v_ref_std(t: Tables) -> DataFrame:
-    return v_refs(t).where(F.length("ref") % 3 == 1).select(F.lower("ref").alias("name")).distinct()
+def v_ref_std(t: Tables, refs: DataFrame | None = None) -> DataFrame:
+    return (v_refs(t) if refs is None else refs).where(F.length("ref") % 3 == 1).select(F.lower("ref").alias("name")).distinct()
 
 
 def v_registry(t: Tables) -> DataFrame:
