@@ -17,21 +17,26 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     settings below are the ones the operators rely on (AQE for skew and
     partition coalescing, UTC, Arrow for the few Python stages).
     """
-    cpus = os.environ.get("BENCH_CPUS", "8")
     b = SparkSession.builder.appName(app_name)
+    local = master is not None and master.startswith("local")
     if master is not None:
         b = b.master(master)
-    parts = shuffle_partitions or int(cpus) * 2
-    b = (b.config("spark.sql.shuffle.partitions", str(parts))
-         .config("spark.sql.adaptive.enabled", "true")
+    if shuffle_partitions is not None or local:
+        # Local runs: about two shuffle partitions per core.  On a cluster the
+        # deployment's value stands (size it to ~128-256 MB per partition);
+        # AQE coalesces downwards either way.
+        cpus = int(os.environ.get("BENCH_CPUS", "8"))
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus * 2))
+    if local:
+        b = b.config("spark.driver.memory", os.environ.get("REPOLENS_DRIVER_MEM", "16g"))
+    b = (b.config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
-         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-         .config("spark.driver.memory", os.environ.get("REPOLENS_DRIVER_MEM", "16g")))
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
