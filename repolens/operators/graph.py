@@ -48,26 +48,22 @@ def reachable(edges: DataFrame, roots: DataFrame, installed: DataFrame | None =
     that is not installed is omitted).  ``direction="in"`` walks edges
     backwards (transitive reverse dependencies).
 
-    Each round: frontier ⋈ edges -> distinct -> anti join with everything
-    seen, checkpointed.  Rounds = graph depth; each round's work is
-    proportional to the frontier, not to everything seen so far."""
+    Each round: frontier ⋈ edges -> distinct -> anti join with the visited
+    table; both the new frontier and the grown visited table are reliably
+    checkpointed, so lineage is one round deep.  Rounds = graph depth."""
     e = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")) if direction == "out" else \
         edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))
     frontier = _ckpt(_installed_roots(roots, installed))
-    seen = [frontier]
+    visited = frontier
     for _ in range(max_rounds):
-        nxt = frontier.join(e, frontier.node == e.a).select(F.col("b").alias("node")).distinct()
-        for s in seen:
-            nxt = nxt.join(s, "node", "left_anti")
+        nxt = (frontier.join(e, frontier.node == e.a).select(F.col("b").alias("node")).distinct()
+               .join(visited, "node", "left_anti"))
         nxt = _ckpt(nxt)
         if nxt.isEmpty():
             break
-        seen.append(nxt)
-        if len(seen) > 8:
-            # Fold the per-round tables so the anti-join chain stays short.
-            seen = [_ckpt(reduce(DataFrame.unionAll, seen))]
+        visited = _ckpt(visited.unionAll(nxt))
         frontier = nxt
-    return reduce(DataFrame.unionAll, seen)
+    return visited
 
 
 def dep_tree(edges: DataFrame, roots: DataFrame, installed: DataFrame | None = None,
