@@ -132,38 +132,36 @@ def assemble_responses(lines: DataFrame, key: str = "response_id", order: str =
     Output ``key, content, tool_calls ARRAY<STRUCT<index,id,name,arguments>>``.
     """
     p = chunk_fields(event_line_source(lines, key, order, line_col))
-    # Content: one two-level ordered fold over every valid chunk, so the
-    # response keys come out of the same pass (chunks are parsed once for
-    # this branch and once for the tool-call branch below).
-    c = p.select(key, order, F.when(F.col("content") != "", F.col("content")).alias("content"))
-    arr = lambda: F.array_sort(F.collect_list(F.when(F.col("content").isNotNull(),
-                                                     F.struct(F.col(order).alias("o"), F.col("content").alias("t")))))
+    # One pass over the parsed chunks: a two-level fold per (key, bucket)
+    # then per key carries both the content fragments and the tool-call
+    # deltas, so every line is parsed once.
+    c = p.select(key, order, F.when(F.col("content") != "", F.col("content")).alias("content"), "tool_deltas")
+    frag = F.when(F.col("content").isNotNull(), F.struct(F.col(order).alias("o"), F.col("content").alias("t")))
+    tools = F.when(F.size("tool_deltas") > 0, F.struct(F.col(order).alias("o"), F.col("tool_deltas").alias("d")))
     lvl1 = (c.groupBy(key, F.floor(F.col(order) / 4096).alias("_b"))
-            .agg(F.min(order).alias("_o"), F.array_join(F.transform(arr(), lambda x: x["t"]), "").alias("_t"),
-                 F.count("content").alias("_n")))
+            .agg(F.min(order).alias("_o"),
+                 F.array_join(F.transform(F.array_sort(F.collect_list(frag)), lambda x: x["t"]), "").alias("_t"),
+                 F.count("content").alias("_n"),
+                 F.array_sort(F.collect_list(tools)).alias("_d")))
     lvl2 = lvl1.groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_t"))), lambda x: x["_t"]), "")
-        .alias("content"), F.sum("_n").alias("_n"))
-    content = lvl2.select(key, F.when(F.col("_n") > 0, F.col("content")).alias("content"))
-
-    d = p.where(F.col("tool_deltas").isNotNull()).select(key, order, F.posexplode("tool_deltas").alias("pos", "tc"))
-    d = d.select(key, (F.col(order) * 1_000_000 + F.col("pos")).alias("o"),
-                 F.coalesce(F.col("tc.index"), F.lit(0)).alias("idx"), F.col("tc.id").alias("id"),
-                 F.col("tc.function.name").alias("name"), F.col("tc.function.arguments").alias("arguments"))
-    nonempty = lambda c: F.col(c).isNotNull() & (F.col(c) != "")
-
-    def fold(c):
-        arr = F.array_sort(F.collect_list(F.when(nonempty(c), F.struct(F.col("o"), F.col(c).alias("t")))))
-        return F.array_join(F.transform(arr, lambda x: x["t"]), "")
-
-    calls = d.groupBy(key, "idx").agg(
-        F.min("o").alias("first"),
-        F.coalesce(F.expr("max_by(id, o) FILTER (WHERE id IS NOT NULL AND id <> '')"), F.min_by("id", "o")).alias("id"),
-        fold("name").alias("name"), fold("arguments").alias("arguments"))
-    calls = calls.groupBy(key).agg(F.array_sort(F.collect_list(
-        F.struct("first", F.col("idx").alias("index"), "id", "name", "arguments"))).alias("tc"))
-    calls = calls.select(key, F.transform("tc", lambda x: x.dropFields("first")).alias("tool_calls"))
-    return content.join(calls, key, "left").select(key, "content", "tool_calls")
+        F.array_sort(F.collect_list(F.struct("_o", "_t", "_d"))).alias("_parts"), F.sum("_n").alias("_n"))
+    content = F.when(F.col("_n") > 0, F.array_join(F.transform("_parts", lambda x: x["_t"]), ""))
+    # All tool-call deltas of the response in stream order (chunk order, then
+    # position inside the chunk).
+    deltas = F.flatten(F.transform(F.flatten(F.transform("_parts", lambda x: x["_d"])), lambda x: x["d"]))
+    deltas = F.transform(deltas, lambda d: d.withField("index", F.coalesce(d["index"], F.lit(0))))
+
+    def call(i):
+        ds = F.filter("_deltas", lambda d: d["index"] == i)
+        ids = F.filter(F.transform(ds, lambda d: d["id"]), lambda x: x.isNotNull() & (x != ""))
+        return F.struct(i.alias("index"),
+                        F.coalesce(F.try_element_at(ids, F.lit(-1)), ds[0]["id"]).alias("id"),
+                        F.array_join(F.transform(ds, lambda d: d["function"]["name"]), "").alias("name"),
+                        F.array_join(F.transform(ds, lambda d: d["function"]["arguments"]), "").alias("arguments"))
+
+    out = lvl2.select(key, content.alias("content"), deltas.alias("_deltas"))
+    calls = F.transform(F.array_distinct(F.transform("_deltas", lambda d: d["index"])), call)
+    return out.select(key, "content", F.when(F.size("_deltas") > 0, calls).alias("tool_calls"))
 
 
 def iteration_limit_audit(rounds: DataFrame, run_col: str = "run", order_col: str = "ts",
