@@ -103,3 +103,26 @@ def test_reverse_deps_first_requirement(spark):
     got = sorted((r.target, r.package, r.requirement) for r in G.reverse_deps(dists, req).collect())
     assert ("target-pkg", "app", "Target_Pkg>=1") in got and ("target-pkg", "lib", "TARGET-PKG") in got
     assert len([g for g in got if g[0] == "target-pkg"]) == 2
+
+
+def test_registered_preorder_query_matches_dfs(spark):
+    """The registered query itself, on the sf0.001 tables, against a direct
+    depth-first walk over the same graph in plain Python."""
+    import __spark_entry__ as E
+    from repolens.plans.graph_plans import _graph
+    from repolens.sources.tables import Tables
+
+    from .conftest import SF_SMALL
+
+    edges, roots, inst = _graph(Tables(spark, SF_SMALL))
+    pairs = [(r.src, r.dst) for r in edges.collect()]
+    root_ids = [r.node for r in roots.collect()]
+    adj = {}
+    for s, d in pairs:
+        adj.setdefault(str(s), set()).add(str(d))
+    want = []
+    for root in root_ids:
+        want += _py_preorder(adj, str(root))
+    got = sorted((r.root, r.depth, r.parent, r.node, r.repeated)
+                 for r in E.queries()["preorder_tree"](spark, SF_SMALL).where("NOT missing").collect())
+    assert got == sorted(want)
