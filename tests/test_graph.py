@@ -126,3 +126,11 @@ def test_registered_preorder_query_matches_dfs(spark):
     got = sorted((r.root, r.depth, r.parent, r.node, r.repeated)
                  for r in E.queries()["preorder_tree"](spark, SF_SMALL).where("NOT missing").collect())
     assert got == sorted(want)
+
+
+def test_dep_tree_unbounded_matches_full_walk(spark):
+    pairs = [(1, 2), (2, 3), (3, 1), (2, 4), (4, 5), (1, 5)]
+    adj = _adj(pairs)
+    got = sorted((r.root, r.depth, r.parent, r.node, r.recursive)
+                 for r in G.dep_tree(_edges(spark, pairs), _nodes(spark, [1]), max_depth=None).collect())
+    assert got == sorted(_py_branches(adj, 1, 10 ** 6))
