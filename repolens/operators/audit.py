@@ -163,11 +163,16 @@ def integrity_gate(report: DataFrame) -> None:
         raise IntegrityError("dependency integrity check reported unused or undeclared packages")
 
 
-def audit_summary(files: DataFrame, refs: DataFrame, external: DataFrame, report: DataFrame) -> DataFrame:
+def audit_summary(files: DataFrame, refs: DataFrame, external: DataFrame, report: DataFrame,
+                  approx_rsd: float | None = None) -> DataFrame:
     """Per repository: files scanned, distinct references, distinct
-    external libraries, unused and undeclared counts."""
+    external libraries, unused and undeclared counts.  With ``approx_rsd``
+    the distinct reference count uses HyperLogLog++
+    (``approx_count_distinct``, that relative standard deviation) instead of
+    an exact distinct -- cheaper when repositories are huge."""
     f = files.groupBy("repo").agg(F.count("*").alias("n_files"))
-    r = refs.groupBy("repo").agg(F.count_distinct("ref").alias("n_refs"))
+    n_refs = (F.approx_count_distinct("ref", approx_rsd) if approx_rsd else F.count_distinct("ref")).alias("n_refs")
+    r = refs.groupBy("repo").agg(n_refs)
     e = (refs.select("repo", "ref").distinct().join(external.select("ref").distinct(), "ref", "left_semi")
          .groupBy("repo").agg(F.count("*").alias("n_external")))
     c = integrity_counts(report).select("repo", "n_unused", "n_undeclared")

@@ -78,3 +78,15 @@ def test_project_own_name_not_reported(spark):
     used = spark.createDataFrame([("p", "httpx"), ("p", "my-tool-x")], "repo string, name string")
     own = spark.createDataFrame([("p", "my-tool"), ("p", "my-tool-x")], "repo string, name string")
     assert A.integrity_check(declared, used, project_names=own).count() == 0
+
+
+def test_audit_summary_exact_and_approx(spark):
+    files = spark.createDataFrame([("p", "a.py"), ("p", "b.py"), ("q", "c.py")], "repo string, path string")
+    refs = spark.createDataFrame([("p", "a.py", "httpx"), ("p", "b.py", "httpx"), ("p", "b.py", "os"),
+                                  ("q", "c.py", "zzz")], "repo string, path string, ref string")
+    ext = spark.createDataFrame([("httpx",), ("zzz",)], "ref string")
+    report = spark.createDataFrame([("p", "unused", "x")], "repo string, kind string, name string")
+    for rsd in (None, 0.01):
+        got = {r.repo: (r.n_files, r.n_refs, r.n_external, r.n_unused, r.n_undeclared)
+               for r in A.audit_summary(files, refs, ext, report, approx_rsd=rsd).collect()}
+        assert got == {"p": (2, 2, 1, 1, 0), "q": (1, 1, 1, 0, 0)}
