@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import prepare
-from . import mixture, url_rules
+from . import bpe, mixture, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -80,3 +80,18 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the mix takes each document."""
     thin, sources = mixture.plan_mixture(_table(spark, sf_dir, "documents", "doc_id", "text", "source"), mixture.cyclic_weights)
     return mixture.take(thin, sources).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def tokenizer_path() -> str:
+    """The public byte-level vocabulary of op8; other files are an argument
+    of ``bpe.Tokenizer``."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@register("op8_bpe")
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and of the text decoded from them."""
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    return bpe.token_digests(bpe.encode_table(docs, bpe.Tokenizer(spark, tokenizer_path())))
