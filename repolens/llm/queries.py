@@ -6,9 +6,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import prepare
-from . import bpe, mixture, url_rules
+from .common import prepare, write_table
+from . import bpe, mixture, pii, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -95,3 +96,15 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and of the text decoded from them."""
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     return bpe.token_digests(bpe.encode_table(docs, bpe.Tokenizer(spark, tokenizer_path())))
+
+
+@register("op10_pii")
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data spans of every document."""
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    terms = write_table(pii.revealing_terms(docs), "pii-terms")
+    spans = pii.find_spans(docs, terms)
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    base = pii.span_string(F.filter("spans", lambda s: s["kind"].isin(*pii.BASE_KINDS)))
+    return spans.select("doc_id", *[count(k) for k in pii.BASE_KINDS], F.sha2(base, 256).alias("base_sha256"),
+                        pii.span_string(F.col("spans")).alias("spans"))
