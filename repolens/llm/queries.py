@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import prepare, write_table
-from . import bpe, mixture, pii, url_rules
+from . import bpe, chat, mixture, pii, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -108,3 +108,26 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = pii.span_string(F.filter("spans", lambda s: s["kind"].isin(*pii.BASE_KINDS)))
     return spans.select("doc_id", *[count(k) for k in pii.BASE_KINDS], F.sha2(base, 256).alias("base_sha256"),
                         pii.span_string(F.col("spans")).alias("spans"))
+
+
+_OP2_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+f AS (SELECT *, replace(replace(role, '%', '%25'), chr(10), '%0A') AS head,
+        regexp_replace(text, '(\\*)(### |</turn>)', '\\\1\2', 'g') AS body FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length('### ' || head || ':' || chr(10) || body || chr(10) || '</turn>' || chr(10)))::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+
+@register("op2_chat_format", _OP2_SQL)
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and -7 of conflicting texts, formatted and read back."""
+    odd = "\\### Assistant: </turn> ok"
+    rows = _table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], rows.schema)
+    return chat.read_back(chat.format_turns(rows.unionByName(extra)))
