@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import prepare, write_table
-from . import bpe, chat, fingerprint, mixture, pii, url_rules
+from . import bpe, chat, fingerprint, language, mixture, pii, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -137,3 +137,28 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return fingerprint.fingerprints(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@register("op5_language_id")
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document from its text, declared language and source."""
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    model = language.fit(docs)
+    scored = write_table(docs.select("doc_id", "lang", "source", language.score_column(spark, model, F.col("text")).alias("scores")), "language-scores")
+    return (language.identify(scored, model, F.col("lang"), F.col("source"), scored=F.col("scores"))
+            .select("doc_id", "language", "confidence", "text_language", "keep"))
+
+
+@register("language_id_pages")
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page from its visible text, markup, address suffix
+    and host, with the model fitted on documents."""
+    model = language.fit(_table(spark, sf_dir, "documents", "text", "lang"))
+    pages = _table(spark, sf_dir, "pages", "page_id", "url", "html")
+    host = F.regexp_replace(url_rules.url_parts(F.col("url"))[0], "^.*@|:[0-9]*$", "")
+    shown = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
+    parts = pages.select("page_id", F.when(host != "", host).alias("host"), shown.alias("text"),
+                         F.regexp_extract("html", r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z_-]+)", 1).alias("declared"))
+    scored = write_table(parts.select("page_id", "host", "declared", language.score_column(spark, model, F.col("text")).alias("scores")), "page-scores")
+    return (language.identify(scored, model, F.col("declared"), F.col("host"), language.address_suffix(F.col("host")), scored=F.col("scores"))
+            .select("page_id", "language", "confidence", "text_language", "keep"))
