@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import prepare, write_table
-from . import bpe, chat, fingerprint, language, mixture, pii, url_rules
+from . import bpe, chat, fingerprint, language, mixture, neighbours, pii, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -162,3 +162,9 @@ def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = write_table(parts.select("page_id", "host", "declared", language.score_column(spark, model, F.col("text")).alias("scores")), "page-scores")
     return (language.identify(scored, model, F.col("declared"), F.col("host"), language.address_suffix(F.col("host")), scored=F.col("scores"))
             .select("page_id", "language", "confidence", "text_language", "keep"))
+
+
+@register("op9_nearest")
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every 20th vector."""
+    return neighbours.search(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("id") % 20 == 0)
