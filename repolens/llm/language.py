@@ -14,7 +14,8 @@ text is less likely under its best language than under evenly drawn trigrams,
 or whose best posterior is below ``MIN_POSTERIOR``.  A null declared
 language, suffix or host is evidence of nothing.  Equal posteriors go to the
 language first in order.  Repeated rows give repeated results; an empty table
-gives an empty one; without any label there is no model and a ValueError.
+gives an empty one; without any label there is no model and ``fit`` returns
+None; more than ``MAX_LANGUAGES`` labels are a ValueError.
 Whole texts are scored.  Other columns pass through; the result columns
 replace columns of the same name.
 """
@@ -95,14 +96,16 @@ def score_column(spark, model: LanguageModel, text: Column) -> Column:
     return scores(text)
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", max_training: int = MAX_TRAINING) -> LanguageModel:
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", max_training: int = MAX_TRAINING) -> LanguageModel | None:
     """Fit on about ``max_training`` texts of each label, drawn by hash.  What
     the driver gets is bounded by bins times languages."""
     spark = labelled.sparkSession
     rows = labelled.select(F.col(label_col).alias("label"), F.col(text_col).alias("text")).dropna()
     sizes = {r[0]: r[1] for r in rows.groupBy("label").count().limit(MAX_LANGUAGES + 1).collect()}
-    if not sizes or len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"{len(sizes)} labels; between 1 and {MAX_LANGUAGES} are needed")
+    if not sizes:
+        return None
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} labels")
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, max_training / n))])
     drawn = F.pmod(F.xxhash64(F.lit(5), F.col("text")), F.lit(1 << 20)) < share[F.col("label")] * (1 << 20)
     sample = write_table(rows.where(drawn), "language-sample")

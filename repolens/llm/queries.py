@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import prepare, write_table
-from . import bpe, chat, fingerprint, language, mixture, neighbours, pii, substrings, url_rules
+from . import bpe, chat, fingerprint, jaccard, language, mixture, neighbours, pii, substrings, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -144,6 +144,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document from its text, declared language and source."""
     docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     model = language.fit(docs)
+    if model is None:
+        return spark.createDataFrame([], "doc_id long, language string, confidence double, text_language string, keep boolean")
     scored = write_table(docs.select("doc_id", "lang", "source", language.score_column(spark, model, F.col("text")).alias("scores")), "language-scores")
     return (language.identify(scored, model, F.col("lang"), F.col("source"), scored=F.col("scores"))
             .select("doc_id", "language", "confidence", "text_language", "keep"))
@@ -154,6 +156,8 @@ def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every page from its visible text, markup, address suffix
     and host, with the model fitted on documents."""
     model = language.fit(_table(spark, sf_dir, "documents", "text", "lang"))
+    if model is None:
+        return spark.createDataFrame([], "page_id long, language string, confidence double, text_language string, keep boolean")
     pages = _table(spark, sf_dir, "pages", "page_id", "url", "html")
     host = F.regexp_replace(url_rules.url_parts(F.col("url"))[0], "^.*@|:[0-9]*$", "")
     shown = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
@@ -175,3 +179,9 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the 50-word windows that stand in a smaller one."""
     kept = substrings.remove_repeats(_table(spark, sf_dir, "documents", "doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op6_jaccard_join")
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by shingle similarity."""
+    return jaccard.similar_components(_table(spark, sf_dir, "documents", "doc_id", "text"))
