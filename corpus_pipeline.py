@@ -26,8 +26,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language.fit(docs)
     if model is None:
         return docs
-    known = language.identify(docs, model, F.col("lang"), F.col("source"))
-    return known.where("keep").select(*docs.columns)
+    # The row travels as one struct, so no column of it can clash.
+    rows = docs.select(F.struct("*").alias("row"), "text", "lang", "source")
+    return language.identify(rows, model, F.col("lang"), F.col("source")).where("keep").select("row.*")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +52,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sanitises every text; n_chars follows."""
     prepare(spark)
-    clean = pii.sanitise(docs)
-    if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
-    return clean
+    clean = pii.sanitise(docs.select(F.struct("*").alias("row"), "text"))
+    new = {"text": F.col("text"), "n_chars": F.coalesce(F.length("text").cast("long"), F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return clean.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
