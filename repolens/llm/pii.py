@@ -43,7 +43,7 @@ SPAN_TYPE = "array<struct<kind:string,start:int,end:int>>"
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+){3,}")
+_NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)*")  # always matches a whole chain: linear
 _DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TERM = re.compile(r"[^\W\d_]{3,}")
@@ -70,6 +70,8 @@ def _emails(text: str):
 def _ips(text: str):
     """Chains of numbers are cut into fours from the left."""
     for m in _NUMBERS.finditer(text):
+        if m.end() - m.start() < 7:
+            continue
         parts, start = m.group().split("."), m.start()
         for k in range(0, len(parts) - 3, 4):
             four = parts[k:k + 4]
