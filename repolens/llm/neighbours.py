@@ -7,7 +7,8 @@ many these are is calibrated on queries with known answers, widening until
 the target recall is reached.  Leaves are searched in blocks of bounded size,
 and the blocks' best are merged.
 
-Of equal vectors only the ``k + 1`` smallest ids can be among a query's
+The sample also gives each query a score that its k-th nearest must reach;
+blocks return only rows that reach it.  Of equal vectors only the ``k + 1`` smallest ids can be among a query's
 nearest, so the others are put aside first; a vector that a third of all rows
 share costs no more than any other.
 
@@ -34,9 +35,9 @@ from .common import write_table
 
 #: Vectors in the fitted sample, and numbers in it (the bound on driver
 #: memory); children of a node; indexed rows that a leaf should hold.
-SAMPLE_ROWS, SAMPLE_NUMBERS, FANOUT, LEAF_ROWS = 20_000, 8_000_000, 16, 256
+SAMPLE_ROWS, SAMPLE_NUMBERS, FANOUT, LEAF_ROWS = 20_000, 8_000_000, 16, 512
 #: Queries with known answers that set the number of visits, and their recall.
-CALIBRATION, TARGET_RECALL = 100, 0.97
+CALIBRATION, TARGET_RECALL = 100, 0.95
 #: Largest block of a leaf: vectors, queries.
 BLOCK_VECTORS, BLOCK_QUERIES = 4096, 1024
 
@@ -109,15 +110,19 @@ def _matrix(vectors) -> np.ndarray:
     return np.array([np.asarray(v, np.float64) for v in vectors]) if len(vectors) else np.empty((0, 0))
 
 
-def _best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """(query, id, score) of each query's k best rows but its own.  Scores
-    are correctly rounded sums, so equal vectors tie whatever block they are in."""
+def _best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int,
+          floor: np.ndarray | None = None) -> list[tuple[int, int, float]]:
+    """(query, id, score) of each query's k best rows but its own, from its
+    ``floor`` on.  Scores are correctly rounded sums, so equal vectors tie
+    whatever block they are in."""
     out = []
     rough = q @ x.T
     slack = 1e-9 * (1 + np.abs(rough).max()) if rough.size else 0
     for i, qid in enumerate(q_ids):
         s = rough[i]
         edge = np.partition(s, -(k + 1))[-(k + 1)] if len(s) > k + 1 else -np.inf
+        if floor is not None:
+            edge = max(edge, floor[i])
         some = np.flatnonzero((s >= edge - slack) & (ids != qid))
         exact = sorted((-math.fsum(q[i] * x[j]), ids[j]) for j in some)[:k]
         out += [(int(qid), int(j), -score) for score, j in exact]
@@ -162,9 +167,12 @@ def fit(points: DataFrame, leaf_rows: int = LEAF_ROWS) -> Tree:
     n, d = points.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     share = min(1.0, SAMPLE_ROWS / max(n, 1), SAMPLE_NUMBERS / max(n * (d or 1), 1))
     drawn = points.where(F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(1 << 20)) < share * (1 << 20))
-    sample = _matrix([r[0] for r in drawn.orderBy("id").select("v").collect()])
+    rows = drawn.orderBy("id").select("id", "v").collect()
+    sample = _matrix([r["v"] for r in rows]) if rows else np.zeros((0, d or 1))
     # A leaf of the tree holds leaf_rows rows if the sample is like the rest.
-    return Tree(sample if sample.size else np.zeros((1, d or 1)), max(4, round(leaf_rows * share)))
+    tree = Tree(sample if len(sample) else np.zeros((1, d or 1)), max(4, round(leaf_rows * share)))
+    tree.sample, tree.sample_ids = sample, np.array([r["id"] for r in rows], np.int64)
+    return tree
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
@@ -206,6 +214,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
 
     plan = spark.sparkContext.broadcast((visits, held))
 
+    @F.arrow_udf("double")
+    def floor(ids: pa.Array, v: pa.Array) -> pa.Array:
+        """A score that the k-th nearest reaches: that of the k-th nearest in
+        the sample, which is part of the rows."""
+        x, own, out = shared.value.sample, shared.value.sample_ids, []
+        for i, q in zip(ids.to_pylist(), _matrix(v.to_pylist()) if len(v) else ()):
+            s = (x @ q)[own != i]
+            out.append(float(np.partition(s, -k)[-k]) if len(s) >= k else -math.inf)
+        return pa.array(out, pa.float64())
+
     @F.arrow_udf("array<int>")
     def visited(v: pa.Array) -> pa.Array:
         most, sizes = plan.value
@@ -221,22 +239,22 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
             out.append(seen)
         return pa.array(out, pa.list_(pa.int32()))
 
-    calls = write_table(queries.withColumn("leaf", F.explode(visited(F.col("v")))), "ann-queries")
+    calls = write_table(queries.withColumn("floor", floor(F.col("id"), F.col("v"))).withColumn("leaf", F.explode(visited(F.col("v")))), "ann-queries")
 
     # Block numbers by leaf; a tree has at most SAMPLE_ROWS / 4 leaves, so the
     # two counts a leaf may be broadcast.
     blocks = (indexed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK_VECTORS).alias("vbs"))
               .join(calls.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).alias("qbs")), "leaf"))
 
-    def dealt(df: DataFrame, own: str, other: str):
+    def dealt(df: DataFrame, own: str, other: str, *more: str):
         return (df.join(F.broadcast(blocks), "leaf").withColumn(own, F.pmod(F.xxhash64("id"), F.col(f"{own}s")))
                 .withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}s") - 1)))
-                .select("leaf", "vb", "qb", "id", "v").groupBy("leaf", "vb", "qb"))
+                .select("leaf", "vb", "qb", "id", "v", *more).groupBy("leaf", "vb", "qb"))
 
-    left, right = dealt(indexed, "vb", "qb"), dealt(calls, "qb", "vb")
+    left, right = dealt(indexed, "vb", "qb"), dealt(calls, "qb", "vb", "floor")
 
     def block(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        rows = _best(_matrix(q["v"].tolist()), q["id"].to_numpy(), _matrix(x["v"].tolist()), x["id"].to_numpy(), k) if len(x) and len(q) else []
+        rows = _best(_matrix(q["v"].tolist()), q["id"].to_numpy(), _matrix(x["v"].tolist()), x["id"].to_numpy(), k, q["floor"].to_numpy()) if len(x) and len(q) else []
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     found = left.cogroup(right).applyInPandas(block, _FOUND)
