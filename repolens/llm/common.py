@@ -83,6 +83,13 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, rows) else df
 
 
+def broadcast_if_light(df: DataFrame, lists: str, rows: int = BROADCAST_ROWS, items: int = 10 * BROADCAST_ROWS) -> DataFrame:
+    """As ``broadcast_if_small``, for rows that hold a list: the lists' total
+    length is bounded too."""
+    n, total = df.agg(F.count(F.lit(1)), F.sum(F.size(lists))).first()
+    return F.broadcast(df) if n <= rows and (total or 0) <= items else df
+
+
 def number_rows(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     """Add ``out``: 0, 1, ... in ``order``.  Range partitions are numbered each
     by itself; only one count per partition goes to the driver."""

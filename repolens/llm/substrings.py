@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import broadcast_if_small, write_table
+from .common import broadcast_if_light, write_table
 
 MIN_WORDS, ANCHOR = 50, 25
 
@@ -120,7 +120,7 @@ def repeated_spans(docs: DataFrame, size: int = MIN_WORDS, anchor: int = ANCHOR)
               .groupBy(F.col("low.doc").alias("doc"), F.col("low.h").alias("h"))
               .agg(F.collect_list(F.struct("a", "off", F.col("low.first").alias("first"), "n")).alias("runs")))
     opened = write_table(opened, "substring-opened")
-    cut = docs.join(broadcast_if_small(opened), ["doc", "h"])
+    cut = docs.join(broadcast_if_light(opened, "runs"), ["doc", "h"])
     windows = write_table(cut.select("doc", "h", F.explode(_windows(size)(F.col("text"), F.col("runs"))).alias("x")).select("doc", "h", "x.*"),
                           "substring-windows")
     lowest = write_table(windows.groupBy("a", "off", "w").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
@@ -172,6 +172,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.array(out, pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())]))
 
     # Null ids meet nothing; they are spread by their text.
-    j = rows.join(spans.withColumnsRenamed({"doc": "s_doc", "h": "s_h"}), (F.col("doc") == F.col("s_doc")) & (F.col("h") == F.col("s_h")), "left")
+    found = broadcast_if_light(spans, "spans").withColumnsRenamed({"doc": "s_doc", "h": "s_h"})
+    j = rows.join(found, (F.col("doc") == F.col("s_doc")) & (F.col("h") == F.col("s_h")), "left")
     return (j.withColumn("k", kept(F.col("text"), F.col("spans")))
             .select(F.col("doc").alias("doc_id"), "spans", "k.n_words", "k.n_removed", "k.kept"))
