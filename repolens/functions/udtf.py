@@ -16,33 +16,35 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
-from ..operators.extract import _function_rows, _parse, _structure_rows, _top_level_refs
+from ..operators.extract import STRUCTURE_ERROR, token_rows
 
 
 @udtf(returnType="ref string", useArrow=True)
 class ExtractRefs:
     def eval(self, content: str):
-        tree = _parse(content) if content is not None else None
-        if tree is None:
-            return
-        for r in sorted(_top_level_refs(tree)):
-            yield (r,)
+        for ref in sorted({row[4] for row in token_rows(content, False)} - {None}):
+            yield (ref,)
 
 
 @udtf(returnType="pos int, kind string, name string, members array<string>, lineno int", useArrow=True)
 class ExtractStructure:
     def eval(self, content: str):
-        for _, pos, kind, name, members, lineno in _structure_rows(None, content if content is not None else ""):
-            yield pos, kind, name, members, lineno
+        pos = 0
+        for level, _, kind, name, _, members, _, lineno, _, _ in token_rows(content, False):
+            if kind == "error":
+                yield 0, kind, STRUCTURE_ERROR + name, None, None
+            elif level == 1 and kind != "async":
+                yield pos, kind, name, members, lineno
+                pos += 1
 
 
-@udtf(returnType="bfs_pos int, name string, is_async boolean, lineno int, has_docstring boolean, code string",
+@udtf(returnType="level int, seq int, name string, is_async boolean, lineno int, has_docstring boolean, code string",
       useArrow=True)
 class ExtractFunctions:
     def eval(self, content: str, with_code: bool = True):
-        for _, i, name, is_async, _depth, lineno, has_doc, code in _function_rows(
-                None, content if content is not None else "", with_code):
-            yield i, name, is_async, lineno, has_doc, code
+        for level, seq, kind, name, _, _, _, lineno, doc, code in token_rows(content, with_code):
+            if kind in ("function", "async"):
+                yield level, seq, name, kind == "async", lineno, doc, code
 
 
 def register_udtfs(spark: SparkSession) -> None:

@@ -1,11 +1,11 @@
 """Row-expanding extraction over source corpora.
 
-Python's standard ``ast`` module parses each file inside an Arrow-batched
-``mapInPandas`` task; the task only emits token rows.  Distinct, first match,
-roll-ups and joins are ordinary Spark operators applied afterwards, so the
-Python step is embarrassingly parallel and never sees more than one batch of
-files.  A file that fails to parse yields no reference rows (U1), an
-``error`` row (U2) or no function rows (U3/U4) -- never a failed job.
+One Python step, ``source_tokens``, parses each file inside an Arrow batch
+and emits a flat token stream: every import, class and function of the file
+with its nesting level and its place in reading order.  Everything that the
+operators add -- module-level selection, distinct references, numbering,
+first match, roll-ups, error texts -- is a Spark expression over the tokens.
+A file that can't be parsed is one ``error`` token, never a failed job.
 """
 
 from __future__ import annotations
@@ -14,80 +14,119 @@ import ast
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import normalize_name, requirement_name
-
-REFS_SCHEMA = "path string, ref string"
-STRUCTURE_SCHEMA = "path string, pos int, kind string, name string, members array<string>, lineno int"
-FUNCTIONS_SCHEMA = ("path string, bfs_pos int, name string, is_async boolean, depth int, lineno int, "
-                    "has_docstring boolean, code string")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a Python stage at least ``defaultParallelism`` input partitions.
-
-    A small source (one file, one row group) scans as one partition, which
-    would put every parse in one Python worker.  Large inputs already have
-    many scan partitions and are left alone (no extra shuffle of text)."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
-
-
-def _parse(text):
+from ..functions.text import is_safe_path
+
+TOKENS_SCHEMA = ("level int, seq int, kind string, name string, ref string, members array<string>, depth int, lineno int, "
+                 "has_docstring boolean, code string")
+_TOKEN = [f.split()[0] for f in TOKENS_SCHEMA.split(", ")]
+
+# Fixed values that must equal the reference's behaviour: error texts.
+UNSAFE_ERROR = "Error: Access to .env files is strictly prohibited."
+STRUCTURE_ERROR = "Error parsing AST: "
+FUNCTION_ERROR = "Error extracting function: "
+
+
+class _TokenStream(ast.NodeVisitor):
+    """Collects a file's tokens.  ``level`` is the distance from the module,
+    ``seq`` the reading order, ``depth`` the number of enclosing definitions;
+    ``(level, seq)`` is therefore breadth-first order."""
+
+    def __init__(self, with_code: bool = True):
+        self.rows: list[tuple] = []
+        self.level = self.depth = self.seq = 0
+        self.with_code = with_code
+
+    def emit(self, kind, name, node, ref=None, members=None, doc=None, code=None):
+        self.rows.append((self.level, len(self.rows), kind, name, ref, members, self.depth, node.lineno, doc, code))
+
+    def generic_visit(self, node):
+        self.level += 1
+        super().generic_visit(node)
+        self.level -= 1
+
+    def _definition(self, node):
+        self.depth += 1
+        self.generic_visit(node)
+        self.depth -= 1
+
+    def visit_Import(self, node):
+        for target in node.names:
+            self.emit("import", target.name, node, ref=target.name.partition(".")[0])
+
+    def visit_ImportFrom(self, node):
+        origin = node.module or ""
+        root = origin.partition(".")[0] if not node.level else ""
+        for target in node.names:
+            self.emit("import", f"{origin}.{target.name}", node, ref=root or None)
+
+    def visit_ClassDef(self, node):
+        inner = _TokenStream(False)
+        for part in node.body:
+            if type(part) is ast.FunctionDef:
+                inner.emit("method", part.name, part)
+        self.emit("class", node.name, node, members=[row[3] for row in inner.rows])
+        self._definition(node)
+
+    def _function(self, node, kind):
+        code = None
+        if self.with_code:
+            try:
+                code = ast.unparse(node)
+            except (ValueError, RecursionError):
+                code = None
+        self.emit(kind, node.name, node, members=[p.arg for p in node.args.args], doc=bool(ast.get_docstring(node)), code=code)
+        self._definition(node)
+
+    def visit_FunctionDef(self, node):
+        self._function(node, "function")
+
+    def visit_AsyncFunctionDef(self, node):
+        self._function(node, "async")
+
+
+def token_rows(content: str | None, with_code: bool = True) -> list[tuple]:
+    """Tokens of one file as rows of TOKENS_SCHEMA; null reads as empty."""
+    stream = _TokenStream(with_code)
     try:
-        return ast.parse(text)
-    except Exception:  # SyntaxError, ValueError (null bytes), RecursionError
-        return None
-
-
-def _top_level_refs(tree) -> set[str]:
-    refs = set()
-    for node in ast.walk(tree):
-        if isinstance(node, ast.Import):
-            for n in node.names:
-                refs.add(n.name.split(".")[0])
-        elif isinstance(node, ast.ImportFrom):
-            if node.level == 0 and node.module:
-                refs.add(node.module.split(".")[0])
-    return refs
+        stream.visit(ast.parse(content or ""))
+    except Exception as e:  # noqa: BLE001 -- SyntaxError, null bytes, recursion: a value, not a failure
+        return [(0, 0, "error", str(e), None, None, 0, None, None, None)]
+    return stream.rows
 
 
-def _key_schema(df: DataFrame, keys) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys)
+def source_tokens(files: DataFrame, content_col: str = "content", keys=("path",), with_code: bool = True) -> DataFrame:
+    """``keys`` plus TOKENS_SCHEMA, one row per token.  Parallelism is that of
+    the input's partitions: size them where the corpus is read
+    (``spark.sql.files.maxPartitionBytes``)."""
+    keys = list(keys)
+    src = files.select(*keys, F.col(content_col).alias("__content"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
 
-
-def _refs_batches(keys):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            idx, refs = [], []
-            for i, text in enumerate(pdf["content"]):
-                tree = _parse(text) if text is not None else None
-                if tree is None:
-                    continue
-                for r in sorted(_top_level_refs(tree)):
-                    idx.append(i)
-                    refs.append(r)
-            if not idx:
+            found = [(i, row) for i, text in enumerate(pdf["__content"]) for row in token_rows(text, with_code)]
+            if not found:
                 continue  # an empty batch would not serialise as Arrow
-            out = pdf[keys].iloc[idx].reset_index(drop=True)
-            out["ref"] = pd.Series(refs, dtype="object")
-            yield out
-    return run
+            out = pd.concat([pdf[keys].iloc[[i for i, _ in found]].reset_index(drop=True),
+                             pd.DataFrame([row for _, row in found], columns=_TOKEN)], axis=1)
+            yield out.astype({"level": "int32", "seq": "int32", "depth": "int32", "lineno": "Int32", "has_docstring": "boolean"})
+
+    return src.mapInPandas(run, f"{schema}, {TOKENS_SCHEMA}")
 
 
 def extract_refs(files: DataFrame, path_col: str = "path", content_col: str = "content",
                  keys=None) -> DataFrame:
-    """Distinct top-level module names imported by each file.
-
-    Relative imports are skipped; an unparseable file yields no rows.
+    """Distinct top-level module names imported by each file, at any
+    depth.  Relative imports are skipped; an unparseable file yields no rows.
     ``keys`` (default: the path column) are carried to every output row, so a
-    ``repo`` column survives without a join back.
-    """
+    ``repo`` column survives without a join back."""
     keys = list(keys or [path_col])
-    src = spread(files.select(*keys, F.col(content_col).alias("content")))
-    return src.mapInPandas(_refs_batches(keys), _key_schema(src, keys) + ", ref string")
+    return (source_tokens(files, content_col, keys, with_code=False).where(F.col("ref").isNotNull())
+            .select(*keys, "ref").distinct())
 
 
 def extract_links(pages: DataFrame, path_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -99,119 +138,58 @@ def extract_links(pages: DataFrame, path_col: str = "url", html_col: str = "html
             .where(F.col("ref") != "").distinct())
 
 
-def _structure_rows(path, text):
-    try:
-        tree = ast.parse(text)
-    except Exception as e:  # noqa: BLE001
-        return [(path, 0, "error", f"Error parsing AST: {e}", None, None)]
-    rows = []
-    pos = 0
-    for node in tree.body:
-        if isinstance(node, ast.ClassDef):
-            methods = [m.name for m in node.body if isinstance(m, ast.FunctionDef)]
-            rows.append((path, pos, "class", node.name, methods, node.lineno))
-            pos += 1
-        elif isinstance(node, ast.FunctionDef):
-            rows.append((path, pos, "function", node.name, [a.arg for a in node.args.args], node.lineno))
-            pos += 1
-        elif isinstance(node, ast.Import):
-            for alias in node.names:
-                rows.append((path, pos, "import", alias.name, None, node.lineno))
-                pos += 1
-        elif isinstance(node, ast.ImportFrom):
-            module = node.module or ""
-            for alias in node.names:
-                rows.append((path, pos, "import", f"{module}.{alias.name}", None, node.lineno))
-                pos += 1
-    return rows
-
-
-def _structure_batches(it):
-    cols = ["path", "pos", "kind", "name", "members", "lineno"]
-    for pdf in it:
-        rows = []
-        for path, text in zip(pdf["path"], pdf["content"]):
-            rows.extend(_structure_rows(path, text if text is not None else ""))
-        if not rows:
-            continue
-        out = pd.DataFrame(rows, columns=cols)
-        out["pos"] = out["pos"].astype("int32")
-        out["lineno"] = out["lineno"].astype("Int32")
-        yield out
-
-
 def extract_structure(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
     """Module-level classes (with sync method names), sync functions
     (with positional argument names) and imports (``module.name``; relative
-    ``from . import y`` gives ``.y``), with line numbers.  A file that does
-    not parse yields one ``error`` row."""
-    src = spread(files.select(F.col(path_col).alias("path"), F.col(content_col).alias("content")))
-    return src.mapInPandas(_structure_batches, STRUCTURE_SCHEMA)
-
-
-def _function_rows(path, text, with_code=True):
-    tree = _parse(text)
-    if tree is None:
-        return []
-    rows = []
-    # ast.walk is breadth first; depth tracks nesting for callers that care.
-    depth = {id(tree): 0}
-    for i, node in enumerate(ast.walk(tree)):
-        for child in ast.iter_child_nodes(node):
-            depth[id(child)] = depth.get(id(node), 0) + (1 if isinstance(
-                node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) else 0)
-        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            code = None
-            if with_code:
-                try:
-                    code = ast.unparse(node)
-                except Exception:  # noqa: BLE001
-                    code = None
-            rows.append((path, i, node.name, isinstance(node, ast.AsyncFunctionDef), depth.get(id(node), 0),
-                         node.lineno, bool(ast.get_docstring(node)), code))
-    return rows
-
-
-def _function_batches(with_code):
-    cols = ["path", "bfs_pos", "name", "is_async", "depth", "lineno", "has_docstring", "code"]
-
-    def run(it):
-        for pdf in it:
-            rows = []
-            for path, text in zip(pdf["path"], pdf["content"]):
-                rows.extend(_function_rows(path, text if text is not None else "", with_code))
-            if not rows:
-                continue
-            out = pd.DataFrame(rows, columns=cols)
-            for c in ("bfs_pos", "depth", "lineno"):
-                out[c] = out[c].astype("int32")
-            yield out
-    return run
+    ``from . import y`` gives ``.y``), numbered in reading order, with line
+    numbers.  A file that does not parse and one whose path is unsafe yield
+    one ``error`` row."""
+    src = files.select(F.col(path_col).alias("path"), F.col(content_col).alias("content"))
+    safe = is_safe_path(F.coalesce("path", F.lit("")))
+    tokens = source_tokens(src.where(safe), with_code=False)
+    top = tokens.where((F.col("kind") == "error") | ((F.col("level") == 1) & (F.col("kind") != "async")))
+    name = F.when(F.col("kind") == "error", F.concat(F.lit(STRUCTURE_ERROR), "name")).otherwise(F.col("name"))
+    # A file's tokens are numbered together: the window is of one file's size.
+    pos = F.row_number().over(Window.partitionBy("path").orderBy("seq")) - 1
+    refused = src.where(~safe).select("path", F.lit(0).alias("pos"), F.lit("error").alias("kind"), F.lit(UNSAFE_ERROR).alias("name"),
+                                      F.lit(None).cast("array<string>").alias("members"), F.lit(None).cast("int").alias("lineno"))
+    return top.select("path", pos.alias("pos"), "kind", name.alias("name"), "members", "lineno").unionByName(refused)
 
 
 def extract_functions(files: DataFrame, path_col: str = "path", content_col: str = "content",
                       with_code: bool = True) -> DataFrame:
-    """Every function (sync and async, any depth) with its breadth-first
-    position, docstring flag and (``with_code``) re-rendered source."""
-    src = spread(files.select(F.col(path_col).alias("path"), F.col(content_col).alias("content")))
-    return src.mapInPandas(_function_batches(with_code), FUNCTIONS_SCHEMA)
+    """Every function (sync and async, any depth) with its place ((level,
+    seq) is breadth-first order), docstring flag and (``with_code``)
+    re-rendered source."""
+    src = files.select(F.col(path_col).alias("path"), F.col(content_col).alias("content"))
+    return (source_tokens(src, with_code=with_code).where(F.col("kind").isin("function", "async"))
+            .select("path", "level", "seq", "name", (F.col("kind") == "async").alias("is_async"), "depth", "lineno", "has_docstring", "code"))
 
 
 def find_function(files: DataFrame, requests: DataFrame, path_col: str = "path",
                   content_col: str = "content") -> DataFrame:
     """Per ``(path, function_name)`` request, the re-rendered source of
-    the first (breadth-first) sync function of that name, else a not-found
-    text.  Only the requested files are parsed (semi join before Python)."""
+    the first (breadth-first) sync function of that name; else ``found`` is
+    false and ``code`` the error text: unsafe path, missing or unreadable
+    file (no row, or null content), unparseable file, or no such function.
+    Only the requested files are parsed (semi join before Python)."""
     req = requests.select("path", "function_name").distinct()
     wanted = files.select(F.col(path_col).alias("path"), F.col(content_col).alias("content")) \
+        .where(F.col("content").isNotNull() & is_safe_path("path")) \
         .join(req.select("path").distinct(), "path", "left_semi")
-    fns = extract_functions(wanted).where(~F.col("is_async"))
-    first = (fns.groupBy("path", F.col("name").alias("function_name"))
-             .agg(F.min_by("code", "bfs_pos").alias("code")))
-    out = req.join(first, ["path", "function_name"], "left")
-    missing = F.concat(F.lit("Function '"), F.col("function_name"), F.lit("' not found in "), F.col("path"))
-    return out.select("path", "function_name", F.col("code").isNotNull().alias("found"),
-                      F.coalesce("code", missing).alias("code"))
+    tokens = source_tokens(wanted).where(F.col("kind").isin("function", "error"))
+    # One row per file and name; a parsed file always has its "" row.
+    first = (tokens.groupBy("path", F.when(F.col("kind") == "error", "").otherwise(F.col("name")).alias("function_name"))
+             .agg(F.min_by(F.struct("kind", "name", "code"), F.struct("level", "seq")).alias("t")))
+    failed = first.where(F.col("function_name") == "").select("path", F.col("t.name").alias("__error"))
+    known = wanted.select("path").distinct().withColumn("__read", F.lit(True))
+    out = (req.join(first.where(F.col("function_name") != "").select("path", "function_name", "t.code"), ["path", "function_name"], "left")
+           .join(failed, "path", "left").join(known, "path", "left"))
+    text = (F.when(~is_safe_path("path"), F.lit(UNSAFE_ERROR))
+            .when(F.col("__read").isNull(), F.concat(F.lit(FUNCTION_ERROR + "[Errno 2] No such file or directory: '"), "path", F.lit("'")))
+            .when(F.col("__error").isNotNull(), F.concat(F.lit(FUNCTION_ERROR), "__error"))
+            .otherwise(F.concat(F.lit("Function '"), F.col("function_name"), F.lit("' not found in "), F.col("path"))))
+    return out.select("path", "function_name", F.col("code").isNotNull().alias("found"), F.coalesce("code", text).alias("code"))
 
 
 def docstring_coverage(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:

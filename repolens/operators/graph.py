@@ -43,41 +43,42 @@ def _installed_roots(roots: DataFrame, installed: DataFrame | None) -> DataFrame
 
 
 def reachable(edges: DataFrame, roots: DataFrame, installed: DataFrame | None = None, direction: str = "out",
-              max_rounds: int = 10_000) -> DataFrame:
+              compact_every: int = 8) -> DataFrame:
     """The distinct nodes reachable from any root (roots included; a root
     that is not installed is omitted).  ``direction="in"`` walks edges
     backwards (transitive reverse dependencies).
 
-    Each round: frontier ⋈ edges -> distinct -> anti join with the visited
-    table; both the new frontier and the grown visited table are reliably
-    checkpointed, so lineage is one round deep.  Rounds = graph depth."""
+    Each round joins the frontier to the edges and keeps what is new; only
+    the new frontier is checkpointed.  The visited set is the union of the
+    rounds' frontiers, written as one table every ``compact_every`` rounds.
+    Rounds go on until nothing new is found (graph depth)."""
     e = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")) if direction == "out" else \
         edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))
     frontier = _ckpt(_installed_roots(roots, installed))
-    visited = frontier
-    for _ in range(max_rounds):
+    visited, parts = frontier, 1
+    while True:
         nxt = (frontier.join(e, frontier.node == e.a).select(F.col("b").alias("node")).distinct()
                .join(visited, "node", "left_anti"))
         nxt = _ckpt(nxt)
         if nxt.isEmpty():
-            break
-        visited = _ckpt(visited.unionAll(nxt))
+            return visited
+        visited, parts = visited.unionAll(nxt), parts + 1
+        if parts > compact_every:
+            visited, parts = _ckpt(visited), 1
         frontier = nxt
-    return visited
 
 
 def dep_tree(edges: DataFrame, roots: DataFrame, installed: DataFrame | None = None,
-             max_depth: int | None = 6) -> DataFrame:
+             max_depth: int | None = None) -> DataFrame:
     """G1: every branch from every root; a child already on its own branch
     becomes a leaf marked ``recursive`` and is not expanded (the guard is
     per branch, so shared nodes expand once per branch).  Output ``root,
     depth, parent, node, path ARRAY, recursive``.
 
-    The number of branches grows exponentially with depth (about 1.7x per
-    level on the test graph), so ``max_depth`` bounds the walk; ``None``
-    walks every simple branch to its end like the reference, which only
-    finishes on small graphs.  The unbounded structure is available exactly
-    and compactly from ``reachable`` (G2) and ``preorder_tree`` (G3)."""
+    Every simple branch is walked to its end, so the output is as large as
+    the number of branches; ``max_depth`` cuts it where a caller asks for a
+    cut.  ``reachable`` (G2) and ``preorder_tree`` (G3) hold the same
+    structure in at most one row per root and edge."""
     e = edges.select(F.col("src").alias("_s"), F.col("dst").alias("_d"))
     r = _installed_roots(roots, installed)
     level = _ckpt(r.select(F.col("node").alias("root"), F.lit(0).alias("depth"), F.lit(None).cast(r.schema["node"].dataType)
@@ -98,16 +99,16 @@ def dep_tree(edges: DataFrame, roots: DataFrame, installed: DataFrame | None = N
     return reduce(DataFrame.unionByName, levels)
 
 
-def preorder_tree(edges: DataFrame, roots: DataFrame, installed: DataFrame | None = None,
-                  max_rounds: int = 10_000) -> DataFrame:
+def preorder_tree(edges: DataFrame, roots: DataFrame, installed: DataFrame | None = None) -> DataFrame:
     """The display tree per root with children in name order, where the
     first visit of a node in preorder is expanded and later visits are shown
     as ``repeated`` leaves.
 
     The first-visit path of a node is its lexicographically smallest simple
     path from the root (names compared as strings), found by label
-    correcting: each round relaxes every edge from every labelled node and
-    keeps the minimum label per (root, node), until no label changes.  Then
+    correcting: each round relaxes the edges of the labels that the last
+    round changed and keeps the minimum label per (root, node), until no
+    label changes.  Then
     every edge leaving a reached node is one displayed row, ``repeated``
     unless it is the child's own first-visit path.  A root without metadata
     is one ``missing`` row.  Output ``root, depth, parent, node, repeated,
@@ -117,21 +118,18 @@ def preorder_tree(edges: DataFrame, roots: DataFrame, installed: DataFrame | Non
     inst = (installed.select(F.col("node").cast("string").alias("node")).distinct()
             if installed is not None else None)
     r = all_roots if inst is None else all_roots.join(inst, "node", "left_semi")
-    labels = _ckpt(r.select(F.col("node").alias("root"), "node", F.array("node").alias("label")))
-    for _ in range(max_rounds):
-        cand = (labels.join(e, F.col("node") == F.col("_s"))
+    labels = _ckpt(r.select(F.col("node").alias("root"), "node", F.array("node").alias("label"), F.lit(1).alias("_new")))
+    while not labels.where(F.col("_new") == 1).isEmpty():
+        cand = (labels.where(F.col("_new") == 1).join(e, F.col("node") == F.col("_s"))
                 .where(~F.array_contains("label", F.col("_d")))
                 .select("root", F.col("_d").alias("node"), F.concat("label", F.array("_d")).alias("label")))
         # Tag where the winning label comes from: 0 = already known, 1 = new
         # this round (ties keep the known one), so "did anything change" is a
         # filter on the checkpointed result instead of another shuffle join.
-        both = labels.select("*", F.lit(0).alias("_new")).unionByName(cand.select("*", F.lit(1).alias("_new")))
+        both = labels.withColumn("_new", F.lit(0)).unionByName(cand.withColumn("_new", F.lit(1)))
         best = both.groupBy("root", "node").agg(F.min(F.struct("label", "_new")).alias("b"))
-        merged = _ckpt(best.select("root", "node", F.col("b.label").alias("label"), F.col("b._new").alias("_new")))
-        changed = not merged.where(F.col("_new") == 1).isEmpty()
-        labels = merged.drop("_new")
-        if not changed:
-            break
+        labels = _ckpt(best.select("root", "node", F.col("b.label").alias("label"), F.col("b._new").alias("_new")))
+    labels = labels.drop("_new")
     lab = labels.alias("p")
     rows = (lab.join(e, F.col("p.node") == F.col("_s"))
             .join(labels.select("root", F.col("node").alias("_d"), F.col("label").alias("child_label")),

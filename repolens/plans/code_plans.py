@@ -34,19 +34,32 @@ def q_extract_structure(spark, sf_dir):
 @register("find_function", """
 WITH req AS (
   SELECT path, p_partkey, unnest(['m1', 'f' || CAST(p_partkey % 50 AS VARCHAR), 'm2', 'nope']) AS function_name
-  FROM v_code)
-SELECT path, function_name, function_name IN ('m1', 'f' || CAST(p_partkey % 50 AS VARCHAR)) AS found,
-       CASE WHEN function_name = 'm1' THEN 'def m1(self, a):'
-            WHEN function_name = 'f' || CAST(p_partkey % 50 AS VARCHAR) THEN 'def ' || function_name || '(x, y):'
-            ELSE 'Function ''' || function_name || ''' not found in ' || path END AS first_line
-FROM req""")
+  FROM v_code
+  UNION ALL SELECT '.env/' || path, p_partkey, 'm1' FROM v_code
+  UNION ALL SELECT 'gone/' || path, p_partkey, 'm1' FROM v_code),
+code AS (
+SELECT path, function_name,
+       CASE WHEN path LIKE '.env/%' OR path LIKE 'gone/%' OR p_partkey % 10 = 7 THEN NULL
+            WHEN function_name = 'm1' THEN 'def m1(self, a):' || chr(10)
+              || CASE WHEN p_partkey % 2 = 0 THEN '    ' || repeat('"', 3) || 'doc' || repeat('"', 3) || chr(10) ELSE '' END || '    return a'
+            WHEN function_name = 'f' || CAST(p_partkey % 50 AS VARCHAR) THEN 'def ' || function_name || '(x, y):' || chr(10)
+              || CASE WHEN p_partkey % 3 = 0 THEN '    ' || repeat('"', 3) || 'Doc.' || repeat('"', 3) || chr(10) ELSE '' END || '    return x' END AS code,
+       CASE WHEN path LIKE '.env/%' THEN 'Error: Access to .env files is strictly prohibited.'
+            WHEN path LIKE 'gone/%' THEN 'Error extracting function: [Errno 2] No such file or directory: ' || chr(39) || path || chr(39)
+            WHEN p_partkey % 10 = 7 THEN 'Error extracting function: invalid syntax (<unknown>, line 1)'
+            ELSE 'Function ' || chr(39) || function_name || chr(39) || ' not found in ' || path END AS error
+FROM req)
+SELECT path, function_name, code IS NOT NULL AS found, coalesce(code, error) AS code FROM code""")
 def q_find_function(spark, sf_dir):
+    """Whole code texts; every tenth file can't be parsed, and some requests
+    name an unsafe or a missing path."""
     code = V.v_code(Tables(spark, sf_dir))
-    req = code.select("path", F.explode(F.array(F.lit("m1"), F.concat(F.lit("f"), (F.col("p_partkey") % 50)
-                                                                      .cast("string")),
-                                                F.lit("m2"), F.lit("nope"))).alias("function_name"))
-    out = extract.find_function(code, req)
-    return out.select("path", "function_name", "found", F.split("code", "\n").getItem(0).alias("first_line"))
+    names = F.array(F.lit("m1"), F.concat(F.lit("f"), (F.col("p_partkey") % 50).cast("string")), F.lit("m2"), F.lit("nope"))
+    req = code.select("path", F.explode(names).alias("function_name"))
+    for folder in (".env/", "gone/"):
+        req = req.unionByName(code.select(F.concat(F.lit(folder), "path").alias("path"), F.lit("m1").alias("function_name")))
+    files = code.withColumn("content", F.when(F.col("p_partkey") % 10 == 7, F.lit("def broken(:\n")).otherwise(F.col("content")))
+    return extract.find_function(files, req)
 
 
 @register("docstring_coverage", """

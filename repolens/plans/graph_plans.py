@@ -15,8 +15,6 @@ from ..sources.tables import Tables
 from .registry import register
 from .sqlparts import norm_sql
 
-DEP_TREE_DEPTH = 4
-
 _G = {
     "o_edges": "SELECT src, dst FROM v_edges WHERE dst IN (SELECT p_partkey FROM part)",
     "o_roots": "SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT dst FROM o_edges)",
@@ -67,17 +65,31 @@ def q_reachable_reverse(spark, sf_dir):
     return G.reachable(edges, targets, inst, direction="in")
 
 
-@register("dep_tree", f"""
+# G1 walks every branch: its graph has few branches per root.
+_TREE = {
+    "o_tree": "SELECT src, dst FROM v_tree_edges WHERE dst IN (SELECT p_partkey FROM part)",
+    "o_tree_roots": "SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT dst FROM o_tree)",
+}
+
+
+def _tree(t: Tables):
+    inst = t.part.select(F.col("p_partkey").alias("node"))
+    edges = V.v_tree_edges(t).join(inst.select(F.col("node").alias("dst")), "dst", "left_semi")
+    return edges, inst.join(edges.select(F.col("dst").alias("node")), "node", "left_anti"), inst
+
+
+@register("dep_tree", """
 WITH RECURSIVE t(root, depth, parent, node, path, recursive) AS (
-  SELECT node, 0, CAST(NULL AS BIGINT), node, [node], false FROM o_roots
+  SELECT node, 0, CAST(NULL AS BIGINT), node, [node], false FROM o_tree_roots
   UNION ALL
   SELECT t.root, t.depth + 1, t.node, e.dst, list_append(t.path, e.dst), list_contains(t.path, e.dst)
-  FROM t JOIN o_edges e ON e.src = t.node
-  WHERE NOT t.recursive AND t.depth < {DEP_TREE_DEPTH})
-SELECT root, depth, parent, node, array_to_string(path, '>') AS path, recursive FROM t""", _G)
+  FROM t JOIN o_tree e ON e.src = t.node
+  WHERE NOT t.recursive)
+SELECT root, depth, parent, node, array_to_string(path, '>') AS path, recursive FROM t""", _TREE)
 def q_dep_tree(spark, sf_dir):
-    edges, roots, inst = _graph(Tables(spark, sf_dir))
-    tree = G.dep_tree(edges, roots, inst, max_depth=DEP_TREE_DEPTH)
+    """Every branch to its end."""
+    edges, roots, inst = _tree(Tables(spark, sf_dir))
+    tree = G.dep_tree(edges, roots, inst)
     return tree.select("root", "depth", "parent", "node",
                        F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "recursive")
 

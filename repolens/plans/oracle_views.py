@@ -50,6 +50,15 @@ SELECT DISTINCT src, dst FROM (
   SELECT p_partkey AS src, CAST(p_size AS BIGINT) AS dst FROM part) e
 WHERE src <> dst""")
 
+_view("v_tree_edges", """
+SELECT DISTINCT src, dst FROM (
+  SELECT p_partkey AS src, CAST(p_partkey // 2 AS BIGINT) AS dst FROM part WHERE p_partkey > 1
+  UNION ALL
+  SELECT p_partkey, CAST(p_partkey // 4 AS BIGINT) FROM part WHERE p_partkey > 3 AND p_partkey % 3 = 0
+  UNION ALL
+  SELECT CAST(p_partkey // 2 AS BIGINT), p_partkey FROM part WHERE p_partkey > 40 AND p_partkey % 10 = 7) e
+WHERE src <> dst AND dst > 0""")
+
 _view("v_dists", """
 SELECT p_partkey, replace(p_name, ' ', '_') || '_' || CAST(p_partkey AS VARCHAR) AS name,
        CAST(p_size AS VARCHAR) AS version,

@@ -67,6 +67,17 @@ def v_edges(t: Tables) -> DataFrame:
     return a.unionAll(b).where(F.col("src") != F.col("dst")).distinct()
 
 
+def v_tree_edges(t: Tables) -> DataFrame:
+    """Package edges whose branches end by themselves: each part requires its
+    half, every third one also its quarter (diamonds), and every part from
+    the 41st on whose number ends in 7 stands in a cycle of two with its half."""
+    k = F.col("p_partkey")
+    a = t.part.where(k > 1).select(k.alias("src"), _half("p_partkey").alias("dst"))
+    b = t.part.where((k > 3) & (k % 3 == 0)).select(k.alias("src"), F.floor(k / 4).cast("bigint").alias("dst"))
+    c = t.part.where((k > 40) & (k % 10 == 7)).select(_half("p_partkey").alias("src"), k.alias("dst"))
+    return a.unionAll(b).unionAll(c).where((F.col("src") != F.col("dst")) & (F.col("dst") > 0)).distinct()
+
+
 def v_dists(t: Tables) -> DataFrame:
     """Installed distributions: ``p_partkey, name, version, license, classifiers_txt``."""
     k = F.col("p_partkey")
