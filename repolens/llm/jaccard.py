@@ -4,14 +4,16 @@ Documents are sets of five-word shingles; two are linked if their Jaccard
 similarity is at least ``SIMILAR_PERCENT``.  Documents of one set are one
 node.  Of a node's tokens (shingle hashes in one global order) a prefix of
 ``n - ceil(3n/4) + 1`` suffices: linked nodes share a token of their prefixes.
+A node's prefix also holds all its tokens in the first quarter of the order,
+so that what stands behind that quarter bounds the rest of any overlap.
 
-1. Groups: nodes are partitioned by their first shared prefix token; similar
-   nodes mostly have the same one.
+1. Groups: nodes are partitioned by their first shared prefix token and size
+   class; similar nodes mostly have the same ones.
 2. Matrix: for every shared token the groups whose token union holds it, with
-   each group's range of set sizes.
+   the range of their set sizes.
 3. Bound: the prefix tokens that a query node shares with a group's union,
-   plus all tokens behind the prefixes, limit its overlap with any member of
-   a fitting size; only groups that can reach the threshold are opened.
+   plus the tokens behind the first quarter, limit its overlap with any member
+   of a fitting size; only groups that can reach the threshold are opened.
 4. Opening: a query's group and the groups that it opens form a family.  The
    members of a family are compared exactly, in blocks of bounded size; in a
    pair of blocks, again only nodes whose overlap with the other block's
@@ -33,6 +35,8 @@ empty one.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -46,14 +50,17 @@ from .components import components
 SHINGLE, SIMILAR_PERCENT = 5, 75
 #: Share of texts in the frequency sample, occurrences in it that make a token
 #: frequent, and the largest number of frequent tokens listed.
-SAMPLE_ONE_IN, FREQUENT, MAX_FREQUENT = 32, 6, 1 << 20
+SAMPLE_ONE_IN, FREQUENT, MAX_FREQUENT = 16, 8, 1 << 20
 #: Nodes of a token whose query-group pairs are counted.
 MAX_NODES = 256
 #: Shared tokens that may be broadcast (8 bytes each).
 BROADCAST_TOKENS = 4_000_000
 #: Nodes and shingles of a block.
 BLOCK_NODES, BLOCK_TOKENS = 512, 1_000_000
-_LAST = np.int64(1 << 62)
+#: Growth of set sizes from one size class to the next.
+CLASS_GROWTH = 1.1
+#: Tokens are 62-bit hashes; frequent ones are moved behind all others.
+_LAST, _QUARTER = np.int64(1 << 62), np.int64(1 << 60)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -79,13 +86,14 @@ def _frequent_tokens(texts: DataFrame) -> np.ndarray:
 
 
 def _nodes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(doc_id, node, n, prefix) of every document."""
+    """(doc_id, node, n, behind, prefix) of every document; ``behind`` is the
+    number of tokens that don't stand in the first quarter of the order."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    kind = pa.struct([("node", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+    kind = pa.struct([("node", pa.int64()), ("n", pa.int64()), ("behind", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
-    @F.arrow_udf("struct<node:bigint,n:bigint,prefix:array<bigint>>")
+    @F.arrow_udf("struct<node:bigint,n:bigint,behind:bigint,prefix:array<bigint>>")
     def sketch(texts: pa.Array) -> pa.Array:
-        often, nodes, sizes, prefixes = shared.value, [], [], []
+        often, nodes, sizes, behind, prefixes = shared.value, [], [], [], []
         for s in texts:
             tokens = shingle_set(s.as_py())
             n = len(tokens)
@@ -94,18 +102,21 @@ def _nodes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             t = (tokens >> np.uint64(2)).astype(np.int64)
             if len(often):
                 t[often[np.minimum(np.searchsorted(often, t), len(often) - 1)] == t] += _LAST
-            prefixes.append(np.sort(t)[:n - _least_overlap(n) + 1] if n else t)
+            t.sort()
+            early = int(np.searchsorted(t, _QUARTER))
+            behind.append(n - early)
+            prefixes.append(t[:max(n - _least_overlap(n) + 1, early)] if n else t)
         offsets = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
         flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
-        return pa.StructArray.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()),
+        return pa.StructArray.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(behind, pa.int64()),
                                            pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64()))], fields=list(kind))
 
     return docs.select("doc_id", sketch(F.col("text")).alias("s")).select("doc_id", "s.*")
 
 
 def _shared_tokens(sketch: DataFrame) -> DataFrame:
-    """(t, node, n): the prefix tokens that several nodes hold."""
-    rows = sketch.select("node", "n", F.explode("prefix").alias("t"))
+    """(t, node, n, behind): the prefix tokens that several nodes hold."""
+    rows = sketch.select("node", "n", "behind", F.explode("prefix").alias("t"))
     several = write_table(rows.groupBy("t").agg(F.min("node").alias("a"), F.max("node").alias("b"))
                           .where(F.col("a") < F.col("b")).select("t"), "jaccard-tokens")
     if is_small(several, BROADCAST_TOKENS):
@@ -121,42 +132,39 @@ def _shared_tokens(sketch: DataFrame) -> DataFrame:
             before = np.concatenate([[0], np.cumsum(keep)])
             return pa.ListArray.from_arrays(before[offsets].astype(np.int32), pa.array(flat[keep], pa.int64()))
 
-        rows = sketch.select("node", "n", F.explode(only_shared(F.col("prefix"))).alias("t"))
+        rows = sketch.select("node", "n", "behind", F.explode(only_shared(F.col("prefix"))).alias("t"))
     else:
         rows = rows.join(several, "t")
-    return write_table(rows.select("t", "node", "n").dropDuplicates(["t", "node"]), "jaccard-rows")
+    return write_table(rows.select("t", "node", "n", "behind").dropDuplicates(["t", "node"]), "jaccard-rows")
 
 
 def _families(rows: DataFrame) -> DataFrame:
     """(node, n, family) of the nodes that may have a link."""
     # 1. Groups, named by their smallest node.
-    first = rows.groupBy("node", "n").agg(F.min("t").alias("t"))
-    head = rows.groupBy("t").agg(F.min("node").alias("g"), F.count(F.lit(1)).alias("nodes"))
-    head = write_table(head, "jaccard-heads")
-    group = write_table(first.join(head.select("t", "g"), "t").select("node", "n", "g"), "jaccard-groups")
+    first = rows.groupBy("node", "n", "behind").agg(F.min("t").alias("t"))
+    first = first.withColumn("class", F.floor(F.log("n") / math.log(CLASS_GROWTH)))
+    heads = first.groupBy("t", "class").agg(F.min("node").alias("g"))
+    group = write_table(first.join(heads, ["t", "class"]).select("node", "n", "behind", "g"), "jaccard-groups")
     # 2. The matrix, with the sizes of the members that have the token.
-    placed = write_table(rows.join(head.select("t", "nodes"), "t").join(group.select("node", "g"), "node"), "jaccard-placed")
+    holders = write_table(rows.groupBy("t").agg(F.count(F.lit(1)).alias("nodes")), "jaccard-holders")
+    placed = write_table(rows.join(holders, "t").join(group.select("node", "g"), "node"), "jaccard-placed")
     few = placed.where(F.col("nodes") <= MAX_NODES)
     matrix = few.groupBy("t", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).withColumnRenamed("g", "to")
-    sizes = group.groupBy(F.col("g").alias("s_g")).agg(F.min("n").alias("g_lo"), F.max("n").alias("g_hi"))
-    # 3. The bound.  Sizes of a partner lie in [t n, n / t].
-    p = SIMILAR_PERCENT
-    fits = (100 * F.col("hi") >= p * F.col("n")) & (p * F.col("lo") <= 100 * F.col("n")) & (F.col("to") != F.col("g"))
-    met = (few.select("t", "node", "n", "g").join(matrix, "t").where(fits)
-           .groupBy("node", "n", "g", "to").agg(F.count(F.lit(1)).alias("c")))
-    n, lo = F.col("n"), F.greatest(F.col("g_lo"), F.ceil(p * F.col("n") / 100.0) - 1)
-    hi = F.least(F.col("g_hi"), F.floor(100 * F.col("n") / float(p)) + 1)
-    # The least c with which a partner of size s may still have the overlap
-    # ceil(p (n + s) / (100 + p)): falls towards either end of the sizes.
-    behind = lambda s: F.ceil(p * s / 100.0) - 1
-    least = lambda s: F.ceil(p * (n + s) / float(100 + p)) - F.greatest(behind(n), behind(s)) - 1
+    sizes = group.groupBy(F.col("g").alias("s_g")).agg(F.min("n").alias("g_lo"), F.max("behind").alias("g_behind"))
+    # 3. The bound.  A partner's size s lies in [t n, n / t], and the overlap
+    # is at least p (n + s) / (100 + p).
+    p, n = SIMILAR_PERCENT, F.col("n")
+    fits = (100 * F.col("hi") >= p * n) & (p * F.col("lo") <= 100 * n) & (F.col("to") != F.col("g"))
+    met = (few.select("t", "node", "n", "behind", "g").join(matrix, "t").where(fits)
+           .groupBy("node", "n", "behind", "g", "to").agg(F.count(F.lit(1)).alias("c")))
+    least = F.ceil(p * (n + F.greatest("g_lo", F.ceil(p * n / 100.0))) / float(100 + p)) - F.least("behind", "g_behind")
     # Tokens that more nodes share than are counted may add to c.
     many = placed.where(F.col("nodes") > MAX_NODES).groupBy(F.col("node").alias("m_node")).agg(F.count(F.lit(1)).alias("m"))
     opened = (met.join(sizes, F.col("to") == F.col("s_g")).join(many, F.col("node") == F.col("m_node"), "left")
-              .where((F.col("c") + F.coalesce("m", F.lit(0)) >= F.least(least(lo), least(hi)))).select(F.col("g").alias("u"), F.col("to").alias("v")))
-    heads = placed.where(F.col("nodes") > MAX_NODES).groupBy("t", "g").agg(F.count(F.lit(1)))
-    top = heads.groupBy("t").agg(F.min("g").alias("top"))
-    opened = opened.union(heads.join(top, "t").select(F.col("g").alias("u"), F.col("top").alias("v"))).distinct()
+              .where(F.col("c") + F.coalesce("m", F.lit(0)) >= least).select(F.col("g").alias("u"), F.col("to").alias("v")))
+    common = placed.where(F.col("nodes") > MAX_NODES).groupBy("t", "g").agg(F.count(F.lit(1)))
+    top = common.groupBy("t").agg(F.min("g").alias("top"))
+    opened = opened.union(common.join(top, "t").select(F.col("g").alias("u"), F.col("top").alias("v"))).distinct()
     merged = components(opened)
     return write_table(group.join(merged, F.col("g") == F.col("vertex"), "left")
                        .select("node", "n", F.coalesce("component", "g").alias("family")), "jaccard-families")
