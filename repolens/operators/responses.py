@@ -149,19 +149,31 @@ def assemble_responses(lines: DataFrame, key: str = "response_id", order: str =
     # All tool-call deltas of the response in stream order (chunk order, then
     # position inside the chunk).
     deltas = F.flatten(F.transform(F.flatten(F.transform("_parts", lambda x: x["_d"])), lambda x: x["d"]))
-    deltas = F.transform(deltas, lambda d: d.withField("index", F.coalesce(d["index"], F.lit(0))))
+    out = lvl2.select(key, content.alias("content"), deltas.alias("_deltas"))
+    return out.select(key, "content", F.when(F.size("_deltas") > 0, merged_calls("_deltas")).alias("tool_calls"))
+
+
+def ordered_content(parts: str) -> Column:
+    """Content of sorted ``ARRAY<STRUCT<o, t, ..>>`` fragments: the non-null
+    texts joined, null if there is none."""
+    texts = F.filter(F.transform(parts, lambda x: x["t"]), lambda t: t.isNotNull())
+    return F.when(F.size(texts) > 0, F.array_join(texts, ""))
+
+
+def merged_calls(deltas: str) -> Column:
+    """Tool calls of an ordered array of deltas: per index, in order of first
+    appearance, the last non-empty id and the joined names and arguments."""
+    numbered = F.transform(deltas, lambda d: d.withField("index", F.coalesce(d["index"], F.lit(0))))
 
     def call(i):
-        ds = F.filter("_deltas", lambda d: d["index"] == i)
+        ds = F.filter(numbered, lambda d: d["index"] == i)
         ids = F.filter(F.transform(ds, lambda d: d["id"]), lambda x: x.isNotNull() & (x != ""))
         return F.struct(i.alias("index"),
                         F.coalesce(F.try_element_at(ids, F.lit(-1)), ds[0]["id"]).alias("id"),
                         F.array_join(F.transform(ds, lambda d: d["function"]["name"]), "").alias("name"),
                         F.array_join(F.transform(ds, lambda d: d["function"]["arguments"]), "").alias("arguments"))
 
-    out = lvl2.select(key, content.alias("content"), deltas.alias("_deltas"))
-    calls = F.transform(F.array_distinct(F.transform("_deltas", lambda d: d["index"])), call)
-    return out.select(key, "content", F.when(F.size("_deltas") > 0, calls).alias("tool_calls"))
+    return F.transform(F.array_distinct(F.transform(numbered, lambda d: d["index"])), call)
 
 
 def iteration_limit_audit(rounds: DataFrame, run_col: str = "run", order_col: str = "ts",

@@ -1,19 +1,20 @@
 """Change-set summarising.
 
-Per-file diffs are truncated (P6), packed into batches by size in arrival
+Per-file diffs, cut (P6) only where a ``limit`` is given, are packed into batches by size in arrival
 order (W1), rendered into prompts (P10), sent through a user-supplied
 function one batch per call (I1), and the per-batch summaries are folded
 into one prompt per change set for a second call (A5, I2).
 
 Ordering never relies on row order: every ordinal is computed from an
-explicit position column.  Ranks inside a change set are computed bucket by
-bucket (``distributed_row_number``), so a change set holding a third of all
+explicit position column.  Ranks inside a change set are computed range by
+range (``distributed_row_number``), so a change set holding a third of all
 files is numbered by many tasks, not one window partition.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -27,72 +28,71 @@ from .ordered import ordered_concat
 SMALL_ITEM_CHARS = 500   # items shorter than this are batched together
 BATCH_SIZE = 3           # small items per batch
 MAX_CONCURRENT = 4       # parallel calls per change set in the reference
-FILE_PROMPT = """Analyze this git diff and provide a 1-line summary (max 15 words).
-Focus on: what changed and why it matters. Be specific about the change.
-
-{diff}"""
-COORDINATOR_PROMPT = """Generate a git commit message from these file summaries.
-
-Rules:
-- First line: imperative mood summary, max 50 chars (e.g., "Add user authentication")
-- Blank line after first line
-- Bullet points for each significant change
-- Max 72 chars per line
-- Be concise but informative
-
-File changes:
-{summaries}"""
 # ---------------------------------------------------------------------------
+# Prompts: this engine's own wording, replaceable by argument.
+FILE_PROMPT = "In at most fifteen words, say what this change does and what it is for:\n\n{diff}"
+COORDINATOR_PROMPT = ("Write one commit message for the changes below: a short title in the imperative, an empty line, "
+                      "then one bullet per change that matters.\n\n{summaries}")
 
 _LEFTOVER = 1 << 62
 
 
-def distributed_row_number(df: DataFrame, keys, order_col: str, out_col: str = "rn", bucket: int = 4096) -> DataFrame:
-    """``row_number()`` over ``partitionBy(keys).orderBy(order_col)`` for a
-    unique numeric order column, computed without one partition per key:
-    rows are counted per ``(key, order // bucket)``, bucket offsets are a
-    running sum over the (few) buckets of a key, and the final number is the
-    offset plus the rank inside the bucket."""
+def distributed_row_number(df: DataFrame, keys, order_col: str, out_col: str = "rn") -> DataFrame:
+    """``row_number()`` over ``partitionBy(keys).orderBy(order_col)``,
+    computed without one partition per key: rows are dealt to ranges of (key,
+    order) and written once; a key's offset in a range is the number of its
+    rows in earlier ranges (a running sum over at most one row per range),
+    and the final number is the offset plus the rank inside the range.  Null
+    keys are a key, null orders come first.  Pass narrow rows."""
     keys = list(keys)
-    b = F.floor(F.col(order_col) / bucket).alias("_bk")
-    d = df.withColumn("_bk", b)
+    d = df.repartitionByRange(*keys, order_col).withColumn("_bk", F.spark_partition_id()).checkpoint(eager=True)
     counts = d.groupBy(*keys, "_bk").agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    offsets = offsets.withColumnsRenamed({k: f"_{k}_" for k in [*keys, "_bk"]})
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}_")) for k in [*keys, "_bk"]]
     inner = Window.partitionBy(*keys, "_bk").orderBy(order_col)
-    return (d.join(offsets, keys + ["_bk"])
-            .withColumn(out_col, F.col("_off") + F.row_number().over(inner))
-            .drop("_bk", "_off"))
+    return (d.withColumn(out_col, F.row_number().over(inner)).join(offsets, reduce(lambda a, b: a & b, same))
+            .withColumn(out_col, F.col("_off") + F.col(out_col)).select(*df.columns, out_col))
 
 
 def size_batches(diffs: DataFrame, key: str = "change_set", pos_col: str = "pos", path_col: str = "path",
-                 diff_col: str = "diff", truncate: bool = True, small_chars: int = SMALL_ITEM_CHARS,
+                 diff_col: str = "diff", limit: int | None = None, small_chars: int = SMALL_ITEM_CHARS,
                  batch_size: int = BATCH_SIZE) -> DataFrame:
-    """Items shorter than ``small_chars`` (measured after truncation and
-    its marker) are grouped ``batch_size`` at a time in arrival order; larger
+    """Items shorter than ``small_chars`` (measured after the cut at
+    ``limit`` and its marker, if one is given; a null diff is an empty one)
+    are grouped ``batch_size`` at a time in arrival order; larger
     items form a batch alone.  Batches are numbered in the order a
     sequential pass emits them: a full small batch when its last member
     arrives, a large item when it arrives, the leftover small batch last.
 
     Output ``key, batch_no, n_items, is_small, members
-    ARRAY<STRUCT<pos, path, diff>>`` (members in arrival order).
+    ARRAY<STRUCT<pos, path, diff>>`` (members in arrival order).  A null key
+    is a change set of its own.  Numbering works on (key, pos, size) alone;
+    texts are joined once, at the end.
     """
+    text = F.coalesce(F.col(diff_col), F.lit(""))
     d = diffs.select(F.col(key).alias("key"), F.col(pos_col).alias("pos"), F.col(path_col).alias("path"),
-                     (truncate_text(diff_col) if truncate else F.col(diff_col)).alias("diff"))
-    d = d.withColumn("small", F.length("diff") < small_chars)
-    small = distributed_row_number(d.where("small"), ["key"], "pos", "rn")
-    small = small.withColumn("grp", F.floor((F.col("rn") - 1) / batch_size))
-    large = d.where(~F.col("small")).withColumn("grp", -F.col("pos") - 1)
-    items = small.drop("rn").unionByName(large)
-    member = F.struct("pos", "path", "diff")
-    batches = items.groupBy("key", "grp").agg(
-        F.array_sort(F.collect_list(member)).alias("members"), F.max("pos").alias("last_pos"),
-        F.bool_and("small").alias("is_small"))
-    batches = batches.withColumn("n_items", F.size("members"))
-    leftover = F.col("is_small") & (F.col("n_items") < batch_size)
-    batches = batches.withColumn("_ord", F.when(leftover, F.lit(_LEFTOVER)).otherwise(F.col("last_pos")))
-    batches = distributed_row_number(batches, ["key"], "_ord", "batch_no")
-    return batches.select(F.col("key").alias(key), "batch_no", "n_items", "is_small", "members")
+                     (truncate_text(text, limit) if limit else text).alias("diff"))
+    thin = d.select("key", "pos", (F.length("diff") < small_chars).alias("small"))
+    small = distributed_row_number(thin.where("small"), ["key"], "pos", "rn")
+    small = small.withColumn("grp", F.floor((F.col("rn") - 1) / batch_size)).drop("rn")
+    large = thin.where(~F.col("small")).withColumn("grp", F.lit(None).cast("bigint"))
+    items = small.unionByName(large).checkpoint(eager=True)
+    batches = items.where("small").groupBy("key", "grp").agg(F.max("pos").alias("last"), F.count("*").cast("int").alias("n_items"))
+    leftover = F.col("n_items") < batch_size
+    batches = batches.withColumn("_ord", F.when(leftover, F.lit(_LEFTOVER)).otherwise(F.col("last"))).drop("last")
+    single = items.where(~F.col("small")).select("key", F.col("pos").alias("at"), F.lit(1).alias("n_items"), F.col("pos").alias("_ord"))
+    numbered = distributed_row_number(batches.withColumn("at", F.lit(None).cast(items.schema["pos"].dataType)).select("key", "grp", "at", "n_items", "_ord")
+                                      .unionByName(single.withColumn("grp", F.lit(None).cast("bigint"))), ["key"], "_ord", "batch_no")
+    b = numbered.select(F.col("key").alias("b_key"), F.col("grp").alias("b_grp"), "at", "n_items", "batch_no")
+    placed = items.join(b, F.col("key").eqNullSafe(F.col("b_key")) & F.col("grp").eqNullSafe(F.col("b_grp"))
+                        & F.when(F.col("small"), F.lit(None)).otherwise(F.col("pos")).eqNullSafe(F.col("at")))
+    placed = placed.select(F.col("key").alias("p_key"), F.col("pos").alias("p_pos"), "small", "n_items", "batch_no")
+    whole = d.join(placed, F.col("key").eqNullSafe(F.col("p_key")) & F.col("pos").eqNullSafe(F.col("p_pos")))
+    return (whole.groupBy("key", "batch_no").agg(F.first("n_items").alias("n_items"), F.first("small").alias("is_small"),
+                                                 F.array_sort(F.collect_list(F.struct("pos", "path", "diff"))).alias("members"))
+            .select(F.col("key").alias(key), "batch_no", "n_items", "is_small", "members"))
 
 
 def batch_prompt(template: str = FILE_PROMPT):
@@ -134,13 +134,13 @@ def map_batches(batches: DataFrame, fn: Callable[[str], str] = first_words, temp
     """One call of ``fn`` per batch; a failure becomes an ``error`` value
     on that row, never a failed job.  The result is lazy: a caller that
     consumes it more than once should ``checkpoint()`` it so the function
-    is not called again.  ``max_concurrent`` caps the number of
-    partitions (hence simultaneous calls); by default Spark's parallelism
-    applies.  Only the prompt and keys cross into Python (Arrow batches)."""
+    is not called again.  ``max_concurrent`` bounds the simultaneous
+    calls of one change set: its batches are dealt to so many slots, each in
+    one partition; by default Spark's parallelism applies.  Only the prompt and keys cross into Python (Arrow batches)."""
     b = batches.select(key, "batch_no", F.transform("members", lambda m: m["path"]).alias("files"),
                        batch_prompt(template).alias("prompt"))
     if max_concurrent:
-        b = b.repartition(max_concurrent, key, "batch_no")
+        b = b.withColumn("_slot", F.col("batch_no") % max_concurrent).repartition(key, "_slot").drop("_slot")
     keys = [key, "batch_no", "files"]
     schema = f"`{key}` {b.schema[key].dataType.simpleString()}, batch_no bigint, files array<string>, " \
              "summary string, error string"
@@ -193,13 +193,13 @@ def _call_fold(fn: Callable[[str], str], key: str):
 def summarize_change_sets(diffs: DataFrame, fn: Callable[[str], str] = first_words,
                           coordinator_fn: Callable[[str], str] | None = None, key: str = "change_set",
                           file_prompt: str = FILE_PROMPT, coordinator_prompt: str = COORDINATOR_PROMPT,
-                          max_concurrent: int | None = None) -> DataFrame:
-    """Truncate -> batch -> per-batch call -> fold -> one coordinator
+                          max_concurrent: int | None = None, limit: int | None = None) -> DataFrame:
+    """(cut at ``limit``, if given) -> batch -> per-batch call -> fold -> one coordinator
     call per change set -> strip code fences.  Output ``key, message,
     n_batches, n_failed, error``; ``message`` is null when no batch produced
     a summary."""
     coordinator_fn = coordinator_fn or fn
-    batches = size_batches(diffs, key)
+    batches = size_batches(diffs, key, limit=limit)
     # The per-batch results feed two branches (the fold and the stats): call
     # the user's function once per batch and keep the answers (reliable
     # checkpoint in the shared folder), instead of calling it twice.

@@ -40,11 +40,7 @@ def _words(x: str) -> str:
 
 
 _BATCH = {
-    "o_items": f"""
-SELECT change_set, pos, path,
-       CASE WHEN length(diff) > 2000 THEN substr(diff, 1, 2000) || chr(10) || '... (truncated for brevity)'
-            ELSE diff END AS diff
-FROM v_diffs""",
+    "o_items": "SELECT change_set, pos, path, diff FROM v_diffs",
     "o_grp": f"""
 SELECT *, length(diff) < {SM.SMALL_ITEM_CHARS} AS small,
        CASE WHEN length(diff) < {SM.SMALL_ITEM_CHARS}
@@ -126,13 +122,9 @@ def q_summarize_change_sets(spark, sf_dir):
 
 
 @register("render_prompt", f"""
-SELECT change_set, pos,
-       replace({_lit(SM.FILE_PROMPT)}, '{{diff}}',
-               CASE WHEN length(diff) > 2000 THEN substr(diff, 1, 2000) || chr(10) || '... (truncated for brevity)'
-                    ELSE diff END) AS prompt
-FROM v_diffs""")
+SELECT change_set, pos, replace({_lit(SM.FILE_PROMPT)}, '{{diff}}', diff) AS prompt FROM v_diffs""")
 def q_render_prompt(spark, sf_dir):
-    from ..functions.text import render_template, truncate_text
+    from ..functions.text import render_template
 
     d = V.v_diffs(Tables(spark, sf_dir))
-    return d.select("change_set", "pos", render_template(SM.FILE_PROMPT, diff=truncate_text("diff")).alias("prompt"))
+    return d.select("change_set", "pos", render_template(SM.FILE_PROMPT, diff=F.col("diff")).alias("prompt"))

@@ -44,20 +44,22 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder.
+    """Return the session's checkpoint folder, set at most once.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared (reliable) folder
-    and is used as-is.  Only when it is unset (local tests) a scratch folder
-    is created.
+    A folder that is already set stays.  Otherwise ``spark.checkpoint.dir``
+    names a shared (reliable) folder.  Only a single-machine session without
+    either gets a scratch folder; on a cluster that would be one machine's
+    disk, so it is an error there.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
-        d = tempfile.mkdtemp(prefix="repolens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return spark.sparkContext.getCheckpointDir() or d
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        d = spark.conf.get("spark.checkpoint.dir", None)
+        if not d:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            d = tempfile.mkdtemp(prefix="repolens-ckpt-")
+        sc.setCheckpointDir(d)
+    return sc.getCheckpointDir()
 
 
 def ship_package(spark: SparkSession) -> None:

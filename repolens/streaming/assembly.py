@@ -1,23 +1,22 @@
 """R2: streamed responses assembled incrementally.
 
 Event lines are parsed by Spark (VARIANT paths, as in the batch operator);
-only the per-response fragments reach Python, in
-``groupBy(response).applyInPandasWithState``.  The state of a response is
-its fragments and tool-call deltas with their line numbers, so fragments may
-arrive out of order across micro-batches; the message is emitted and the
-state removed when the end marker arrives.  A response that never finishes
-is emitted as incomplete and dropped after a processing-time timeout (the
-reference has no rule for this; the timeout is this engine's choice).
+only line numbers and fragments reach Python, in
+``groupBy(response).applyInPandasWithState``.  State holds a response's lines
+until its end marker *and* every line before the marker have arrived, in
+whatever order and micro-batch; then the fragments leave as one row and the
+batch operator's own expressions put content and tool calls together.
 
-With ``timeout_ms=None`` no timeout is armed.  Use that for
-``trigger(availableNow=True)`` runs: a processing-time timeout makes the
-stateful operator request another (empty) batch forever, so an
-``availableNow`` query would never finish.
+A response that never finishes is, with ``timeout_ms``, emitted as incomplete
+after that processing time without news; lines that arrive later begin a new
+one (the reference has no rule for this; choose a timeout above the longest
+gap of the source).  With ``timeout_ms=None`` nothing times out.  Use that
+for ``trigger(availableNow=True)`` runs: a processing-time timeout makes the
+stateful operator request another (empty) batch forever.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,81 +24,65 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.responses import chunk_fields, parse_event_lines
+from ..operators.responses import chunk_fields, merged_calls, ordered_content, parse_event_lines
 
-OUTPUT_FIELDS = "content string, tool_calls_json string, n_lines bigint, complete boolean"
-STATE_SCHEMA = "line_nos array<bigint>, contents array<string>, tools array<string>, done boolean"
+STATE_SCHEMA = "line_nos array<bigint>, contents array<string>, tools array<string>, marker bigint"
+_COLLECTED = "line_nos array<bigint>, contents array<string>, tools array<string>, complete boolean"
 DEFAULT_TIMEOUT_MS = 10 * 60 * 1000
 
 
-def _assemble(key, rid, line_nos, contents, tools, complete):
-    order = sorted(range(len(line_nos)), key=lambda i: line_nos[i])
-    text = "".join(contents[i] for i in order if contents[i])
-    calls: dict[int, dict] = {}
-    for i in order:
-        if not tools[i]:
-            continue
-        for tc in json.loads(tools[i]) or []:
-            idx = tc.get("index")
-            idx = 0 if idx is None else idx
-            fn = tc.get("function") or {}
-            if idx not in calls:
-                calls[idx] = {"index": idx, "id": tc.get("id"), "name": "", "arguments": ""}
-            if tc.get("id"):
-                calls[idx]["id"] = tc.get("id")
-            if fn.get("name"):
-                calls[idx]["name"] += fn["name"]
-            if fn.get("arguments"):
-                calls[idx]["arguments"] += fn["arguments"]
-    tool_json = json.dumps(list(calls.values())) if calls else None
-    return {key: rid, "content": text or None, "tool_calls_json": tool_json,
-            "n_lines": len(line_nos), "complete": complete}
+def _collector(key_col: str, first_line: int, timeout_ms: int | None):
+    """Keeps a response's lines until its end marker and every line before
+    the marker have been seen; returns them as one row."""
+    def answer(rid, lines: pd.DataFrame, complete: bool) -> pd.DataFrame:
+        return pd.DataFrame({key_col: [rid], "line_nos": [lines["line_no"].tolist()], "contents": [lines["content"].tolist()],
+                             "tools": [lines["tool_json"].tolist()], "complete": [complete]})
 
-
-def _make_fn(key_col: str, timeout_ms: int | None):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rid = key[0]
+    def collect(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = state.get if state.exists else ([], [], [], None)
+        lines = pd.DataFrame({"line_no": list(held[0]), "content": list(held[1]), "tool_json": list(held[2])}, dtype="object")
+        marker = held[3]
         if state.hasTimedOut:
-            line_nos, contents, tools, _ = state.get
             state.remove()
-            yield pd.DataFrame([_assemble(key_col, rid, list(line_nos), list(contents), list(tools), False)])
+            yield answer(key[0], lines, False)
             return
-        if state.exists:
-            line_nos, contents, tools, done = state.get
-            line_nos, contents, tools = list(line_nos), list(contents), list(tools)
-        else:
-            line_nos, contents, tools, done = [], [], [], False
-        for pdf in pdfs:
-            for ln, c, t, d in zip(pdf["line_no"], pdf["content"], pdf["tool_json"], pdf["is_done"]):
-                if d:
-                    done = True
-                    continue
-                if c is None and t is None:
-                    continue
-                line_nos.append(int(ln))
-                contents.append(c)
-                tools.append(t)
-        if done:
+        new = pd.concat(list(pdfs), ignore_index=True)
+        ends = new.loc[new["is_done"].astype(bool), "line_no"]
+        if len(ends):
+            marker = int(min([*ends] + ([] if marker is None else [marker])))
+        new = new.loc[~new["is_done"].astype(bool), ["line_no", "content", "tool_json"]].astype("object")
+        # A line that a source delivers twice counts once.
+        lines = pd.concat([lines, new], ignore_index=True).drop_duplicates("line_no").where(lambda d: d.notna(), None)
+        if marker is not None and int((lines["line_no"] < marker).sum()) == marker - first_line:
             state.remove()
-            yield pd.DataFrame([_assemble(key_col, rid, line_nos, contents, tools, True)])
-        else:
-            state.update((line_nos, contents, tools, False))
-            if timeout_ms is not None:
-                state.setTimeoutDuration(timeout_ms)
-    return fn
+            yield answer(key[0], lines[lines["line_no"] < marker], True)
+            return
+        state.update((lines["line_no"].tolist(), lines["content"].tolist(), lines["tool_json"].tolist(), marker))
+        if timeout_ms is not None:
+            state.setTimeoutDuration(timeout_ms)
+    return collect
 
 
 def assembly_stream(lines: DataFrame, timeout_ms: int | None = DEFAULT_TIMEOUT_MS, key: str = "response_id",
-                    order: str = "line_no", line_col: str = "line") -> DataFrame:
-    """Streaming (or batch) event lines ``key, order, line`` -> one row per
-    finished response: ``key, content, tool_calls_json, n_lines, complete``."""
+                    order: str = "line_no", line_col: str = "line", first_line: int = 0) -> DataFrame:
+    """Streaming (or batch) event lines ``key, order, line``, numbered from
+    ``first_line`` without gaps -> one row per finished response: ``key,
+    content, tool_calls_json, n_lines`` (lines with content or tool calls),
+    ``complete``."""
     p = chunk_fields(parse_event_lines(lines, key, order, line_col))
-    slim = p.where(F.col("is_done") | F.col("chunk").isNotNull()).select(
-        F.col(key), F.col(order).alias("line_no"), "is_done",
-        F.when(F.col("content") != "", F.col("content")).alias("content"),
-        F.when(F.size("tool_deltas") > 0, F.to_json("tool_deltas")).alias("tool_json"))
-    slim = slim.where(F.col("is_done") | F.col("content").isNotNull() | F.col("tool_json").isNotNull())
-    schema = f"`{key}` {lines.schema[key].dataType.simpleString()}, {OUTPUT_FIELDS}"
-    return slim.groupBy(key).applyInPandasWithState(
-        _make_fn(key, timeout_ms), schema, STATE_SCHEMA, "append",
+    deltas = p.schema["tool_deltas"].dataType
+    slim = p.select(F.col(key), F.col(order).cast("bigint").alias("line_no"), F.coalesce("is_done", F.lit(False)).alias("is_done"),
+                    F.when(F.col("content") != "", F.col("content")).alias("content"),
+                    F.when(F.size("tool_deltas") > 0, F.to_json("tool_deltas")).alias("tool_json"))
+    schema = f"`{key}` {lines.schema[key].dataType.simpleString()}, {_COLLECTED}"
+    whole = slim.groupBy(key).applyInPandasWithState(
+        _collector(key, first_line, timeout_ms), schema, STATE_SCHEMA, "append",
         GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+    part = F.transform(F.arrays_zip("line_nos", "contents", "tools"), lambda x: F.struct(
+        x["line_nos"].alias("o"), x["contents"].alias("t"), F.from_json(x["tools"], deltas).alias("d")))
+    parts = F.array_sort(F.filter(part, lambda x: x["t"].isNotNull() | x["d"].isNotNull()), lambda a, b: (a["o"] - b["o"]).cast("int"))
+    row = whole.select(key, parts.alias("_parts"), "complete")
+    row = row.withColumn("_deltas", F.flatten(F.transform(F.filter("_parts", lambda x: x["d"].isNotNull()), lambda x: x["d"])))
+    return row.select(key, ordered_content("_parts").alias("content"),
+                      F.when(F.size("_deltas") > 0, F.to_json(merged_calls("_deltas"))).alias("tool_calls_json"),
+                      F.size("_parts").cast("bigint").alias("n_lines"), "complete")

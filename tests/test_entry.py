@@ -1,5 +1,7 @@
 """Driver contract: entry smoke test, registry consistency, DuckDB oracle at sf0.001."""
 
+import os
+
 import pytest
 
 import __spark_entry__ as E
@@ -47,7 +49,7 @@ def test_stream_state_timeout_emits_incomplete(spark):
 
     base = spark.sparkContext.getCheckpointDir().rstrip("/") + f"/streams/timeout-{uuid.uuid4().hex}"
     line = "data: " + json.dumps({"choices": [{"index": 0, "delta": {"content": "partial"}}]})
-    spark.createDataFrame([(9, 1, line)], "response_id bigint, line_no bigint, line string") \
+    spark.createDataFrame([(9, 0, line)], "response_id bigint, line_no bigint, line string") \
         .write.parquet(f"{base}/in")
     src = spark.readStream.schema("response_id bigint, line_no bigint, line string").parquet(f"{base}/in")
     q = (assembly_stream(src, timeout_ms=1000).writeStream.format("parquet").outputMode("append")
@@ -64,3 +66,22 @@ def test_stream_state_timeout_emits_incomplete(spark):
     finally:
         q.stop()
     assert [(r.response_id, r.content, r.complete) for r in rows] == [(9, "partial", False)]
+
+
+def test_checkpoint_folder_is_set_once(spark):
+    from repolens.session import ensure_checkpoint_dir
+
+    assert ensure_checkpoint_dir(spark) == ensure_checkpoint_dir(spark) == spark.sparkContext.getCheckpointDir()
+
+
+def test_queries_without_the_llm_subpackage(tmp_path):
+    """The registry works when the llm folders and the pipeline are gone."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(os.path.join(root, "repolens"), tmp_path / "repolens", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) >= 64 and not any(k.startswith('op') or k == 'pipeline' for k in q); e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)

@@ -34,7 +34,7 @@ def test_size_batches_matches_sequential_rule(spark):
                                             "\n... (truncated for brevity)") for p, d in items])
     df = spark.createDataFrame(rows, "change_set string, pos bigint, path string, diff string")
     got = {}
-    for r in SM.size_batches(df).collect():
+    for r in SM.size_batches(df, limit=2000).collect():
         got.setdefault(r.change_set, []).append((r.batch_no, [m.path for m in r.members]))
     for cs, batches in want.items():
         assert [m for _, m in sorted(got[cs])] == batches, cs
@@ -48,7 +48,7 @@ def test_distributed_row_number(spark):
     rnd = random.Random(2)
     rows = [(rnd.choice("abc"), i) for i in rnd.sample(range(100000), 3000)]
     df = spark.createDataFrame(rows, "k string, o bigint")
-    a = SM.distributed_row_number(df, ["k"], "o", "rn", bucket=1000)
+    a = SM.distributed_row_number(df, ["k"], "o", "rn")
     b = df.withColumn("rn2", F.row_number().over(Window.partitionBy("k").orderBy("o")))
     j = a.join(b, ["k", "o"])
     assert j.where("rn <> rn2").count() == 0 and j.count() == 3000
@@ -99,3 +99,10 @@ def test_summarize_change_sets_chain(spark):
            for r in SM.summarize_change_sets(df, fn, coord, file_prompt="{diff}").collect()}
     assert out["e"] == (None, 1, 1)
     assert out["c"] == ("- a.py: add feature", 1, 0)
+
+
+def test_size_batches_keeps_null_rows_and_whole_texts(spark):
+    rows = [("c", 1, "a", None), ("c", 2, "b", "x" * 5000), (None, 1, "n1", "y"), (None, 2, "n2", None), ("c", 10**12, "z", "s")]
+    df = spark.createDataFrame(rows, "change_set string, pos bigint, path string, diff string")
+    got = {(r.change_set, r.batch_no): [(m.path, m.diff) for m in r.members] for r in SM.size_batches(df).collect()}
+    assert got == {("c", 1): [("b", "x" * 5000)], ("c", 2): [("a", ""), ("z", "s")], (None, 1): [("n1", "y"), ("n2", "")]}
