@@ -113,8 +113,8 @@ FROM documents""")
 _view("v_layers", """
 SELECT priority, key_path, max(o_orderkey) AS value FROM (
   SELECT CAST(substr(o_orderpriority, 1, 1) AS INT) AS priority, o_orderkey,
-         'c' || CAST(o_custkey % 300 AS VARCHAR)
-         || CASE WHEN (o_custkey % 300 + CAST(substr(o_orderpriority, 1, 1) AS INT)) % 4 = 0 THEN ''
+         'c' || CAST(o_custkey AS VARCHAR)
+         || CASE WHEN (o_custkey + CAST(substr(o_orderpriority, 1, 1) AS INT)) % 4 = 0 THEN ''
                  ELSE '.k' || CAST(o_orderkey % 5 AS VARCHAR) END AS key_path
   FROM orders) o
 GROUP BY priority, key_path""")

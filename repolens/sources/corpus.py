@@ -32,6 +32,7 @@ MENTION_IGNORE_DIRS = [".git", "__pycache__", "venv", ".venv", "node_modules", T
                        ".idea", ".vscode", "build", ".github"]
 MENTION_IGNORE_EXTENSIONS = [".pyc", ".pyo", ".pyd", ".so", ".dll", ".exe", ".DS_Store", ".o", ".bin"]
 # Error texts of the file reader.
+DECODE_ERROR = "not valid UTF-8"
 UNSAFE_READ_ERROR = "Error: Access to .env files is strictly prohibited for security reasons."
 # ---------------------------------------------------------------------------
 
@@ -44,10 +45,10 @@ PROFILES = {
 
 
 def read_corpus(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """Recursive file listing of ``root`` as ``(repo, path, content)``.
+    """Recursive file listing of ``root`` as ``(repo, path, content, error)``.
 
     ``repo`` is the first directory below ``root``; ``path`` is relative to
-    the repo.  ``glob`` (e.g. ``*.py``) is applied by the file listing
+    the repo.  A file that is not UTF-8 has null content and an ``error``.  ``glob`` (e.g. ``*.py``) is applied by the file listing
     itself, before any bytes are read.
 
     Spark's file listing skips names starting with ``_`` or ``.`` (it treats
@@ -59,12 +60,14 @@ def read_corpus(spark: SparkSession, root: str, glob: str | None = None) -> Data
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)
-    df = r.load(root)
-    base = root.rstrip("/") + "/"
-    rel = F.substring_index(F.regexp_replace(F.col("path"), r"^file:", ""), base, -1)
-    return df.select(F.substring_index(rel, "/", 1).alias("repo"),
-                     F.regexp_replace(rel, r"^[^/]*/", "").alias("path"),
-                     F.decode(F.col("content"), "UTF-8").alias("content"))
+    # The root as the file system itself writes it is a prefix of every path.
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    base = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/") + "/"
+    rel = F.when(F.col("path").startswith(base), F.substring(F.col("path"), len(base) + 1, 1 << 30)).otherwise(F.col("path"))
+    text = F.col("content").cast("string")
+    valid = F.is_valid_utf8(text)
+    return r.load(root).select(F.substring_index(rel, "/", 1).alias("repo"), F.regexp_replace(rel, r"^[^/]*/", "").alias("path"),
+                               F.when(valid, text).alias("content"), F.when(~valid, F.lit(DECODE_ERROR)).alias("error"))
 
 
 def file_name(path) -> Column:
@@ -96,9 +99,14 @@ def corpus_scan(files: DataFrame, path_col: str = "path", ignore_extensions=None
     return files.where(scan_filter(path_col, ignore_extensions, ignore_files))
 
 
-def relative_path(path, repo) -> Column:
-    """Path relative to the repository root (``repo/`` prefix removed)."""
+def relative_path(path, repo, path_has_repo: bool = True) -> Column:
+    """Path relative to the repository root.  ``path_has_repo`` says whether
+    paths begin with ``repo/`` (then it is removed) or are relative already
+    (``read_corpus``); a directory that is named like the repository is told
+    from the prefix only by this argument."""
     p, r = col(path), col(repo)
+    if not path_has_repo:
+        return p
     return F.when(p.startswith(F.concat(r, F.lit("/"))), F.substring(p, F.length(r) + 2, 1 << 30)).otherwise(p)
 
 
@@ -113,7 +121,7 @@ def no_ignored_dir(rel_path, ignore_dirs, drop_env_dirs: bool = False) -> Column
 
 
 def corpus_scan_pruned(files: DataFrame, profile: str = "audit", repo_col: str = "repo",
-                       path_col: str = "path") -> DataFrame:
+                       path_col: str = "path", path_has_repo: bool = True) -> DataFrame:
     """Keep files with no ignored directory component (relative to the
     repository root), per walker profile, and add ``rel_path``.
 
@@ -122,7 +130,7 @@ def corpus_scan_pruned(files: DataFrame, profile: str = "audit", repo_col: str =
     ``overview``: ``.py`` files.
     ``mention_index``: every file except the ignored extensions.
     """
-    rel = relative_path(path_col, repo_col)
+    rel = relative_path(path_col, repo_col, path_has_repo)
     df = files.withColumn("rel_path", rel)
     dirs = PROFILES[profile]
     keep = no_ignored_dir("rel_path", dirs, drop_env_dirs=(profile == "source_finder"))

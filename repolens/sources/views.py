@@ -164,7 +164,7 @@ def v_diffs(t: Tables) -> DataFrame:
 def v_layers(t: Tables) -> DataFrame:
     """Settings layers: ``priority, key_path, value`` (value BIGINT)."""
     pr = F.substring("o_orderpriority", 1, 1).cast("int")
-    ck = F.col("o_custkey") % 300
+    ck = F.col("o_custkey")
     key = F.concat(F.lit("c"), _s(ck),
                    F.when((ck + pr) % 4 == 0, F.lit(""))
                    .otherwise(F.concat(F.lit(".k"), _s(F.col("o_orderkey") % 5))))

@@ -106,7 +106,7 @@ def test_readme_audit_example_end_to_end(spark):
         os.makedirs(os.path.dirname(os.path.join(root, rel)), exist_ok=True)
         with open(os.path.join(root, rel), "w") as f:
             f.write(body)
-    files = corpus_scan_pruned(read_corpus(spark, root, glob="*.py"), "audit")
+    files = corpus_scan_pruned(read_corpus(spark, root, glob="*.py"), "audit", path_has_repo=False)
     refs = extract.extract_refs(files, keys=["repo", "path"]).checkpoint()
     dists = spark.createDataFrame([("httpx", "0.27", "BSD", [])],
                                   "name string, version string, license string, classifiers array<string>")

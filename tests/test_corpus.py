@@ -105,3 +105,17 @@ def test_text_functions(spark):
     assert m.select(X.extract_mentions("t").alias("m")).collect()[0].m == ["café/x.py", "README.md"]
     r = spark.createDataFrame([("D",)], "d string").select(X.render_template("a {diff} b", diff="d").alias("p"))
     assert r.collect()[0].p == "a D b"
+
+
+def test_read_corpus_nested_root_bad_bytes_and_uri(spark, tmp_path):
+    root = tmp_path / "corpora"
+    inner = root / "lib" / "lib" / str(root).strip("/")
+    inner.mkdir(parents=True)
+    (inner / "deep.py").write_text("x = 1")
+    (root / "lib" / "bad.py").write_bytes(b"\xff\xfe x")
+    for where in (str(root), f"file://{root}", f"file:{root}/"):
+        rows = {r.path: r for r in C.read_corpus(spark, where).collect()}
+        assert set(rows) == {f"lib/{str(root).strip('/')}/deep.py", "bad.py"} and {r.repo for r in rows.values()} == {"lib"}
+        assert rows["bad.py"].content is None and rows["bad.py"].error and rows[f"lib/{str(root).strip('/')}/deep.py"].error is None
+    pruned = C.corpus_scan_pruned(C.read_corpus(spark, str(root)), "audit", path_has_repo=False)
+    assert [r.path for r in pruned.collect()] == ["bad.py"]  # a real lib/ directory is pruned, not taken for the prefix
