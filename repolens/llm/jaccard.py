@@ -82,7 +82,7 @@ def _frequent_tokens(texts: DataFrame) -> np.ndarray:
     sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE_ONE_IN)) == 0).distinct()
     often = sample.mapInArrow(tokens, "t long").groupBy("t").count().where(F.col("count") >= FREQUENT)
     often = write_table(often, "jaccard-frequent")
-    return np.sort(np.array([r[0] for r in often.orderBy(F.desc("count"), "t").limit(MAX_FREQUENT).select("t").collect()], np.int64))
+    return np.sort(often.orderBy(F.desc("count"), "t").limit(MAX_FREQUENT).select("t").toArrow()["t"].to_numpy())
 
 
 def _nodes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -120,7 +120,7 @@ def _shared_tokens(sketch: DataFrame) -> DataFrame:
     several = write_table(rows.groupBy("t").agg(F.min("node").alias("a"), F.max("node").alias("b"))
                           .where(F.col("a") < F.col("b")).select("t"), "jaccard-tokens")
     if is_small(several, BROADCAST_TOKENS):
-        known = np.sort(several.toPandas()["t"].to_numpy())
+        known = np.sort(several.toArrow()["t"].to_numpy())
         shared = sketch.sparkSession.sparkContext.broadcast(known)
 
         @F.arrow_udf("array<bigint>")

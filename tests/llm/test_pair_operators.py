@@ -73,7 +73,6 @@ def test_linked_pairs_in_blocks():
     want = {(i, j) for i in range(40) for j in range(i + 1, 40)
             if 100 * (k := len(np.intersect1d(sets[i], sets[j]))) >= 75 * (len(sets[i]) + len(sets[j]) - k)}
     assert set(jaccard._linked(sets, None)) == want and want
-    assert {(i, 20 + j) if i < 20 else (i, j) for i, j in jaccard._linked(sets[:20], sets[20:])} <= {(i, j) for i, j in want} | {(i, 20 + j) for i, j in want}
     across = {(i, j - 20) for i, j in want if i < 20 <= j}
     assert {(i, j - 20) for i, j in jaccard._linked(sets[:20], sets[20:])} == across
 
@@ -153,8 +152,10 @@ def test_nearest_recall_scores_and_odd_rows(spark):
     assert set(got) == set(want) and all(len(v) == 20 and q not in v for q, v in got.items())
     hit = sum(len(set(got[q]) & set(want[q])) for q in want) / sum(map(len, want.values()))
     assert hit >= 0.9
-    tied = got[1500][:20]
-    assert tied == sorted([7, *range(1501, 1520)])  # equal scores by id
+    rows = sorted(out, key=lambda r: (r["query_id"], r["rank"]))
+    for r, s in zip(rows, rows[1:]):
+        assert r["query_id"] != s["query_id"] or (-r["score"], r["vec_id"]) < (-s["score"], s["vec_id"])
+    assert any(r["score"] == s["score"] for r, s in zip(rows, rows[1:]))
     few = neighbours.search(df.where("vec_id < 5"), F.col("id") % 20 == 0).collect()
     assert [r["rank"] for r in sorted(few, key=lambda r: r["rank"])] == [1, 2, 3, 4]
     assert neighbours.search(df.limit(0), F.col("id") % 20 == 0).count() == 0
