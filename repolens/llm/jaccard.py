@@ -256,6 +256,8 @@ def _links(docs: DataFrame, family: DataFrame, classes: DataFrame) -> DataFrame:
     """Spanning edges (u, v) of the links, between the smallest ids of nodes."""
     blocks = (family.groupBy("family").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("tokens")).where(F.col("nodes") > 1)
               .select("family", F.greatest(F.ceil(F.col("nodes") / BLOCK_NODES), F.ceil(F.col("tokens") / BLOCK_TOKENS)).alias("blocks")))
+    # Written first, so that the join can split a hot family's members.
+    blocks = write_table(blocks, "jaccard-blocks")
     members = write_table(family.join(blocks, "family").join(classes, "node").select("family", "blocks", "node", "rep"), "jaccard-members")
     b = F.pmod(F.xxhash64("node"), F.col("blocks"))
     # A block meets itself and every other block: (i, j) with i <= j.
