@@ -9,7 +9,8 @@ anchors at equal offsets.  Consecutive windows with one anchor form a run.
 2. Extend whole runs: runs of one anchor with equal words on both sides need
    one comparison, with the smallest document that has that run.
 3. Extend the rest: where runs of an anchor differ, every window of one run
-   of each kind is compared by the words left and right of its anchor.
+   of each kind is compared by the words left and right of its anchor, and
+   what it loses every run of that kind in the same document loses.
 
 No step forms pairs of documents: every comparison is a minimum over equal
 keys, aggregated before the shuffle.  Covered words are merged into maximal
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import broadcast_if_light, write_table
+from .common import broadcast_if_light, broadcast_if_small, write_table
 
 MIN_WORDS, ANCHOR = 50, 25
 
@@ -125,8 +126,20 @@ def repeated_spans(docs: DataFrame, size: int = MIN_WORDS, anchor: int = ANCHOR)
                           "substring-windows")
     lowest = write_table(windows.groupBy("a", "off", "w").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
                          .where(F.col("low") < F.col("high")).drop("high"), "substring-lowest")
-    single = (windows.join(lowest, ["a", "off", "w"]).where(F.col("doc") > F.col("low"))
-              .select("doc", "h", F.col("t").alias("start"), (F.col("t") + size).alias("end")))
+    # All windows of a run hold its anchor, so its removed windows cover one range.
+    place = (F.col("t") + F.col("off")).alias("place")
+    cut_runs = (windows.join(lowest, ["a", "off", "w"]).where(F.col("doc") > F.col("low"))
+                .groupBy("a", "doc", "h", place).agg(F.min("t").alias("t"), F.max("t").alias("u")))
+    cut_runs = write_table(cut_runs, "substring-cut").withColumnsRenamed({"a": "c_a", "doc": "c_doc", "h": "c_h"})
+
+    # The range, counted from the run's first window, holds for every run of
+    # that kind in the smallest document; in the others such runs go whole.
+    cut_kinds = kinds.join(broadcast_if_small(cut_runs), (F.col("a") == F.col("c_a")) & (F.col("low.doc") == F.col("c_doc"))
+                           & (F.col("low.h") == F.col("c_h")) & (F.col("low.first") + F.col("off") == F.col("place")))
+    cut_kinds = write_table(cut_kinds.select(*key, F.col("c_doc").alias("doc"), (F.col("t") - F.col("low.first")).alias("t"),
+                                             (F.col("u") - F.col("low.first")).alias("u")), "substring-cut-kinds")
+    single = (shared.join(broadcast_if_small(cut_kinds), [*key, "doc"])
+              .select("doc", "h", (F.col("first") + F.col("t")).alias("start"), (F.col("first") + F.col("u") + size).alias("end")))
 
     # A text has at most one range a word, so a list of them is of its size.
     ranges = whole.unionByName(single).groupBy("doc", "h").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("r"))

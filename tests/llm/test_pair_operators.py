@@ -114,6 +114,49 @@ def test_substrings_equal_brute_force(spark):
     assert substrings.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_substrings_repeated_within_the_document(spark):
+    w = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    x, p, y, a, b = w("x", 40), w("p", 70), w("y", 40), w("a", 45), w("b", 45)
+    rows = [(3, f"{x} {p} {y}"), (5, f"{a} {p} {b} {a} {p} {b}"), (7, f"{y} {p} {x}"), (7, f"{a} {p} {b} {w('z', 60)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substrings.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept").collect()
+    assert sorted((tuple(r) for r in got), key=repr) == _brute_kept(rows, 50)
+    assert {r.n_removed for r in got if r.doc_id == 5} == {140}
+
+
+def _removed_words(rows, size):
+    """Words removed per id by a comparison of all windows, one hash each."""
+    hashes, ids, spans = [], [], []
+    for i, t in rows:
+        words = (t or "").encode().split()
+        line, ends = b" ".join(words), np.cumsum([len(x) + 1 for x in words])
+        starts = np.r_[0, ends[:-1]] if words else ends
+        n = max(len(words) - size + 1, 0)
+        hashes.append(np.fromiter((hash(line[starts[k]:ends[k + size - 1] - 1]) for k in range(n)), np.int64, n))
+        ids.append(np.full(n, i))
+        spans.append((i, len(words), n))
+    h, d = np.concatenate(hashes), np.concatenate(ids)
+    order = np.lexsort((d, h))
+    new = np.r_[True, h[order][1:] != h[order][:-1]]
+    gone = np.empty(len(h), bool)
+    gone[order] = d[order] > d[order][new][np.cumsum(new) - 1]
+    out, at = [], 0
+    for i, words, n in spans:
+        edge = np.zeros(words + 1, np.int64)
+        k = np.flatnonzero(gone[at:at + n])
+        np.add.at(edge, k, 1)
+        np.add.at(edge, k + size, -1)
+        out.append((i, int((np.cumsum(edge)[:words] > 0).sum())))
+        at += n
+    return sorted(out)
+
+
+def test_substrings_on_the_whole_large_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    want = _removed_words([(r[0], r[1]) for r in docs.collect()], 50)
+    assert sorted((r[0], r[1]) for r in substrings.remove_repeats(docs).select("doc_id", "n_removed").collect()) == want
+
+
 def test_substring_and_jaccard_queries_on_whole_table(spark):
     import hashlib
 
