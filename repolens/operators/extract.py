@@ -11,6 +11,7 @@ A file that can't be parsed is one ``error`` token, never a failed job.
 from __future__ import annotations
 
 import ast
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,28 +31,46 @@ STRUCTURE_ERROR = "Error parsing AST: "
 FUNCTION_ERROR = "Error extracting function: "
 
 
-class _TokenStream(ast.NodeVisitor):
+# ``ast.unparse`` is recursive: some ten frames a level of a tree.  The parser itself refuses a tree of more than some thousand levels.
+_UNPARSE_FRAMES = 300_000
+_DEFINITIONS = (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)
+
+
+def _unparse(node: ast.AST) -> str:
+    try:
+        return ast.unparse(node)
+    except RecursionError:
+        limit = sys.getrecursionlimit()
+        sys.setrecursionlimit(max(limit, _UNPARSE_FRAMES))
+        try:
+            return ast.unparse(node)
+        finally:
+            sys.setrecursionlimit(limit)
+
+
+class _TokenStream:
     """Collects a file's tokens.  ``level`` is the distance from the module,
     ``seq`` the reading order, ``depth`` the number of enclosing definitions;
-    ``(level, seq)`` is therefore breadth-first order."""
+    ``(level, seq)`` is therefore breadth-first order.  The walk keeps its own
+    stack: a tree may be deeper than Python's recursion limit."""
 
     def __init__(self, with_code: bool = True):
         self.rows: list[tuple] = []
-        self.level = self.depth = self.seq = 0
+        self.level = self.depth = 0
         self.with_code = with_code
 
     def emit(self, kind, name, node, ref=None, members=None, doc=None, code=None):
         self.rows.append((self.level, len(self.rows), kind, name, ref, members, self.depth, node.lineno, doc, code))
 
-    def generic_visit(self, node):
-        self.level += 1
-        super().generic_visit(node)
-        self.level -= 1
-
-    def _definition(self, node):
-        self.depth += 1
-        self.generic_visit(node)
-        self.depth -= 1
+    def walk(self, tree):
+        open_nodes = [(tree, 0, 0)]
+        while open_nodes:
+            node, self.level, self.depth = open_nodes.pop()
+            emitter = getattr(self, f"visit_{type(node).__name__}", None)
+            if emitter is not None:
+                emitter(node)
+            depth = self.depth + isinstance(node, _DEFINITIONS)
+            open_nodes += [(child, self.level + 1, depth) for child in ast.iter_child_nodes(node)][::-1]
 
     def visit_Import(self, node):
         for target in node.names:
@@ -69,17 +88,15 @@ class _TokenStream(ast.NodeVisitor):
             if type(part) is ast.FunctionDef:
                 inner.emit("method", part.name, part)
         self.emit("class", node.name, node, members=[row[3] for row in inner.rows])
-        self._definition(node)
 
     def _function(self, node, kind):
         code = None
         if self.with_code:
             try:
-                code = ast.unparse(node)
+                code = _unparse(node)
             except (ValueError, RecursionError):
                 code = None
         self.emit(kind, node.name, node, members=[p.arg for p in node.args.args], doc=bool(ast.get_docstring(node)), code=code)
-        self._definition(node)
 
     def visit_FunctionDef(self, node):
         self._function(node, "function")
@@ -92,7 +109,7 @@ def token_rows(content: str | None, with_code: bool = True) -> list[tuple]:
     """Tokens of one file as rows of TOKENS_SCHEMA; null reads as empty."""
     stream = _TokenStream(with_code)
     try:
-        stream.visit(ast.parse(content or ""))
+        stream.walk(ast.parse(content or ""))
     except Exception as e:  # noqa: BLE001 -- SyntaxError, null bytes, recursion: a value, not a failure
         return [(0, 0, "error", str(e), None, None, 0, None, None, None)]
     return stream.rows

@@ -109,3 +109,18 @@ def test_sql_udtfs(spark):
     fns = spark.sql("SELECT t.name, t.has_docstring FROM udtf_files f, "
                     "LATERAL extract_functions(f.content, false) t WHERE f.path = 't.py'").collect()
     assert sorted(r.name for r in fns) == ["function", "method"]
+
+
+def test_deep_files_keep_their_tokens(spark):
+    total = "import os\ndef total():\n    return " + " + ".join(f"'a{k}'" for k in range(5000)) + "\nclass Last:\n    pass\n"
+    chain = ("def pick(x):\n    if x == 0:\n        import a0\n" + "".join(f"    elif x == {k}:\n        import a{k}\n" for k in range(1, 1000))
+             + "    else:\n\n        def inner():\n            return x\n")
+    f = _files(spark, [("total.py", total), ("chain.py", chain)])
+    refs = {(r.path, r.ref) for r in E.extract_refs(f).collect()}
+    assert refs == {("total.py", "os")} | {("chain.py", f"a{k}") for k in range(1000)}
+    shape = [(r.path, r.kind, r.name, r.lineno) for r in E.extract_structure(f).orderBy("path", "pos").collect()]
+    assert shape == [("chain.py", "function", "pick", 1), ("total.py", "import", "os", 1), ("total.py", "function", "total", 2), ("total.py", "class", "Last", 4)]
+    assert {r.path: (r.n_functions, r.n_missing) for r in E.docstring_coverage(f).collect()} == {"total.py": (1, 1), "chain.py": (2, 2)}
+    req = spark.createDataFrame([("total.py", "total"), ("chain.py", "pick"), ("chain.py", "inner")], "path string, function_name string")
+    got = {r.function_name: (r.found, r.code) for r in E.find_function(f, req).collect()}
+    assert got == {"total": (True, "\n".join(total.split("\n")[1:3])), "pick": (True, chain.rstrip()), "inner": (True, "def inner():\n    return x")}
