@@ -147,6 +147,12 @@ def map_batches(batches: DataFrame, fn: Callable[[str], str] = first_words, temp
     return b.mapInPandas(_call_batches(fn, keys), schema)
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join on ``key``, where a null key is a key of its own."""
+    r = right.withColumnRenamed(key, "_right_key")
+    return left.join(r, left[key].eqNullSafe(r["_right_key"]), "left").drop("_right_key")
+
+
 def fold_summaries(results: DataFrame, key: str = "change_set", change_sets: DataFrame | None = None) -> DataFrame:
     """A5: drop results with an empty summary; per change set, lines
     ``- f1, f2: summary`` in batch order joined by newlines; null when no
@@ -156,7 +162,7 @@ def fold_summaries(results: DataFrame, key: str = "change_set", change_sets: Dat
                                                  F.col("summary")).alias("line"))
     folded = ordered_concat(lines, [key], "batch_no", "line", sep="\n", out_col="summaries")
     if change_sets is not None:
-        folded = change_sets.select(key).distinct().join(folded, key, "left")
+        folded = _join_null_safe(change_sets.select(key).distinct(), folded, key)
     return folded
 
 
@@ -213,5 +219,5 @@ def summarize_change_sets(diffs: DataFrame, fn: Callable[[str], str] = first_wor
     msgs = prompts.mapInPandas(_call_fold(coordinator_fn, key), schema)
     stats = results.groupBy(key).agg(F.count("*").alias("n_batches"),
                                      F.count_if(F.col("error").isNotNull()).alias("n_failed"))
-    out = msgs.join(stats, key, "left")
+    out = _join_null_safe(msgs, stats, key)
     return out.select(key, clean_fenced_text("raw_message").alias("message"), "n_batches", "n_failed", "error")

@@ -106,3 +106,20 @@ def test_size_batches_keeps_null_rows_and_whole_texts(spark):
     df = spark.createDataFrame(rows, "change_set string, pos bigint, path string, diff string")
     got = {(r.change_set, r.batch_no): [(m.path, m.diff) for m in r.members] for r in SM.size_batches(df).collect()}
     assert got == {("c", 1): [("b", "x" * 5000)], ("c", 2): [("a", ""), ("z", "s")], (None, 1): [("n1", "y"), ("n2", "")]}
+
+
+def test_null_change_set_through_the_whole_chain(spark):
+    rows = [(None, 1, "n1.py", "first part"), (None, 2, "n2.py", "x" * 600), (None, 3, "n3.py", "boom" * 200), ("c", 1, "a.py", "add feature")]
+    df = spark.createDataFrame(rows, "change_set string, pos bigint, path string, diff string")
+
+    def fn(prompt):
+        if "boom" in prompt:
+            raise RuntimeError("x")
+        return prompt[:4]
+
+    results = SM.map_batches(SM.size_batches(df), fn, template="{diff}")
+    folded = {r.change_set: r.summaries for r in SM.fold_summaries(results, change_sets=df).collect()}
+    assert folded == {None: "- n2.py: xxxx\n- n1.py: firs", "c": "- a.py: add"}
+    out = SM.summarize_change_sets(df, fn, lambda p: p, file_prompt="{diff}", coordinator_prompt="{summaries}").collect()
+    assert {r.change_set: (r.message, r.n_batches, r.n_failed, r.error) for r in out} == {
+        None: ("- n2.py: xxxx\n- n1.py: firs", 3, 1, None), "c": ("- a.py: add", 1, 0, None)}
