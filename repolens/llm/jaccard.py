@@ -226,63 +226,92 @@ def _forest(docs: list[int], pairs: list[tuple[int, int]]) -> list[tuple[int, in
     return [(docs[i], docs[find(i)]) for i in range(len(docs)) if find(i) != i]
 
 
-def _open(batches):
-    """Sorted rows (family, i, j, side, doc, node, text) of pairs of blocks
-    -> spanning edges (u, v) between documents."""
+def _open(batches, counted: bool = False):
+    """Sorted rows (family, i, j, side, doc, node, text, size) of pairs of
+    blocks -> spanning edges (u, v) between documents; if ``counted``, also
+    (node, links), the documents of all nodes linked to a node here.  Two
+    nodes meet in one pair of blocks, so a node's links add up over them."""
     key, sets, docs, seen = None, ([], []), ([], []), set()
+    nodes, sizes = ([], []), ([], [])
 
     def edges():
         a, b = sets
-        out = _forest(docs[0] + docs[1], _linked(a, b if key[1] != key[2] else None)) if len(a) + len(b) > 1 and (key[1] == key[2] or (a and b)) else []
-        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
+        pairs = _linked(a, b if key[1] != key[2] else None) if len(a) + len(b) > 1 and (key[1] == key[2] or (a and b)) else []
+        out = _forest(docs[0] + docs[1], pairs)
+        if not counted:
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
+        name, size = nodes[0] + nodes[1], np.array(sizes[0] + sizes[1], np.int64)
+        at, links = np.array(pairs, np.int64).reshape(-1, 2), np.zeros(len(name), np.int64)
+        np.add.at(links, at[:, 0], size[at[:, 1]])
+        np.add.at(links, at[:, 1], size[at[:, 0]])
+        some = np.flatnonzero(links)
+        none_e, none_n = [None] * len(out), [None] * len(some)
+        cols = ([e[0] for e in out] + none_n, [e[1] for e in out] + none_n, none_e + [name[k] for k in some], none_e + links[some].tolist())
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["u", "v", "node", "links"])
     for batch in batches:
-        for family, i, j, side, doc, node, text in zip(*batch.columns):
+        for family, i, j, side, doc, node, text, size in zip(*batch.columns):
             now = family.as_py(), i.as_py(), j.as_py()
             if now != key:
                 if key is not None:
                     yield edges()
                 key, sets, docs, seen = now, ([], []), ([], []), set()
+                nodes, sizes = ([], []), ([], [])
             tokens = shingle_set(text.as_py())
             # Another text under the same id isn't this node.
             if node.as_py() not in seen and xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63) == node.as_py():
                 seen.add(node.as_py())
                 sets[side.as_py()].append(tokens)
                 docs[side.as_py()].append(doc.as_py())
+                nodes[side.as_py()].append(node.as_py())
+                sizes[side.as_py()].append(size.as_py())
     if key is not None:
         yield edges()
 
 
-def _links(docs: DataFrame, family: DataFrame, classes: DataFrame) -> DataFrame:
-    """Spanning edges (u, v) of the links, between the smallest ids of nodes."""
+def _links(docs: DataFrame, family: DataFrame, classes: DataFrame, counted: bool = False) -> DataFrame:
+    """Spanning edges (u, v) of the links, between the smallest ids of nodes;
+    if ``counted``, also the partial counts (node, links)."""
     blocks = (family.groupBy("family").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("tokens")).where(F.col("nodes") > 1)
               .select("family", F.greatest(F.ceil(F.col("nodes") / BLOCK_NODES), F.ceil(F.col("tokens") / BLOCK_TOKENS)).alias("blocks")))
     # Written first, so that the join can split a hot family's members.
     blocks = write_table(blocks, "jaccard-blocks")
-    members = write_table(family.join(blocks, "family").join(classes, "node").select("family", "blocks", "node", "rep"), "jaccard-members")
+    members = write_table(family.join(blocks, "family").join(classes, "node").select("family", "blocks", "node", "rep", "size"), "jaccard-members")
     b = F.pmod(F.xxhash64("node"), F.col("blocks"))
     # A block meets itself and every other block: (i, j) with i <= j.
     meet = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
                        lambda x: F.struct(F.least(b, x).alias("i"), F.greatest(b, x).alias("j"), F.when(b <= x, 0).otherwise(1).alias("side")))
     texts = docs.join(broadcast_if_small(members), F.col("doc_id") == F.col("rep"))
-    rows = (texts.select("family", F.explode(meet).alias("m"), "rep", "node", "text")
-            .select("family", "m.i", "m.j", "m.side", "rep", "node", "text"))
-    return (rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_open, "u long, v long"))
+    rows = (texts.select("family", F.explode(meet).alias("m"), "rep", "node", "text", "size")
+            .select("family", "m.i", "m.j", "m.side", "rep", "node", "text", "size"))
+    pairs = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    return pairs.mapInArrow(lambda batches: _open(batches, counted), "u long, v long" + (", node long, links long" if counted else ""))
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", links: bool = False) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest document id
-    that links reach)."""
+    that links reach); with ``links`` also n_links, the number of other
+    documents linked to the row's.  Rows of one id and set are one document,
+    rows of one id and different sets are several."""
     every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sketch = write_table(_nodes(every, _frequent_tokens(every.select("text"))), "jaccard-sketch")
     known = sketch.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    classes = write_table(known.groupBy("node").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
+    alike = known.select("node", "doc_id").distinct() if links else known
+    classes = write_table(alike.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")), "jaccard-classes")
     family = _families(_shared_tokens(known))
-    merged = components(write_table(_links(every.where(F.col("doc_id").isNotNull()), family, classes), "jaccard-links"))
-    named = write_table(classes.join(merged, F.col("rep") == F.col("vertex"), "left")
-                        .select(F.col("node").alias("c_node"), F.coalesce("component", "rep").alias("component")), "jaccard-components")
+    found = write_table(_links(every.where(F.col("doc_id").isNotNull()), family, classes, links), "jaccard-links")
+    merged = components(found.where(F.col("u").isNotNull()).select("u", "v") if links else found)
+    named = classes.join(merged, F.col("rep") == F.col("vertex"), "left")
+    if links:
+        degrees = found.where(F.col("node").isNotNull()).groupBy(F.col("node").alias("d_node")).agg(F.sum("links").alias("links"))
+        named = named.join(degrees, F.col("node") == F.col("d_node"), "left")
+    count = (F.coalesce("links", F.lit(0)) + F.col("size") - 1 if links else F.lit(None).cast("long")).alias("n_links")
+    named = write_table(named.select(F.col("node").alias("c_node"), F.coalesce("component", "rep").alias("component"), count), "jaccard-components")
     rows = sketch.select("doc_id", "n", "node")
     # Texts without shingles have one hash; they are left out of the join.
     joined = rows.where(F.col("n") > 0).join(named, F.col("node") == F.col("c_node"), "left")
-    alone = rows.where(F.col("n") == 0).withColumn("component", F.col("doc_id"))
-    out = joined.select("doc_id", "n", "component").union(alone.select("doc_id", "n", "component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
+    alone = rows.where(F.col("n") == 0).select("doc_id", "n", F.col("doc_id").alias("component"), F.lit(0).cast("long").alias("n_links"))
+    out = joined.select("doc_id", "n", "component", "n_links").union(alone)
+    real = F.col("doc_id").isNotNull()
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(real, F.col("component")).alias("component_id"),
+                     F.when(real, F.col("n_links")).alias("n_links"))
+    return out if links else out.drop("n_links")

@@ -185,3 +185,9 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents linked by shingle similarity."""
     return jaccard.similar_components(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@register("op6_jaccard_links")
+def op6_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op6_jaccard_join, with each document's number of links."""
+    return jaccard.similar_components(_table(spark, sf_dir, "documents", "doc_id", "text"), links=True)

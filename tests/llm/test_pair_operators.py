@@ -65,6 +65,31 @@ def test_jaccard_components_equal_brute_force(spark, monkeypatch):
     assert jaccard.similar_components(docs.limit(0)).count() == 0
 
 
+def _brute_links(rows):
+    lower = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+    sets = []
+    for i, t in rows:
+        w = (t or "").encode().translate(lower).split()
+        sets.append((i, frozenset(tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()))
+    known = {(i, s) for i, s in sets if i is not None and s}
+    return {(i, len(s)): None if i is None else sum(100 * len(s & u) >= 75 * len(s | u) for _, u in known) - 1 if s else 0 for i, s in sets}
+
+
+def test_jaccard_number_of_links_equals_brute_force(spark, monkeypatch):
+    docs = _docs(spark, _texts(1))
+    rows = [(r[0], r[1]) for r in docs.select("doc_id", "text").collect()]
+    want, components_ = _brute_links(rows), _brute_components(rows)
+    assert max(x or 0 for x in want.values()) > 5
+    # As they are; then several blocks a family and no broadcasts.
+    for values in ({}, {"MAX_NODES": 3, "BLOCK_NODES": 4, "BROADCAST_TOKENS": 0, "SAMPLE_ONE_IN": 1, "FREQUENT": 5}):
+        for name, value in values.items():
+            monkeypatch.setattr(jaccard, name, value)
+        got = jaccard.similar_components(docs, links=True).collect()
+        assert sorted((tuple(r)[:3] for r in got), key=repr) == components_
+        assert {(r.doc_id, r.n_shingles): r.n_links for r in got} == want
+    assert jaccard.similar_components(docs.limit(0), links=True).count() == 0
+
+
 def test_linked_pairs_in_blocks():
     rng = np.random.default_rng(2)
     base = np.unique(rng.integers(0, 1 << 60, 400).astype(np.uint64))
