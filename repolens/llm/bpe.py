@@ -5,7 +5,9 @@ at each byte.  A backtracking scan takes these tokens from left to right; it
 steps back to a token's longest shorter prefix when two neighbours could not
 stand side by side in the merged result, and marks dead positions so that
 none is tried twice.  The result equals running all merges by rank, in time
-linear in the text.  Decoding gathers bytes through an offset table.
+linear in the text.  The pass runs once over all new pieces of a text, joined
+by a character that no token holds.  Decoding gathers bytes through an offset
+table, in the same Python call as the encoding.
 
 Defined results: a null text encodes as an empty one (no ids, empty decoded
 text).  Strings of added tokens become their ids.  Texts of any length are
@@ -19,18 +21,22 @@ from __future__ import annotations
 
 import json
 from array import array
-from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .words import forget as forget_words
+
 #: Fixed values of the byte-level vocabulary format: the split pattern.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Longest piece and most pieces kept in a worker's cache (a cache only).
-CACHE_BYTES, CACHE_PIECES = 64, 1 << 19
+#: Longest piece, most pieces and most pairs of a generation of a worker's
+#: caches (caches only: two generations of either are kept, some 50 MB).
+CACHE_BYTES, CACHE_PIECES, CACHE_PAIRS = 64, 1 << 17, 1 << 17
+#: Bytes of new pieces, and matches, that one pass of the automaton takes.
+PASS_BYTES, MATCHES = 1 << 18, 1 << 16
 #: Sections of long texts in code points, tokens decoded at once.
 SECTION, DECODE_TOKENS = 1 << 20, 1 << 20
 
@@ -43,6 +49,19 @@ def _byte_letters() -> dict[str, int]:
     return {**{chr(b): b for b in plain}, **{chr(256 + i): b for i, b in enumerate(rest)}}
 
 
+class _Recent:
+    """A bounded cache in two generations: when the young one is full it
+    becomes the old one, and what is asked for again comes back from there."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.most:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
+
+
 class Vocabulary:
     """Tables of one vocabulary file: token bytes, offsets, splits, merges,
     shorter prefixes and the automaton."""
@@ -55,6 +74,8 @@ class Vocabulary:
         model, letters = d["model"], _byte_letters()
         if model["type"] != "BPE" or d["pre_tokenizer"]["type"] != "ByteLevel" or d["normalizer"] or d["pre_tokenizer"]["add_prefix_space"]:
             raise ValueError("not a plain byte-level BPE vocabulary")
+        if any(t.get(flag) for t in d["added_tokens"] for flag in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens that strip or match whole words are not supported")
         self.added = {t["content"]: t["id"] for t in d["added_tokens"]}
         to_bytes = lambda s: bytes(letters[c] for c in s)
         n = max([*model["vocab"].values(), *self.added.values()]) + 1
@@ -65,6 +86,7 @@ class Vocabulary:
         for s, i in self.added.items():
             tokens[i] = s.encode()
         self.size = [len(t) for t in tokens]
+        self.sizes = np.array(self.size, np.int64)
         self.blob = np.frombuffer(b"".join(tokens), np.uint8)
         self.starts = np.concatenate([[0], np.cumsum(self.size)]).astype(np.int64)
         # Rank of a token: when its merge happens; single bytes never do.
@@ -83,11 +105,11 @@ class Vocabulary:
             self.shorter[i] = next((self.by_bytes[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.by_bytes), -1)
         machine.make_automaton()
         self.machine = machine
-        self.fits = lru_cache(maxsize=1 << 18)(self._fits)
+        self.pairs = _Recent(CACHE_PAIRS)
         self.split = regex.compile(SPLIT).findall
         self.cut = regex.compile(r"(?<=\S) (?=\S)")
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache = _Recent(CACHE_PIECES)
 
     def _fits(self, a: int, b: int) -> bool:
         """Whether tokens a and b can stand side by side: going back through
@@ -108,36 +130,73 @@ class Vocabulary:
             else:
                 until, b = rb + 1, self.halves[b][0]
 
-    def encode_piece(self, data: bytes) -> list[int]:
-        longest = [0] * len(data)
-        for end, token in self.machine.iter(data.decode("latin-1")):
-            longest[end + 1 - self.size[token]] = token  # later ends are longer
-        alive, out, pos, token = bytearray(b"\1") * (len(data) + 1), [], 0, longest[0]
-        while True:
-            end = pos + self.size[token]
-            if alive[end] and (not out or self.fits(out[-1], token)):
-                out.append(token)
-                pos = end
-                if pos == len(data):
-                    return out
-                token = longest[pos]
+    def _longest(self, joined: str) -> array:
+        """The longest token at each place, from one pass of the automaton."""
+        longest, found = np.zeros(len(joined), np.int32), chain.from_iterable(self.machine.iter(joined))
+        while len(part := np.fromiter(islice(found, 2 * MATCHES), np.int64)):
+            longest[part[::2] + 1 - self.sizes[part[1::2]]] = part[1::2]  # later ends are longer
+        return array("i", longest.tobytes())
+
+    def encode_pieces(self, pieces: list[str]) -> list[array]:
+        """Ids of each piece."""
+        data = [p.encode().decode("latin-1") for p in pieces]
+        longest, results, pos = self._longest("\u0100".join(data)), [], 0
+        alive, size, shorter, pairs, n = bytearray(b"\1") * (len(longest) + 1), self.size, self.shorter, self.pairs, len(self.size)
+        for d in data:
+            stop, out, last = pos + len(d), array("i"), -1
+            token = longest[pos]
+            while True:
+                end = pos + size[token]
+                ok = alive[end]
+                if ok and last >= 0:
+                    pair = last * n + token
+                    ok = pairs.young.get(pair)
+                    if ok is None:
+                        ok = pairs.old.get(pair)
+                        if ok is None:
+                            ok = self._fits(last, token)
+                        pairs.put(pair, ok)
+                if ok:
+                    out.append(token)
+                    pos, last = end, token
+                    if pos == stop:
+                        break
+                    token = longest[pos]
+                    continue
+                token = shorter[token]
+                if token < 0:
+                    alive[pos] = 0
+                    token = out.pop()
+                    last = out[-1] if out else -1
+                    pos -= size[token]
+            results.append(out)
+            pos += 1
+        return results
+
+    def _ids(self, pieces: list[str]) -> bytes:
+        """Ids of a run of pieces; new ones are encoded together."""
+        cache = self.cache.young
+        new = set(pieces).difference(cache)
+        if not new:
+            return b"".join(map(cache.__getitem__, pieces))
+        known, todo, held = {}, [], 0
+        for p in new:
+            ids = self.cache.old.get(p)
+            if ids is not None:
+                known[p] = ids
                 continue
-            token = self.shorter[token]
-            if token < 0:
-                alive[pos] = 0
-                token = out.pop()
-                pos -= self.size[token]
-
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        ids = self.cache.get(piece)
-        if ids is None:
-            data = piece.encode()
-            ids = tuple(self.encode_piece(data))
-            if len(data) <= CACHE_BYTES:
-                if len(self.cache) >= CACHE_PIECES:
-                    self.cache.clear()
-                self.cache[piece] = ids
-        return ids
+            todo.append(p)
+            held += len(p)
+            if held >= PASS_BYTES:
+                known.update(zip(todo, [x.tobytes() for x in self.encode_pieces(todo)], strict=True))
+                todo, held = [], 0
+        known.update(zip(todo, [x.tobytes() for x in self.encode_pieces(todo)], strict=True))
+        get = known.get
+        out = b"".join([get(p) or cache[p] for p in pieces])  # no piece has no ids
+        for p, ids in known.items():
+            if len(p) <= CACHE_BYTES:
+                self.cache.put(p, ids)
+        return out
 
     def _sections(self, text: str):
         at = 0
@@ -149,16 +208,20 @@ class Vocabulary:
             at = m.start()
         yield text[at:] if at else text
 
-    def encode(self, text: str) -> array:
+    def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text."""
-        out = array("i")
+        out = []
         for part in self.special.split(text) if self.special and any(s in text for s in self.added) else (text,):
             if part in self.added:
-                out.append(self.added[part])
-                continue
-            for section in self._sections(part):
-                out.extend(chain.from_iterable(map(self._piece, self.split(section))))
-        return out
+                out.append(array("i", [self.added[part]]).tobytes())
+            else:
+                out += [self._ids(self.split(section)) for section in self._sections(part)]
+        return np.frombuffer(b"".join(out), np.int32)
+
+    def decode(self, ids: np.ndarray) -> str:
+        """Text of a run of ids."""
+        data = b"".join(self.decode_bytes(ids[k:k + DECODE_TOKENS].astype(np.int64)).tobytes() for k in range(0, len(ids), DECODE_TOKENS))
+        return data.decode("utf-8", "replace")
 
     def decode_bytes(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of a run of ids."""
@@ -172,6 +235,7 @@ _loaded: dict[str, Vocabulary] = {}
 
 def _vocabulary(name: str, spec: str) -> Vocabulary:
     if name not in _loaded:
+        forget_words()  # an earlier stage's cache in this worker
         _loaded[name] = Vocabulary(spec)
     return _loaded[name]
 
@@ -189,15 +253,16 @@ class Tokenizer:
         self._spec, self._name = spark.sparkContext.broadcast(spec), hashlib.sha256(spec.encode()).hexdigest()
 
     def encode(self, text: Column) -> Column:
-        """array<int> of token ids."""
+        """struct<ids: array<int>, decoded: string>: the ids and the text read
+        back from them, in one call (two calls would encode twice)."""
         spec, name = self._spec, self._name
 
-        @F.arrow_udf("array<int>")
+        @F.arrow_udf("struct<ids: array<int>, decoded: string>")
         def encode(a: pa.Array) -> pa.Array:
             v = _vocabulary(name, spec.value)
             ids = [v.encode(s.as_py() or "") for s in a]
-            flat = np.concatenate([np.frombuffer(x, np.int32) for x in ids]) if ids else np.empty(0, np.int32)
-            return pa.ListArray.from_arrays(np.cumsum([0, *map(len, ids)]).astype(np.int32), pa.array(flat, pa.int32()))
+            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, ids)]).astype(np.int32), pa.array(np.concatenate([*ids, np.empty(0, np.int32)]), pa.int32()))
+            return pa.StructArray.from_arrays([lists, pa.array([v.decode(x) for x in ids], pa.string())], ["ids", "decoded"])
 
         return encode(text)
 
@@ -208,19 +273,16 @@ class Tokenizer:
         @F.arrow_udf("string")
         def decode(a: pa.Array) -> pa.Array:
             v = _vocabulary(name, spec.value)
-            out = []
-            for x in a:
-                one = np.asarray(x.values, np.int64) if x.is_valid else np.empty(0, np.int64)
-                data = b"".join(v.decode_bytes(one[k:k + DECODE_TOKENS]).tobytes() for k in range(0, len(one), DECODE_TOKENS))
-                out.append(data.decode("utf-8", "replace"))
-            return pa.array(out, pa.string())
+            return pa.array([v.decode(np.asarray(x.values, np.int32) if x.is_valid else np.empty(0, np.int32)) for x in a], pa.string())
 
         return decode(ids)
 
 
 def encode_table(df: DataFrame, tokenizer: Tokenizer, text_col: str = "text") -> DataFrame:
     """``df`` with ``ids`` and ``decoded``."""
-    return df.withColumn("ids", tokenizer.encode(F.col(text_col))).withColumn("decoded", tokenizer.decode(F.col("ids")))
+    both = [c for c in df.columns if c not in ("ids", "decoded")]
+    rows = df.select(F.struct("*").alias("row"), tokenizer.encode(F.col(text_col)).alias("both"))
+    return rows.select(*[F.col("row")[c].alias(c) for c in both], F.col("both.ids").alias("ids"), F.col("both.decoded").alias("decoded"))
 
 
 def token_digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:

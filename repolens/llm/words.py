@@ -26,6 +26,11 @@ class _WordHashes(dict):
 _hashes = _WordHashes()
 
 
+def forget() -> None:
+    """Empties the worker's cache of word hashes."""
+    _hashes.clear()
+
+
 def split(text: str | bytes | None, lower: bool = False) -> list[bytes]:
     """Words between ASCII white space; with ``lower``, A-Z lower-cased."""
     data = text.encode() if isinstance(text, str) else text or b""

@@ -46,6 +46,23 @@ def test_chat_round_trip_and_odd_rows(spark):
     assert chat.read_back(chat.format_turns(turns.limit(0))).count() == 0
 
 
+def test_bpe_small_caches_and_passes(monkeypatch):
+    """Turning generations, passes of a few bytes and long pieces change nothing."""
+    from tokenizers import Tokenizer
+
+    for name, value in (("CACHE_PIECES", 50), ("CACHE_PAIRS", 40), ("PASS_BYTES", 30), ("MATCHES", 7), ("SECTION", 400)):
+        monkeypatch.setattr(bpe, name, value)
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        v = bpe.Vocabulary(f.read())
+    ref = Tokenizer.from_file(tokenizer_path())
+    random.seed(8)
+    texts = ["".join(random.choice("aeinrst  \n.,é😀12'") for _ in range(random.randint(0, 2000))) for _ in range(60)] + ["the " * 900, "x" * 3000, "<|endoftext|>" * 3]
+    for t in texts + texts:
+        ids = v.encode(t)
+        assert ids.tolist() == ref.encode(t, add_special_tokens=False).ids and v.decode(ids) == t
+    assert len(v.cache.young) <= 50 and len(v.cache.old) <= 50
+
+
 def test_bpe_equals_library(spark):
     from tokenizers import Tokenizer
 
@@ -56,6 +73,9 @@ def test_bpe_equals_library(spark):
     for r in rows:
         want = ref.encode(r["text"] or "", add_special_tokens=False).ids
         assert list(r["ids"]) == want and r["decoded"] == ref.decode(want, skip_special_tokens=False)
+    one = bpe.encode_table(spark.createDataFrame([("a",)], "text string"), bpe.Tokenizer(spark, tokenizer_path()))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("encode(text") == 1  # each text is encoded once
     assert bpe.token_digests(bpe.encode_table(docs.limit(0), bpe.Tokenizer(spark, tokenizer_path()))).count() == 0
 
 
