@@ -5,7 +5,7 @@ at each byte.  A backtracking scan takes these tokens from left to right; it
 steps back to a token's longest shorter prefix when two neighbours could not
 stand side by side in the merged result, and marks dead positions so that
 none is tried twice.  The result equals running all merges by rank, in time
-linear in the text.  The pass runs once over all new pieces of a text, joined
+linear in the text.  The pass runs once over the new pieces of many texts, joined
 by a character that no token holds.  Decoding gathers bytes through an offset
 table, in the same Python call as the encoding.
 
@@ -28,17 +28,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import forget as forget_words
+from .words import hold
 
 #: Fixed values of the byte-level vocabulary format: the split pattern.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Longest piece, most pieces and most pairs of a generation of a worker's
 #: caches (caches only: two generations of either are kept, some 50 MB).
 CACHE_BYTES, CACHE_PIECES, CACHE_PAIRS = 64, 1 << 17, 1 << 17
-#: Bytes of new pieces, and matches, that one pass of the automaton takes.
-PASS_BYTES, MATCHES = 1 << 18, 1 << 16
+#: Slots of the pair table (a power of 2; a pair replaces another one).
+PAIR_SLOTS = 1 << 20
+#: Pieces looked up together, bytes of new pieces that one pass of the
+#: automaton takes, matches read at once.
+RUN_PIECES, PASS_BYTES, MATCHES = 1 << 17, 1 << 17, 1 << 16
 #: Sections of long texts in code points, tokens decoded at once.
-SECTION, DECODE_TOKENS = 1 << 20, 1 << 20
+SECTION, DECODE_TOKENS = 1 << 18, 1 << 20
 
 
 def _byte_letters() -> dict[str, int]:
@@ -86,7 +89,7 @@ class Vocabulary:
         for s, i in self.added.items():
             tokens[i] = s.encode()
         self.size = [len(t) for t in tokens]
-        self.sizes = np.array(self.size, np.int64)
+        self.sizes, self.most = np.array(self.size, np.int64), max(map(len, self.by_bytes))
         self.blob = np.frombuffer(b"".join(tokens), np.uint8)
         self.starts = np.concatenate([[0], np.cumsum(self.size)]).astype(np.int64)
         # Rank of a token: when its merge happens; single bytes never do.
@@ -105,6 +108,8 @@ class Vocabulary:
             self.shorter[i] = next((self.by_bytes[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.by_bytes), -1)
         machine.make_automaton()
         self.machine = machine
+        # The pair table: by hash for whole arrays, by key for single pairs.
+        self.held, self.held_ok = np.full(PAIR_SLOTS, -1, np.int64), np.zeros(PAIR_SLOTS, bool)
         self.pairs = _Recent(CACHE_PAIRS)
         self.split = regex.compile(SPLIT).findall
         self.cut = regex.compile(r"(?<=\S) (?=\S)")
@@ -130,57 +135,84 @@ class Vocabulary:
             else:
                 until, b = rb + 1, self.halves[b][0]
 
-    def _longest(self, joined: str) -> array:
-        """The longest token at each place, from one pass of the automaton."""
-        longest, found = np.zeros(len(joined), np.int32), chain.from_iterable(self.machine.iter(joined))
+    def _stands(self, pair: int) -> bool:
+        """Whether a pair a * n + b can stand side by side, from the table."""
+        ok = self.pairs.young.get(pair)
+        if ok is None:
+            ok = self.pairs.old.get(pair)
+            if ok is None:
+                ok = self._fits(*divmod(pair, len(self.size)))
+            self.pairs.put(pair, ok)
+        return ok
+
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece, as bytes of 32-bit numbers."""
+        joined, n = "\u0100".join([p.encode().decode("latin-1") for p in pieces]), len(self.size)
+        if not joined:
+            return []
+        # One pass of the automaton: the scan that only takes longest tokens.
+        found, parts = chain.from_iterable(self.machine.iter_long(joined)), []
         while len(part := np.fromiter(islice(found, 2 * MATCHES), np.int64)):
-            longest[part[::2] + 1 - self.sizes[part[1::2]]] = part[1::2]  # later ends are longer
-        return array("i", longest.tobytes())
-
-    def encode_pieces(self, pieces: list[str]) -> list[array]:
-        """Ids of each piece."""
-        data = [p.encode().decode("latin-1") for p in pieces]
-        longest, results, pos = self._longest("\u0100".join(data)), [], 0
-        alive, size, shorter, pairs, n = bytearray(b"\1") * (len(longest) + 1), self.size, self.shorter, self.pairs, len(self.size)
-        for d in data:
-            stop, out, last = pos + len(d), array("i"), -1
-            token = longest[pos]
-            while True:
-                end = pos + size[token]
-                ok = alive[end]
-                if ok and last >= 0:
-                    pair = last * n + token
-                    ok = pairs.young.get(pair)
-                    if ok is None:
-                        ok = pairs.old.get(pair)
-                        if ok is None:
-                            ok = self._fits(last, token)
-                        pairs.put(pair, ok)
-                if ok:
-                    out.append(token)
-                    pos, last = end, token
-                    if pos == stop:
-                        break
-                    token = longest[pos]
-                    continue
-                token = shorter[token]
-                if token < 0:
-                    alive[pos] = 0
-                    token = out.pop()
-                    last = out[-1] if out else -1
-                    pos -= size[token]
-            results.append(out)
-            pos += 1
+            parts.append(part)
+        flat = np.concatenate(parts)
+        taken, ends = flat[1::2], flat[::2] + 1
+        starts = ends - self.sizes[taken]
+        # Its neighbours that can't stand side by side.
+        beside = ends[:-1] == starts[1:]
+        pairs = (taken[:-1] * n + taken[1:])[beside]
+        slot = pairs * 0x9E3779B97F4A7C1 >> 40 & len(self.held) - 1
+        ok, unknown = self.held_ok[slot], np.flatnonzero(self.held[slot] != pairs)
+        if len(unknown):
+            other, back = np.unique(pairs[unknown], return_inverse=True)
+            found = np.array([self._fits(p // n, p % n) for p in other.tolist()], bool)[back]
+            ok[unknown], self.held_ok[slot[unknown]], self.held[slot[unknown]] = found, found, pairs[unknown]
+        wrong = np.flatnonzero(beside)[~ok] + 1
+        first = np.concatenate([[0], np.flatnonzero(~beside) + 1, [len(taken)]])
+        owner, at = np.unique(np.searchsorted(first, wrong, "right") - 1, return_index=True)
+        blob, first = taken.astype(np.int32).tobytes(), first.tolist()
+        results = [blob[4 * x:4 * y] for x, y in zip(first, first[1:])]
+        starts, taken, ends = starts.tolist(), taken.tolist(), ends.tolist()
+        longest = dict(zip(starts, taken))
+        for piece, k in zip(owner.tolist(), wrong[at].tolist()):
+            x, y = first[piece], first[piece + 1]
+            results[piece] = self._step_back(joined, ends[y - 1], taken[x:k], starts[k], longest)
         return results
 
-    def _ids(self, pieces: list[str]) -> bytes:
-        """Ids of a run of pieces; new ones are encoded together."""
-        cache = self.cache.young
-        new = set(pieces).difference(cache)
-        if not new:
-            return b"".join(map(cache.__getitem__, pieces))
+    def _step_back(self, joined: str, stop: int, before: list[int], pos: int, longest: dict[int, int]) -> bytes:
+        """The ids up to ``stop``, going on at ``pos`` behind the tokens
+        ``before``; ``longest`` has the longest token at some places."""
+        out, size, shorter, n, known, dead = before, self.size, self.shorter, len(self.size), self.pairs.young, set()
+        token, last = longest[pos], out[-1] if out else -1
+        while True:
+            if last < 0:
+                ok = True
+            else:
+                pair = last * n + token
+                ok = known.get(pair)
+                if ok is None:
+                    ok = self._stands(pair)
+                    known = self.pairs.young
+            end = pos + size[token]
+            if ok and end not in dead:
+                out.append(token)
+                pos, last = end, token
+                if pos == stop:
+                    return array("i", out).tobytes()
+                token = longest.get(pos)
+                if token is None:
+                    token = longest[pos] = next(self.machine.iter_long(joined[pos:min(stop, pos + self.most)]))[1]
+                continue
+            token = shorter[token]
+            if token < 0:
+                dead.add(pos)
+                token = out.pop()
+                last = out[-1] if out else -1
+                pos -= size[token]
+
+    def _new(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of pieces that the young generation lacks."""
         known, todo, held = {}, [], 0
-        for p in new:
+        for p in pieces:
             ids = self.cache.old.get(p)
             if ids is not None:
                 known[p] = ids
@@ -188,15 +220,13 @@ class Vocabulary:
             todo.append(p)
             held += len(p)
             if held >= PASS_BYTES:
-                known.update(zip(todo, [x.tobytes() for x in self.encode_pieces(todo)], strict=True))
+                known.update(zip(todo, self.encode_pieces(todo), strict=True))
                 todo, held = [], 0
-        known.update(zip(todo, [x.tobytes() for x in self.encode_pieces(todo)], strict=True))
-        get = known.get
-        out = b"".join([get(p) or cache[p] for p in pieces])  # no piece has no ids
+        known.update(zip(todo, self.encode_pieces(todo), strict=True))
         for p, ids in known.items():
             if len(p) <= CACHE_BYTES:
                 self.cache.put(p, ids)
-        return out
+        return known
 
     def _sections(self, text: str):
         at = 0
@@ -210,13 +240,40 @@ class Vocabulary:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text."""
-        out = []
-        for part in self.special.split(text) if self.special and any(s in text for s in self.added) else (text,):
-            if part in self.added:
-                out.append(array("i", [self.added[part]]).tobytes())
-            else:
-                out += [self._ids(self.split(section)) for section in self._sections(part)]
-        return np.frombuffer(b"".join(out), np.int32)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each whole text."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        waiting, held = [], 0  # runs of pieces with their new ones
+
+        def settle():
+            known = self._new({p for *_, new in waiting for p in new.values()})
+            for i, k, ids, new in waiting:
+                for at, p in new.items():
+                    ids[at] = known[p]
+                out[i][k] = b"".join(ids)
+            waiting.clear()
+
+        for i, text in enumerate(texts):
+            for part in self.special.split(text) if self.special and any(s in text for s in self.added) else (text,):
+                if part in self.added:
+                    out[i].append(array("i", [self.added[part]]).tobytes())
+                    continue
+                for section in self._sections(part):
+                    pieces = self.split(section)
+                    ids = list(map(self.cache.young.get, pieces))
+                    if None not in ids:
+                        out[i].append(b"".join(ids))
+                        continue
+                    waiting.append((i, len(out[i]), ids, {k: pieces[k] for k, x in enumerate(ids) if x is None}))
+                    out[i].append(b"")
+                    held += len(ids)
+                    if held >= RUN_PIECES:
+                        settle()
+                        held = 0
+        settle()
+        return [np.frombuffer(b"".join(x), np.int32) for x in out]
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of a run of ids."""
@@ -234,8 +291,8 @@ _loaded: dict[str, Vocabulary] = {}
 
 
 def _vocabulary(name: str, spec: str) -> Vocabulary:
+    hold("bpe", _loaded.clear)
     if name not in _loaded:
-        forget_words()  # an earlier stage's cache in this worker
         _loaded[name] = Vocabulary(spec)
     return _loaded[name]
 
@@ -260,7 +317,7 @@ class Tokenizer:
         @F.arrow_udf("struct<ids: array<int>, decoded: string>")
         def encode(a: pa.Array) -> pa.Array:
             v = _vocabulary(name, spec.value)
-            ids = [v.encode(s.as_py() or "") for s in a]
+            ids = v.encode_all([s or "" for s in a.to_pylist()])
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, ids)]).astype(np.int32), pa.array(np.concatenate([*ids, np.empty(0, np.int32)]), pa.int32()))
             return pa.StructArray.from_arrays([lists, pa.array([v.decode(x) for x in ids], pa.string())], ["ids", "decoded"])
 

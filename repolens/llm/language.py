@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, write_table
+from .words import hold
 
 #: Training texts a language (expected number, drawn by hash; the bound on
 #: what is read for training), trigram bins, smoothing counts.
@@ -91,6 +92,7 @@ def score_column(spark, model: LanguageModel, text: Column) -> Column:
 
     @F.arrow_udf("array<double>")
     def scores(a: pa.Array) -> pa.Array:
+        hold("language")
         return pa.array([shared.value.score(s.as_py()) for s in a], pa.list_(pa.float64()))
 
     return scores(text)

@@ -6,7 +6,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-_MAX_CACHED = 1 << 20
+_MAX_CACHED = 1 << 18
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -24,11 +24,16 @@ class _WordHashes(dict):
 
 
 _hashes = _WordHashes()
+_holder: list = [None, None]
 
 
-def forget() -> None:
-    """Empties the worker's cache of word hashes."""
-    _hashes.clear()
+def hold(name: str, release=None) -> None:
+    """A Python worker serves many stages: when operators of another name
+    begin there, ``release`` drops what the one before kept."""
+    if _holder[0] != name:
+        if _holder[1] is not None:
+            _holder[1]()
+        _holder[:] = name, release
 
 
 def split(text: str | bytes | None, lower: bool = False) -> list[bytes]:
@@ -39,6 +44,7 @@ def split(text: str | bytes | None, lower: bool = False) -> list[bytes]:
 
 def hashes(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash for each word."""
+    hold("words", _hashes.clear)
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 

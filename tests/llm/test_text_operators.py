@@ -50,15 +50,14 @@ def test_bpe_small_caches_and_passes(monkeypatch):
     """Turning generations, passes of a few bytes and long pieces change nothing."""
     from tokenizers import Tokenizer
 
-    for name, value in (("CACHE_PIECES", 50), ("CACHE_PAIRS", 40), ("PASS_BYTES", 30), ("MATCHES", 7), ("SECTION", 400)):
+    for name, value in (("CACHE_PIECES", 50), ("CACHE_PAIRS", 40), ("RUN_PIECES", 90), ("PASS_BYTES", 30), ("MATCHES", 7), ("SECTION", 400)):
         monkeypatch.setattr(bpe, name, value)
     with open(tokenizer_path(), encoding="utf-8") as f:
         v = bpe.Vocabulary(f.read())
     ref = Tokenizer.from_file(tokenizer_path())
     random.seed(8)
     texts = ["".join(random.choice("aeinrst  \n.,é😀12'") for _ in range(random.randint(0, 2000))) for _ in range(60)] + ["the " * 900, "x" * 3000, "<|endoftext|>" * 3]
-    for t in texts + texts:
-        ids = v.encode(t)
+    for t, ids in zip(texts + texts, v.encode_all(texts) + v.encode_all(texts), strict=True):
         assert ids.tolist() == ref.encode(t, add_special_tokens=False).ids and v.decode(ids) == t
     assert len(v.cache.young) <= 50 and len(v.cache.old) <= 50
 
