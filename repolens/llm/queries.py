@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import prepare, write_table
-from . import bpe, chat, fingerprint, jaccard, language, mixture, neighbours, pii, substrings, url_rules
+from . import bpe, chat, exact, fingerprint, jaccard, language, mixture, neighbours, pii, substrings, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -191,3 +191,17 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As op6_jaccard_join, with each document's number of links."""
     return jaccard.similar_components(_table(spark, sf_dir, "documents", "doc_id", "text"), links=True)
+
+
+_OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm)::BIGINT AS group_size,
+  row_number() OVER w = 1 AS kept, sha256(norm) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY norm ORDER BY length(t) DESC, doc_id NULLS LAST)
+"""
+
+
+@register("op12_exact_dedup", _OP12_SQL)
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the equal one that stays."""
+    return exact.find_copies(_table(spark, sf_dir, "documents", "doc_id", "text"))
