@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import prepare, write_table
-from . import bpe, chat, exact, fingerprint, jaccard, language, lexical, mixture, neighbours, pii, substrings, url_rules
+from . import bpe, chat, collocations, exact, fingerprint, jaccard, language, lexical, mixture, neighbours, pii, substrings, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -229,3 +229,34 @@ SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best documents of every benchmark item."""
     return lexical.search(_table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+_OP11_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM (
+        SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k))),
+f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+t AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+x AS (SELECT lang, k AS m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+c AS (SELECT x.lang, x.phrase, a, x.k, fl.f AS l, fr.f AS r, (2000000 * a) // (fl.f + fr.f) AS score
+      FROM (SELECT *, unnest(range(1, m)) AS k FROM x) x
+      JOIN f fl ON fl.lang = x.lang AND fl.phrase = array_to_string(ws[1:x.k], ' ')
+      JOIN f fr ON fr.lang = x.lang AND fr.phrase = array_to_string(ws[x.k + 1:], ' ')),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, phrase AS sub, max(a) AS longer FROM (
+        SELECT lang, a, array_to_string(ws[s:s + j - 1], ' ') AS phrase FROM (
+          SELECT *, unnest(range(1, m - j + 2)) AS s FROM (SELECT *, unnest(range(2, m)) AS j FROM x))) GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase)::BIGINT AS rank, b.phrase,
+  a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM b JOIN t ON t.lang = b.lang LEFT JOIN i ON i.lang = b.lang AND i.sub = b.phrase
+WHERE longer IS NULL OR 100 * longer < 80 * a
+QUALIFY rank <= 2000
+"""
+
+
+@register("op11_collocations", _OP11_SQL)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of two to four words of every language."""
+    return collocations.mine(_table(spark, sf_dir, "documents", "lang", "text"))
