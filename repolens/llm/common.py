@@ -49,16 +49,16 @@ def _clean() -> None:
             _delete(spark, p)
 
 
-def write_table(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared checkpoint folder and read it
-    back: the lineage ends there, so a lost executor costs no earlier stage.
+def write_table(df: DataFrame, tag: str, **options) -> DataFrame:
+    """Write ``df`` as Parquet (with the writer's ``options``) under the shared
+    checkpoint folder and read it back: the lineage ends there, so a lost executor costs no earlier stage.
     The folders of this process are deleted when it ends."""
     spark = df.sparkSession
     if not _written:
         atexit.register(_clean)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{tag}-{uuid.uuid4().hex}"
     _written.append(path)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -12,8 +12,9 @@ out only when all of them together cannot reach that score.  Opened documents
 get their exact score.  So the results are those of scoring all documents.
 
 Lists of few members need no blocks (their documents are opened), and a list
-that holds more than a quarter of its segment is one block whose maximum is
-the segment's own.
+that holds more than a quarter of its segment is one block: its bound is that
+of the whole segment, the largest values of the lists, which is looked at
+before any list is.
 
 Defined results: a null or empty text has no term and is no result; terms of a
 query count as often as they stand in it; an item without terms has no rows;
@@ -35,10 +36,10 @@ from pyspark.sql import functions as F
 from .common import write_table
 
 #: Documents and entries that a segment holds at most (one document always fits).
-SEGMENT_DOCS, SEGMENT_ENTRIES = 8192, 1 << 21
+SEGMENT_DOCS, SEGMENT_ENTRIES = 4096, 1 << 20
 #: Lists shorter than SHORT are opened; blocks have some BLOCK members, a list
 #: has at most BLOCKS of them; numbers of a projection.
-SHORT, BLOCK, BLOCKS, SKETCH = 32, 64, 16, 32
+SHORT, BLOCK, BLOCKS, SKETCH = 256, 256, 8, 32
 #: Query terms that are searched together (queries come in blocks of items).
 QUERY_TERMS = 200_000
 #: One segment in so many is searched first, for the first thresholds.
@@ -127,17 +128,13 @@ def build_segment(docs: list, rows_terms: list[np.ndarray], rows_value: list[np.
     members = owner[order]
     list_term, list_start = np.unique(term[order], return_index=True)
     list_end = np.append(list_start[1:], len(members))
-    top = np.maximum.reduceat(value[order], list_start)
     block_list, block_start, sums = [], [], []
     for k, (lo, hi) in enumerate(zip(list_start.tolist(), list_end.tolist())):
         n = hi - lo
-        if n < SHORT:
+        if n < SHORT or 4 * n > len(docs):
             continue
         block_list.append(k)
         block_start.append(lo)
-        if 4 * n > len(docs):
-            sums.append((list_term, top))
-            continue
         here = members[lo:hi]
         heads = here[np.linspace(0, n - 1, min(BLOCKS, -(-n // BLOCK))).astype(int)]
         near = (sketch[here] @ sketch[heads].T).argmax(axis=1)
@@ -275,7 +272,8 @@ def build_index(docs: DataFrame, vocabulary: list[str]) -> tuple[DataFrame, np.n
     weight = np.array([math.floor(1000 * math.log((2 * n_docs + 2) / (2 * int(n) + 1))) for n in df], np.int64)
     shared = spark.sparkContext.broadcast(weight)
     dealt = forward.where(F.size("terms") > 0).repartitionByRange("code", "doc_id", "n").sortWithinPartitions("code", "doc_id")
-    return write_table(dealt.select("doc_id", "n", "terms", "tf").mapInArrow(_segments(shared, n_docs or 0, n_words or 1), INDEX_SCHEMA), "lexical-index"), weight
+    return write_table(dealt.select("doc_id", "n", "terms", "tf").mapInArrow(_segments(shared, n_docs or 0, n_words or 1), INDEX_SCHEMA), "lexical-index",
+                       **{"parquet.block.row.count.limit": 1}), weight  # a segment has megabytes: readers take one at a time
 
 
 def search_index(index: DataFrame, weight: np.ndarray, queries: list[tuple[int, list[int], list[int]]], k: int = 20) -> DataFrame:
