@@ -54,6 +54,7 @@ def reachable(edges: DataFrame, roots: DataFrame, installed: DataFrame | None =
     Rounds go on until nothing new is found (graph depth)."""
     e = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")) if direction == "out" else \
         edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))
+    e = _ckpt(e)  # read in every round
     frontier = _ckpt(_installed_roots(roots, installed))
     visited, parts = frontier, 1
     while True:
@@ -79,7 +80,7 @@ def dep_tree(edges: DataFrame, roots: DataFrame, installed: DataFrame | None = N
     the number of branches; ``max_depth`` cuts it where a caller asks for a
     cut.  ``reachable`` (G2) and ``preorder_tree`` (G3) hold the same
     structure in at most one row per root and edge."""
-    e = edges.select(F.col("src").alias("_s"), F.col("dst").alias("_d"))
+    e = _ckpt(edges.select(F.col("src").alias("_s"), F.col("dst").alias("_d")))
     r = _installed_roots(roots, installed)
     level = _ckpt(r.select(F.col("node").alias("root"), F.lit(0).alias("depth"), F.lit(None).cast(r.schema["node"].dataType)
                            .alias("parent"), "node", F.array("node").alias("path"), F.lit(False).alias("recursive")))
@@ -113,7 +114,7 @@ def preorder_tree(edges: DataFrame, roots: DataFrame, installed: DataFrame | Non
     unless it is the child's own first-visit path.  A root without metadata
     is one ``missing`` row.  Output ``root, depth, parent, node, repeated,
     missing``."""
-    e = edges.select(F.col("src").cast("string").alias("_s"), F.col("dst").cast("string").alias("_d")).distinct()
+    e = _ckpt(edges.select(F.col("src").cast("string").alias("_s"), F.col("dst").cast("string").alias("_d")).distinct())
     all_roots = roots.select(F.col("node").cast("string").alias("node")).distinct()
     inst = (installed.select(F.col("node").cast("string").alias("node")).distinct()
             if installed is not None else None)

@@ -128,8 +128,9 @@ def assemble_responses(lines: DataFrame, key: str = "response_id", order: str =
                        line_col: str = "line") -> DataFrame:
     """A4: per response, the content fragments concatenated in order and the
     tool calls: per tool-call index the last non-empty id and the
-    concatenated name and arguments, listed in order of first appearance.
-    Output ``key, content, tool_calls ARRAY<STRUCT<index,id,name,arguments>>``.
+    concatenated name and arguments, listed in order of first appearance.  A
+    line number counts once: of lines delivered again under one number the
+    smallest content and the smallest tool-call deltas count.  Output ``key, content, tool_calls ARRAY<STRUCT<index,id,name,arguments>>``.
     """
     p = chunk_fields(event_line_source(lines, key, order, line_col))
     # One pass over the parsed chunks: a two-level fold per (key, bucket)
@@ -140,9 +141,10 @@ def assemble_responses(lines: DataFrame, key: str = "response_id", order: str =
     tools = F.when(F.size("tool_deltas") > 0, F.struct(F.col(order).alias("o"), F.col("tool_deltas").alias("d")))
     lvl1 = (c.groupBy(key, F.floor(F.col(order) / 4096).alias("_b"))
             .agg(F.min(order).alias("_o"),
-                 F.array_join(F.transform(F.array_sort(F.collect_list(frag)), lambda x: x["t"]), "").alias("_t"),
-                 F.count("content").alias("_n"),
+                 F.array_sort(F.collect_list(frag)).alias("_t"), F.count("content").alias("_n"),
                  F.array_sort(F.collect_list(tools)).alias("_d")))
+    once = lambda c: F.filter(c, lambda x, i: (i == 0) | (F.col(c)[F.greatest(i - 1, F.lit(0))]["o"] != x["o"]))
+    lvl1 = lvl1.select(key, "_o", F.array_join(F.transform(once("_t"), lambda x: x["t"]), "").alias("_t"), "_n", once("_d").alias("_d"))
     lvl2 = lvl1.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("_o", "_t", "_d"))).alias("_parts"), F.sum("_n").alias("_n"))
     content = F.when(F.col("_n") > 0, F.array_join(F.transform("_parts", lambda x: x["_t"]), ""))
@@ -180,11 +182,11 @@ def iteration_limit_audit(rounds: DataFrame, run_col: str = "run", order_col: st
                           is_tool_round: Column | None = None, cap: int = MAX_TOOL_ROUNDS) -> DataFrame:
     """Per run, the number of leading rounds that requested tools (the
     loop continues only while rounds call tools) and whether it reached the
-    cap of ``cap`` rounds without a final answer."""
+    cap of ``cap`` rounds without a final answer.  A null run is a run."""
     flag = is_tool_round if is_tool_round is not None else F.col("has_tool_call")
     r = rounds.select(F.col(run_col).alias("run"), F.col(order_col).alias("o"), flag.alias("tool"))
-    first_final = r.groupBy("run").agg(F.min(F.when(~F.col("tool"), F.col("o"))).alias("ff"))
-    lead = (r.join(first_final, "run")
+    first_final = r.groupBy(F.col("run").alias("f_run")).agg(F.min(F.when(~F.col("tool"), F.col("o"))).alias("ff"))
+    lead = (r.join(first_final, F.col("run").eqNullSafe(F.col("f_run")))
             .groupBy("run").agg(F.count_if(F.col("tool") & (F.col("ff").isNull() | (F.col("o") < F.col("ff"))))
                                 .alias("leading_tool_rounds")))
     return lead.withColumn("hit_limit", F.col("leading_tool_rounds") >= cap)

@@ -37,14 +37,14 @@ def sticky_permissions(log: DataFrame, session_col: str = "session", seq_col: st
     sensitive tool was answered ``always`` or ``session`` in a session, later
     calls of that same tool are allowed unasked; otherwise ``y`` allows and
     anything else denies.  The first sticky answer per (session, tool) is an
-    aggregate joined back, not a running window."""
+    aggregate joined back, not a running window.  A null session is a session."""
     sens = SENSITIVE_TOOLS if sensitive is None else list(sensitive)
     d = log.select(F.col(session_col).alias("session"), F.col(seq_col).alias("seq"),
                    F.col(tool_col).alias("tool"), F.col(choice_col).alias("choice"))
     is_sens = F.col("tool").isin(*sens)
     first = (d.where(is_sens & F.col("choice").isin(*STICKY_CHOICES))
-             .groupBy("session", "tool").agg(F.min("seq").alias("sticky_from")))
-    j = d.join(first, ["session", "tool"], "left")
+             .groupBy(F.col("session").alias("s_session"), F.col("tool").alias("s_tool")).agg(F.min("seq").alias("sticky_from")))
+    j = d.join(first, F.col("session").eqNullSafe(F.col("s_session")) & (F.col("tool") == F.col("s_tool")), "left")
     sticky = F.coalesce(F.col("sticky_from") < F.col("seq"), F.lit(False))
     asked = is_sens & ~sticky
     allowed = ~is_sens | sticky | F.coalesce(F.col("choice").isin(*ALLOW_CHOICES), F.lit(False))
@@ -77,19 +77,23 @@ def inject_mentions(texts: DataFrame, files: DataFrame, key_col: str = "doc_id",
     Texts without ``@`` pass straight through.  The others are tokenised
     losslessly (``@name`` | run without ``@`` | lone ``@``), the name tokens
     are left-joined to the file table and the text is re-folded in token
-    order."""
+    order.  Rows that share a key stay rows of their own: each different text
+    of a key is folded once and given as often as it comes.  Of several
+    contents of one path the smallest counts."""
     t = texts.select(F.col(key_col).alias("_k"), F.col(text_col).alias("_t"))
     plain = t.where(~F.contains(F.coalesce("_t", F.lit("")), F.lit("@")))
     withat = t.where(F.contains("_t", F.lit("@")))
-    toks = withat.select("_k", F.posexplode(F.regexp_extract_all("_t", F.lit(_token_pattern()), F.lit(0)))
+    withat = withat.groupBy("_k", "_t").agg(F.count("*").cast("int").alias("_n")).withColumn("_h", F.sha2("_t", 256))
+    toks = withat.select("_k", "_h", "_n", F.posexplode(F.regexp_extract_all("_t", F.lit(_token_pattern()), F.lit(0)))
                          .alias("pos", "tok"))
     toks = toks.withColumn("mention", F.when(F.col("tok").rlike(rf"^@[{WORD_CLASS}./-]+$"), F.substring("tok", 2, 1 << 30)))
-    f = files.select(F.col(path_col).alias("mention"), F.col(content_col).alias("_c"))
+    f = files.groupBy(F.col(path_col).alias("mention")).agg(F.min(content_col).alias("_c"))
     j = toks.join(f, "mention", "left")
     block = F.concat(F.lit(CONTEXT_HEADER_START), F.col("mention"), F.lit(CONTEXT_HEADER_END), F.col("_c"),
                      F.lit(CONTEXT_FOOTER))
-    j = j.select("_k", "pos", F.when(F.col("_c").isNotNull(), block).otherwise(F.col("tok")).alias("piece"))
-    folded = ordered_concat(j, ["_k"], "pos", "piece", out_col="_t")
+    j = j.select("_k", "_h", "_n", "pos", F.when(F.col("_c").isNotNull(), block).otherwise(F.col("tok")).alias("piece"))
+    folded = ordered_concat(j, ["_k", "_h", "_n"], "pos", "piece", out_col="_t")
+    folded = folded.select("_k", "_t", F.explode(F.array_repeat(F.lit(0), F.col("_n"))).alias("_copy")).drop("_copy")
     out = plain.unionByName(folded)
     return out.select(F.col("_k").alias(key_col), F.col("_t").alias(text_col))
 
@@ -169,10 +173,12 @@ def fill_missing(methods: DataFrame, existing: DataFrame, generated: Column, key
                  existing_col: str = "docstring", overwrite: bool = False) -> DataFrame:
     """Keep an existing docstring, generate one only where it is missing;
     with ``overwrite`` a new one is put in front and the old one kept.
-    ``generated`` is a Column over ``methods`` (sanitised like the
-    reference: triple quotes and single quotes removed)."""
+    ``generated`` is a Column over ``methods`` (sanitised: triple quotes and
+    single quotes removed).  Every row of ``methods`` gives one row; of several
+    existing docstrings of a key the smallest that is not empty counts, and a
+    null key has none."""
     m = methods.withColumn("_gen", sanitize_docstring(generated))
-    e = existing.select(F.col(key_col), F.col(existing_col).alias("_old"))
+    e = existing.groupBy(key_col).agg(F.min(F.when(F.col(existing_col) != "", F.col(existing_col))).alias("_old"))
     j = m.join(e, key_col, "left")
     has = F.col("_old").isNotNull() & (F.col("_old") != "")
     if overwrite:

@@ -34,8 +34,6 @@ FILE_PROMPT = "In at most fifteen words, say what this change does and what it i
 COORDINATOR_PROMPT = ("Write one commit message for the changes below: a short title in the imperative, an empty line, "
                       "then one bullet per change that matters.\n\n{summaries}")
 
-_LEFTOVER = 1 << 62
-
 
 def distributed_row_number(df: DataFrame, keys, order_col: str, out_col: str = "rn") -> DataFrame:
     """``row_number()`` over ``partitionBy(keys).orderBy(order_col)``,
@@ -68,30 +66,33 @@ def size_batches(diffs: DataFrame, key: str = "change_set", pos_col: str = "pos"
 
     Output ``key, batch_no, n_items, is_small, members
     ARRAY<STRUCT<pos, path, diff>>`` (members in arrival order).  A null key
-    is a change set of its own.  Numbering works on (key, pos, size) alone;
-    texts are joined once, at the end.
+    is a change set of its own.  Rows of one position come in the order of
+    their paths and texts' hashes; repeated rows are items each.  Numbering
+    works on thin rows; texts are joined once, at the end, one text for all
+    rows that are alike.
     """
     text = F.coalesce(F.col(diff_col), F.lit(""))
     d = diffs.select(F.col(key).alias("key"), F.col(pos_col).alias("pos"), F.col(path_col).alias("path"),
                      (truncate_text(text, limit) if limit else text).alias("diff"))
-    thin = d.select("key", "pos", (F.length("diff") < small_chars).alias("small"))
-    small = distributed_row_number(thin.where("small"), ["key"], "pos", "rn")
+    # What tells an item's text; equal structs are equal in their nulls too.
+    d = d.withColumn("item", F.struct("key", "pos", "path", F.xxhash64("diff").alias("h")))
+    thin = d.select("item", "key", F.struct("pos", "path", "item.h").alias("at"), (F.length("diff") < small_chars).alias("small"))
+    small = distributed_row_number(thin.where("small"), ["key"], "at", "rn")
     small = small.withColumn("grp", F.floor((F.col("rn") - 1) / batch_size)).drop("rn")
     large = thin.where(~F.col("small")).withColumn("grp", F.lit(None).cast("bigint"))
-    items = small.unionByName(large).checkpoint(eager=True)
-    batches = items.where("small").groupBy("key", "grp").agg(F.max("pos").alias("last"), F.count("*").cast("int").alias("n_items"))
-    leftover = F.col("n_items") < batch_size
-    batches = batches.withColumn("_ord", F.when(leftover, F.lit(_LEFTOVER)).otherwise(F.col("last"))).drop("last")
-    single = items.where(~F.col("small")).select("key", F.col("pos").alias("at"), F.lit(1).alias("n_items"), F.col("pos").alias("_ord"))
-    numbered = distributed_row_number(batches.withColumn("at", F.lit(None).cast(items.schema["pos"].dataType)).select("key", "grp", "at", "n_items", "_ord")
-                                      .unionByName(single.withColumn("grp", F.lit(None).cast("bigint"))), ["key"], "_ord", "batch_no")
-    b = numbered.select(F.col("key").alias("b_key"), F.col("grp").alias("b_grp"), "at", "n_items", "batch_no")
-    placed = items.join(b, F.col("key").eqNullSafe(F.col("b_key")) & F.col("grp").eqNullSafe(F.col("b_grp"))
-                        & F.when(F.col("small"), F.lit(None)).otherwise(F.col("pos")).eqNullSafe(F.col("at")))
-    placed = placed.select(F.col("key").alias("p_key"), F.col("pos").alias("p_pos"), "small", "n_items", "batch_no")
-    whole = d.join(placed, F.col("key").eqNullSafe(F.col("p_key")) & F.col("pos").eqNullSafe(F.col("p_pos")))
-    return (whole.groupBy("key", "batch_no").agg(F.first("n_items").alias("n_items"), F.first("small").alias("is_small"),
-                                                 F.array_sort(F.collect_list(F.struct("pos", "path", "diff"))).alias("members"))
+    # A large item is told by its row number: the rows are written once.
+    items = small.unionByName(large).withColumn("row", F.when(F.col("grp").isNull(), F.monotonically_increasing_id())).checkpoint(eager=True)
+    batches = items.groupBy("key", "grp", "row").agg(F.max("at").alias("last"), F.count("*").cast("int").alias("n_items"))
+    leftover = F.col("grp").isNotNull() & (F.col("n_items") < batch_size)
+    batches = batches.select("key", "grp", "row", "n_items", F.struct(leftover.alias("leftover"), "last", "row").alias("emitted"))
+    numbered = distributed_row_number(batches, ["key"], "emitted", "batch_no")
+    b = numbered.select(F.col("key").alias("b_key"), F.col("grp").alias("b_grp"), F.col("row").alias("b_row"), "n_items", "batch_no")
+    placed = items.join(b, F.col("key").eqNullSafe(F.col("b_key")) & F.col("grp").eqNullSafe(F.col("b_grp")) & F.col("row").eqNullSafe(F.col("b_row")))
+    texts = d.groupBy("item").agg(F.first("diff").alias("diff"))
+    whole = placed.select("item", "small", "n_items", "batch_no").join(texts, "item")
+    return (whole.groupBy(F.col("item.key").alias("key"), "batch_no")
+            .agg(F.first("n_items").alias("n_items"), F.first("small").alias("is_small"),
+                 F.array_sort(F.collect_list(F.struct("item.pos", "item.path", "diff"))).alias("members"))
             .select(F.col("key").alias(key), "batch_no", "n_items", "is_small", "members"))
 
 

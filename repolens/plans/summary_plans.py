@@ -68,7 +68,7 @@ FROM o_batches""",
 SELECT s.change_set, f.summaries FROM (SELECT DISTINCT change_set FROM v_diffs) s LEFT JOIN (
   SELECT change_set, string_agg('- ' || replace(paths, ',', ', ') || ': ' || summary, chr(10) ORDER BY batch_no)
          AS summaries
-  FROM o_results WHERE summary IS NOT NULL AND summary <> '' GROUP BY change_set) f USING (change_set)""",
+  FROM o_results WHERE summary IS NOT NULL AND summary <> '' GROUP BY change_set) f ON f.change_set IS NOT DISTINCT FROM s.change_set""",
 }
 
 
@@ -114,7 +114,7 @@ SELECT f.change_set,
        END AS message,
        s.n_batches, s.n_failed
 FROM o_fold f JOIN (SELECT change_set, count(*) AS n_batches, count(error) AS n_failed FROM o_results
-                    GROUP BY change_set) s USING (change_set)""", _BATCH)
+                    GROUP BY change_set) s ON s.change_set IS NOT DISTINCT FROM f.change_set""", _BATCH)
 def q_summarize_change_sets(spark, sf_dir):
     d = V.v_diffs(Tables(spark, sf_dir))
     out = SM.summarize_change_sets(d, demo_summarizer, demo_coordinator)

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from .tables import Tables
 
+#: Generated source files that one task builds and parses at most.
+FILES_PER_TASK = 20_000
+
 
 def _s(c) -> Column:
     return F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
@@ -224,8 +227,11 @@ def v_code(t: Tables) -> DataFrame:
         F.lit("def f"), _s(k % 50), F.lit("(x, y):"), nl,
         F.when(k % 3 == 0, F.concat(F.lit('    """Doc."""'), nl)).otherwise(F.lit("")),
         F.lit("    return x"), nl)
-    return t.part.select("p_partkey", F.concat(F.lit("pkg/c"), _s(k), F.lit(".py")).alias("path"),
-                         content.alias("content"))
+    # The keys are small and the texts built from them large: deal the keys.
+    keys = t.part.select("p_partkey", "p_name", "p_type")
+    tasks = max(t.spark.sparkContext.defaultParallelism, -(-keys.count() // FILES_PER_TASK))
+    return keys.repartition(tasks, "p_partkey").select("p_partkey", F.concat(F.lit("pkg/c"), _s(k), F.lit(".py")).alias("path"),
+                                                       content.alias("content"))
 
 
 def v_event_lines(t: Tables) -> DataFrame:

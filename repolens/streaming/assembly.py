@@ -51,8 +51,9 @@ def _collector(key_col: str, first_line: int, timeout_ms: int | None):
         if len(ends):
             marker = int(min([*ends] + ([] if marker is None else [marker])))
         new = new.loc[~new["is_done"].astype(bool), ["line_no", "content", "tool_json"]].astype("object")
-        # A line that a source delivers twice counts once.
-        lines = pd.concat([lines, new], ignore_index=True).drop_duplicates("line_no").where(lambda d: d.notna(), None)
+        # A line number counts once: of lines delivered again the smallest.
+        lines = pd.concat([lines, new], ignore_index=True).sort_values(["line_no", "content", "tool_json"], na_position="last")
+        lines = lines.drop_duplicates("line_no").where(lambda d: d.notna(), None)
         if marker is not None and int((lines["line_no"] < marker).sum()) == marker - first_line:
             state.remove()
             yield answer(key[0], lines[lines["line_no"] < marker], True)
@@ -68,7 +69,7 @@ def assembly_stream(lines: DataFrame, timeout_ms: int | None = DEFAULT_TIMEOUT_M
     """Streaming (or batch) event lines ``key, order, line``, numbered from
     ``first_line`` without gaps -> one row per finished response: ``key,
     content, tool_calls_json, n_lines`` (lines with content or tool calls),
-    ``complete``."""
+    ``complete``.  A line number counts once, as in ``assemble_responses``."""
     p = chunk_fields(parse_event_lines(lines, key, order, line_col))
     deltas = p.schema["tool_deltas"].dataType
     slim = p.select(F.col(key), F.col(order).cast("bigint").alias("line_no"), F.coalesce("is_done", F.lit(False)).alias("is_done"),
