@@ -3,11 +3,10 @@ JSON export sink."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import audit, extract
+from ..session import scratch_folder
 from ..sources import sinks
 from ..sources import views as V
 from ..sources.tables import Tables
@@ -82,7 +81,6 @@ def q_json_export(spark, sf_dir):
     folder and reads it back (the check compares parsed columns)."""
     refs, external = _page_audit(Tables(spark, sf_dir))
     listing = audit.ranked_listing(audit.ref_index(refs, external), external)
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
-    out = f"{base.rstrip('/')}/exports/sbom-{uuid.uuid4().hex}"
+    out = scratch_folder(spark, "exports/sbom")
     sinks.write_json_lines(listing, out)
     return sinks.read_json_lines(spark, out, listing.schema)

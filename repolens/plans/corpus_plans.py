@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions import text as X
 from ..operators import settings as S
+from ..session import scratch_folder
 from ..sources import corpus as C
 from ..sources import views as V
+from ..sources.files import write_files
 from ..sources.tables import Tables
 from .registry import register
 from .sqlparts import license_sql, norm_sql, sql_list
@@ -24,6 +26,25 @@ def q_corpus_scan(spark, sf_dir):
     return C.corpus_scan(V.v_files(Tables(spark, sf_dir))).select("doc_id", "repo", "path")
 
 
+@register("corpus_files", f"SELECT repo, {_REL} AS path, content, CAST(NULL AS VARCHAR) AS error FROM v_files")
+def q_corpus_files(spark, sf_dir):
+    """S1/S2 from a file tree: every row of v_files written out as a file
+    (``__init__.py`` and ``.git`` among them) and read back."""
+    root = scratch_folder(spark, "files/corpus")
+    write_files(V.v_files(Tables(spark, sf_dir)), root)
+    return C.read_corpus(spark, root)
+
+
+@register("corpus_files_pruned", f"""
+SELECT repo, {_REL} AS path, content FROM v_files
+WHERE {_NAME} LIKE '%.py' AND NOT list_has_any(string_split(path, '/'), ['.git', 'venv'])""")
+def q_corpus_files_pruned(spark, sf_dir):
+    """S2 with the name filter and the ignored directories pushed into the listing."""
+    root = scratch_folder(spark, "files/pruned")
+    write_files(V.v_files(Tables(spark, sf_dir)), root)
+    return C.read_corpus(spark, root, glob="*.py", skip_dirs=[".git", "venv"]).select("repo", "path", "content")
+
+
 def _no_dirs(ignore) -> str:
     return (f"NOT list_has_any(string_split({_REL}, '/')[1:len(string_split({_REL}, '/')) - 1], "
             f"[{', '.join(repr(d) for d in ignore)}])")

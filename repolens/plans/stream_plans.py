@@ -4,11 +4,10 @@ with ``availableNow`` (several micro-batches) to completion."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators.summarize import distributed_row_number
+from ..session import scratch_folder
 from ..sources import views as V
 from ..sources.tables import Tables
 from ..streaming.assembly import assembly_stream
@@ -24,8 +23,7 @@ def _files_per_batch(spark, path: str) -> int:
 
 
 def _scratch(spark, name: str) -> str:
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
-    return f"{base.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+    return scratch_folder(spark, f"streams/{name}")
 
 
 @register("stream_usage")

@@ -1,8 +1,8 @@
 """File-corpus sources and path operators.
 
 A corpus is a DataFrame ``(repo, path, content)``; ``read_corpus`` builds one
-from a directory tree with Spark's ``binaryFile`` source (recursive, glob
-filters pushed into the listing).  Path rules are native string/array
+from a directory tree, hidden names included (name filters are pushed into the
+listing).  Path rules are native string/array
 expressions, so they run inside whole-stage codegen and push nothing through
 Python.
 """
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions._util import col
 from ..functions.text import is_safe_path
+from .files import list_files, qualified, read_files
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's behaviour.
@@ -44,30 +45,34 @@ PROFILES = {
 }
 
 
-def read_corpus(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """Recursive file listing of ``root`` as ``(repo, path, content, error)``.
+def read_corpus(spark: SparkSession, root: str, glob: str | None = None, skip_dirs=(), names: str = "all") -> DataFrame:
+    """Every file below ``root`` as ``(repo, path, content, error)``.
 
     ``repo`` is the first directory below ``root``; ``path`` is relative to
-    the repo.  A file that is not UTF-8 has null content and an ``error``.  ``glob`` (e.g. ``*.py``) is applied by the file listing
-    itself, before any bytes are read.
-
-    Spark's file listing skips names starting with ``_`` or ``.`` (it treats
-    them as metadata/hidden), so ``__init__.py`` and dot-files never appear
-    here.  The default scan filter drops ``__init__.py`` anyway; a corpus
-    that needs such files must come in as a ``(repo, path, content)`` table
-    produced by another listing.
+    the repo.  A file that is not UTF-8 or cannot be read has null content and
+    an ``error``.  ``glob`` (e.g. ``*.py``) and ``skip_dirs`` (directory names
+    not to enter) work while directories are listed, before any bytes are read.
+
+    Names that begin with ``_`` or ``.`` are read like others
+    (``sources.files``).  ``names="visible"`` takes Spark's ``binaryFile``
+    listing instead, which leaves them out but reads every file system that
+    Spark reads.
     """
-    r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    # The root as the file system itself writes it is a prefix of every path.
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    base = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/") + "/"
-    rel = F.when(F.col("path").startswith(base), F.substring(F.col("path"), len(base) + 1, 1 << 30)).otherwise(F.col("path"))
-    text = F.col("content").cast("string")
-    valid = F.is_valid_utf8(text)
-    return r.load(root).select(F.substring_index(rel, "/", 1).alias("repo"), F.regexp_replace(rel, r"^[^/]*/", "").alias("path"),
-                               F.when(valid, text).alias("content"), F.when(~valid, F.lit(DECODE_ERROR)).alias("error"))
+    if names == "visible":
+        r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        if glob:
+            r = r.option("pathGlobFilter", glob)
+        # The root as the file system itself writes it is a prefix of every path.
+        base = qualified(spark, root) + "/"
+        rel = F.when(F.col("path").startswith(base), F.substring(F.col("path"), len(base) + 1, 1 << 30)).otherwise(F.col("path"))
+        text = F.col("content").cast("string")
+        valid = F.is_valid_utf8(text)
+        found = r.load(root).select(rel.alias("path"), F.when(valid, text).alias("content"), F.when(~valid, F.lit(DECODE_ERROR)).alias("error"))
+        for d in skip_dirs:
+            found = found.where(~F.array_contains(dir_components("path"), d))
+    else:
+        found = read_files(spark, root, list_files(spark, root, glob, skip_dirs), DECODE_ERROR)
+    return found.select(F.substring_index("path", "/", 1).alias("repo"), F.regexp_replace("path", r"^[^/]*/", "").alias("path"), "content", "error")
 
 
 def file_name(path) -> Column:

@@ -18,7 +18,7 @@ def test_scan_default_and_empty_ignore_lists(spark):
     assert C.corpus_scan(df, ignore_extensions=[], ignore_files=[]).count() == 7
 
 
-def test_read_corpus_binary_file_source(spark):
+def test_read_corpus_reads_every_name(spark):
     root = tempfile.mkdtemp(prefix="repolens-corpus-")
     os.makedirs(os.path.join(root, "repo1", "pkg"))
     for rel, body in [("repo1/pkg/a.py", "import os\n"), ("repo1/README.md", "hi"), ("repo1/pkg/__init__.py", "")]:
@@ -27,9 +27,10 @@ def test_read_corpus_binary_file_source(spark):
     df = C.read_corpus(spark, root)
     got = {(r.repo, r.path): r.content for r in df.collect()}
     assert got[("repo1", "pkg/a.py")] == "import os\n"
-    # Spark's listing hides names starting with "_" or "."
-    assert len(got) == 2
-    assert {r.path for r in C.read_corpus(spark, root, glob="*.py").collect()} == {"pkg/a.py"}
+    # Every name comes back; only Spark's own listing hides "_" and ".".
+    assert len(got) == 3 and got[("repo1", "pkg/__init__.py")] == ""
+    assert {r.path for r in C.read_corpus(spark, root, glob="*.py").collect()} == {"pkg/a.py", "pkg/__init__.py"}
+    assert {r.path for r in C.read_corpus(spark, root, glob="*.py", names="visible").collect()} == {"pkg/a.py"}
 
 
 def test_security_predicates(spark):
