@@ -100,13 +100,15 @@ def dep_tree(edges: DataFrame, roots: DataFrame, installed: DataFrame | None = N
     return reduce(DataFrame.unionByName, levels)
 
 
-def preorder_tree(edges: DataFrame, roots: DataFrame, installed: DataFrame | None = None) -> DataFrame:
+def preorder_tree(edges: DataFrame, roots: DataFrame, installed: DataFrame | None = None,
+                  as_text: bool = True) -> DataFrame:
     """The display tree per root with children in name order, where the
     first visit of a node in preorder is expanded and later visits are shown
     as ``repeated`` leaves.
 
     The first-visit path of a node is its lexicographically smallest simple
-    path from the root (names compared as strings), found by label
+    path from the root (nodes compared as
+    text or, with ``as_text=False``, as they are), found by label
     correcting: each round relaxes the edges of the labels that the last
     round changed and keeps the minimum label per (root, node), until no
     label changes.  Then
@@ -114,9 +116,10 @@ def preorder_tree(edges: DataFrame, roots: DataFrame, installed: DataFrame | Non
     unless it is the child's own first-visit path.  A root without metadata
     is one ``missing`` row.  Output ``root, depth, parent, node, repeated,
     missing``."""
-    e = _ckpt(edges.select(F.col("src").cast("string").alias("_s"), F.col("dst").cast("string").alias("_d")).distinct())
-    all_roots = roots.select(F.col("node").cast("string").alias("node")).distinct()
-    inst = (installed.select(F.col("node").cast("string").alias("node")).distinct()
+    kind = (lambda c: F.col(c).cast("string")) if as_text else F.col
+    e = _ckpt(edges.select(kind("src").alias("_s"), kind("dst").alias("_d")).distinct())
+    all_roots = roots.select(kind("node").alias("node")).distinct()
+    inst = (installed.select(kind("node").alias("node")).distinct()
             if installed is not None else None)
     r = all_roots if inst is None else all_roots.join(inst, "node", "left_semi")
     labels = _ckpt(r.select(F.col("node").alias("root"), "node", F.array("node").alias("label"), F.lit(1).alias("_new")))
@@ -139,12 +142,12 @@ def preorder_tree(edges: DataFrame, roots: DataFrame, installed: DataFrame | Non
                     F.col("_d").alias("node"),
                     (F.col("child_label") != F.concat("p.label", F.array("_d"))).alias("repeated"),
                     F.lit(False).alias("missing")))
-    top = r.select(F.col("node").alias("root"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"),
+    top = r.select(F.col("node").alias("root"), F.lit(0).alias("depth"), F.lit(None).cast(r.schema["node"].dataType).alias("parent"),
                    "node", F.lit(False).alias("repeated"), F.lit(False).alias("missing"))
     out = top.unionByName(rows)
     if inst is not None:
         miss = all_roots.join(inst, "node", "left_anti").select(
-            F.col("node").alias("root"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), "node",
+            F.col("node").alias("root"), F.lit(0).alias("depth"), F.lit(None).cast(r.schema["node"].dataType).alias("parent"), "node",
             F.lit(False).alias("repeated"), F.lit(True).alias("missing"))
         out = out.unionByName(miss)
     return out

@@ -77,6 +77,10 @@ FROM part a JOIN part b ON b.p_partkey = a.p_size
 UNION ALL
 SELECT p_partkey, 2 AS pos, '(invalid' AS requirement FROM part""")
 
+_view("v_tree_requires", """
+SELECT e.src AS p_partkey, e.dst AS pos, upper(d.name) || '>=1.0' AS requirement
+FROM v_tree_edges e JOIN v_dists d ON d.p_partkey = e.dst""", ("v_tree_edges", "v_dists"))
+
 _view("v_manifests", """
 SELECT p_partkey AS repo_id,
        '[project]' || chr(10) || 'dependencies = [' || chr(10) || '    "' || replace(p_name, ' ', '_') || '>=1",' || chr(10)

@@ -110,6 +110,23 @@ def v_requires(t: Tables) -> DataFrame:
     return r0.unionByName(r1).unionByName(r2)
 
 
+def v_tree_requires(t: Tables) -> DataFrame:
+    """Requirement strings along ``v_tree_edges``: ``p_partkey, pos, requirement``."""
+    n = v_dists(t).select(F.col("p_partkey").alias("dst"), "name")
+    e = v_tree_edges(t).join(n, "dst")
+    return e.select(F.col("src").alias("p_partkey"), F.col("dst").alias("pos"), F.concat(F.upper("name"), F.lit(">=1.0")).alias("requirement"))
+
+
+def v_apps(t: Tables) -> DataFrame:
+    """Application modules: every 20th part's imports its distribution, every
+    40th one also a package that is not installed: ``p_partkey, path, content``."""
+    d = v_dists(t).where(F.col("p_partkey") % 20 == 0)
+    nl = F.lit("\n")
+    gone = F.when(F.col("p_partkey") % 40 == 0, F.concat(F.lit("from gone"), _s("p_partkey"), F.lit(" import x"), nl)).otherwise(F.lit(""))
+    return d.select("p_partkey", F.concat(F.lit("app/a"), _s("p_partkey"), F.lit(".py")).alias("path"),
+                    F.concat(F.lit("import os"), nl, F.lit("import "), F.col("name"), nl, gone).alias("content"))
+
+
 def v_manifests(t: Tables) -> DataFrame:
     """One project manifest text per repository: ``repo_id, manifest``."""
     nl = F.lit("\n")
