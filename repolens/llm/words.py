@@ -3,10 +3,13 @@ on word sequences."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import xxhash
 
-_MAX_CACHED = 1 << 18
+_MAX_CACHED = 1 << 17
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -29,10 +32,15 @@ _holder: list = [None, None]
 
 def hold(name: str, release=None) -> None:
     """A Python worker serves many stages: when operators of another name
-    begin there, ``release`` drops what the one before kept."""
+    begin there, ``release`` drops what the one before kept, and the memory
+    goes back to the system."""
     if _holder[0] != name:
         if _holder[1] is not None:
             _holder[1]()
+            gc.collect()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
         _holder[:] = name, release
 
 
