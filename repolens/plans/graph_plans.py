@@ -67,6 +67,18 @@ def q_reachable_reverse(spark, sf_dir):
     return G.reachable(edges, targets, inst, direction="in")
 
 
+@register("reachable_by_jumps", """
+WITH RECURSIVE r(node) AS (
+  SELECT node FROM o_roots
+  UNION
+  SELECT e.dst FROM r JOIN o_edges e ON e.src = r.node)
+SELECT node FROM r""", _G)
+def q_reachable_by_jumps(spark, sf_dir):
+    """G2 by path doubling."""
+    edges, roots, inst = _graph(Tables(spark, sf_dir))
+    return G.reachable_by_jumps(edges, roots, inst)
+
+
 # G1 walks every branch: its graph has few branches per root.
 _TREE = {
     "o_tree": "SELECT src, dst FROM v_tree_edges WHERE dst IN (SELECT p_partkey FROM part)",

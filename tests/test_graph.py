@@ -131,3 +131,32 @@ def test_dep_tree_unbounded_matches_full_walk(spark):
     got = sorted((r.root, r.depth, r.parent, r.node, r.recursive)
                  for r in G.dep_tree(_edges(spark, pairs), _nodes(spark, [1]), max_depth=None).collect())
     assert got == sorted(_py_branches(adj, 1, 10 ** 6))
+
+
+def test_reachable_by_jumps_needs_few_rounds(spark, monkeypatch):
+    """A chain of 10,000 nodes, rings and forks: the rows of a plain walk,
+    in rounds that grow with the logarithm of the chain."""
+    import random
+
+    from repolens.operators import graph as G
+
+    rounds = []
+    plain = G._ckpt
+    monkeypatch.setattr(G, "_ckpt", lambda df: rounds.append(1) or plain(df))
+    chain = spark.range(10_000).selectExpr("id AS src", "id + 1 AS dst")
+    start = spark.createDataFrame([(7,)], "node long")
+    assert G.reachable_by_jumps(chain, start).agg({"node": "sum"}).first()[0] == sum(range(7, 10_001))
+    assert len(rounds) < 60
+    back = G.reachable_by_jumps(chain, start, direction="in")
+    assert sorted(r["node"] for r in back.collect()) == list(range(8))
+    random.seed(4)
+    for _ in range(3):
+        edges = {(a, (a + 1) % 30) for a in range(30)} | {(a, a + 1) for a in range(40, 60)} | {(random.randrange(70), random.randrange(70)) for _ in range(12)}
+        reach = todo = {3, 45}
+        while todo:
+            todo = {b for a, b in edges if a in todo} - reach
+            reach = reach | todo
+        got = G.reachable_by_jumps(spark.createDataFrame(sorted(edges), "src long, dst long"), spark.createDataFrame([(3,), (45,), (45,)], "node long"))
+        assert sorted(r["node"] for r in got.collect()) == sorted(reach)
+    none = G.reachable_by_jumps(chain.limit(0), start)
+    assert [r["node"] for r in none.collect()] == [7]
