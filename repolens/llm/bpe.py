@@ -33,10 +33,10 @@ from .words import hold
 #: Fixed values of the byte-level vocabulary format: the split pattern.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Longest piece, most pieces and most pairs of a generation of a worker's
-#: caches (caches only: two generations of either are kept, some 35 MB).
-CACHE_BYTES, CACHE_PIECES, CACHE_PAIRS = 64, 1 << 16, 1 << 16
+#: caches (caches only: two generations of either are kept, some 70 MB).
+CACHE_BYTES, CACHE_PIECES, CACHE_PAIRS = 64, 1 << 17, 1 << 17
 #: Slots of the pair table (a power of 2; a pair replaces another one).
-PAIR_SLOTS = 1 << 19
+PAIR_SLOTS = 1 << 20
 #: Pieces looked up together, bytes of new pieces that one pass of the
 #: automaton takes, matches read at once.
 RUN_PIECES, PASS_BYTES, MATCHES = 1 << 17, 1 << 17, 1 << 16
