@@ -143,8 +143,7 @@ def assemble_responses(lines: DataFrame, key: str = "response_id", order: str =
             .agg(F.min(order).alias("_o"),
                  F.array_sort(F.collect_list(frag)).alias("_t"), F.count("content").alias("_n"),
                  F.array_sort(F.collect_list(tools)).alias("_d")))
-    once = lambda c: F.filter(c, lambda x, i: (i == 0) | (F.col(c)[F.greatest(i - 1, F.lit(0))]["o"] != x["o"]))
-    lvl1 = lvl1.select(key, "_o", F.array_join(F.transform(once("_t"), lambda x: x["t"]), "").alias("_t"), "_n", once("_d").alias("_d"))
+    lvl1 = lvl1.select(key, "_o", F.array_join(F.transform(first_of_each("_t"), lambda x: x["t"]), "").alias("_t"), "_n", first_of_each("_d").alias("_d"))
     lvl2 = lvl1.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("_o", "_t", "_d"))).alias("_parts"), F.sum("_n").alias("_n"))
     content = F.when(F.col("_n") > 0, F.array_join(F.transform("_parts", lambda x: x["_t"]), ""))
@@ -155,11 +154,9 @@ def assemble_responses(lines: DataFrame, key: str = "response_id", order: str =
     return out.select(key, "content", F.when(F.size("_deltas") > 0, merged_calls("_deltas")).alias("tool_calls"))
 
 
-def ordered_content(parts: str) -> Column:
-    """Content of sorted ``ARRAY<STRUCT<o, t, ..>>`` fragments: the non-null
-    texts joined, null if there is none."""
-    texts = F.filter(F.transform(parts, lambda x: x["t"]), lambda t: t.isNotNull())
-    return F.when(F.size(texts) > 0, F.array_join(texts, ""))
+def first_of_each(parts: str) -> Column:
+    """Of a sorted ``ARRAY<STRUCT<o, ..>>`` column the first entry of each ``o``."""
+    return F.filter(parts, lambda x, i: (i == 0) | (F.col(parts)[F.greatest(i - 1, F.lit(0))]["o"] != x["o"]))
 
 
 def merged_calls(deltas: str) -> Column:

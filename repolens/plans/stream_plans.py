@@ -10,8 +10,8 @@ from ..operators.summarize import distributed_row_number
 from ..session import scratch_folder
 from ..sources import views as V
 from ..sources.tables import Tables
-from ..streaming.assembly import assembly_stream
-from ..streaming.usage import start_usage_stream
+from ..streaming.assembly import assembly_stream, rocksdb_state
+from ..streaming.usage import read_usage, start_usage_stream
 from .registry import ORACLE, register
 
 #: Micro-batches that a stream is read in; files per batch follow the data.
@@ -30,11 +30,13 @@ def _scratch(spark, name: str) -> str:
 def q_stream_usage(spark, sf_dir):
     root = _scratch(spark, "usage")
     calls = V.v_calls(Tables(spark, sf_dir))
+    # A third of the records is delivered twice.
     calls.write.parquet(f"{root}/in")
+    calls.where(F.col("event_id") % 3 == 0).write.mode("append").parquet(f"{root}/in")
     q = start_usage_stream(spark, f"{root}/in", calls.schema, f"{root}/out", f"{root}/ckpt",
-                           max_files_per_trigger=_files_per_batch(spark, f"{root}/in"))
+                           max_files_per_trigger=_files_per_batch(spark, f"{root}/in"), record_id="event_id")
     q.awaitTermination()
-    return spark.read.parquet(f"{root}/out")
+    return read_usage(spark, f"{root}/out")
 
 
 @register("stream_assembly")
@@ -50,8 +52,9 @@ def q_stream_assembly(spark, sf_dir):
         lines.where(wave).write.mode("append").parquet(f"{root}/in")
     src = (spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", _files_per_batch(spark, f"{root}/in"))
            .parquet(f"{root}/in"))
-    q = (assembly_stream(src, timeout_ms=None).writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start(f"{root}/out"))
+    with rocksdb_state(spark):
+        q = (assembly_stream(src, timeout_ms=None).writeStream.format("parquet").outputMode("append")
+             .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start(f"{root}/out"))
     q.awaitTermination()
     out = spark.read.parquet(f"{root}/out")
     tc = F.from_json("tool_calls_json", "array<struct<index:int,id:string,name:string,arguments:string>>")

@@ -2,66 +2,131 @@
 
 Event lines are parsed by Spark (VARIANT paths, as in the batch operator);
 only line numbers and fragments reach Python, in
-``groupBy(response).applyInPandasWithState``.  State holds a response's lines
-until its end marker *and* every line before the marker have arrived, in
-whatever order and micro-batch; then the fragments leave as one row and the
-batch operator's own expressions put content and tool calls together.
+``groupBy(response).transformWithStateInPandas``.  A micro-batch writes what
+it brings and no more: fragments are appended to a list state, the line
+numbers seen are bits of blocks in a map state, and one small value holds the
+end marker and the count of lines before it.  When the marker *and* every
+line before it have arrived, in whatever order and micro-batch, the fragments
+are read once and leave as one row, and the batch operator's own expressions
+put content and tool calls together.
 
 A response that never finishes is, with ``timeout_ms``, emitted as incomplete
-after that processing time without news; lines that arrive later begin a new
+after that processing time without news (a timer, set anew by every
+micro-batch of the response); lines that arrive later begin a new
 one (the reference has no rule for this; choose a timeout above the longest
 gap of the source).  With ``timeout_ms=None`` nothing times out.  Use that
-for ``trigger(availableNow=True)`` runs: a processing-time timeout makes the
+for ``trigger(availableNow=True)`` runs: processing-time timers make the
 stateful operator request another (empty) batch forever.
+
+The state lives in RocksDB, which the stateful operator needs; ``rocksdb_state``
+sets it for the queries started inside it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
-from ..operators.responses import chunk_fields, merged_calls, ordered_content, parse_event_lines
+from ..operators.responses import chunk_fields, first_of_each, merged_calls, parse_event_lines
 
-STATE_SCHEMA = "line_nos array<bigint>, contents array<string>, tools array<string>, marker bigint"
-_COLLECTED = "line_nos array<bigint>, contents array<string>, tools array<string>, complete boolean"
 DEFAULT_TIMEOUT_MS = 10 * 60 * 1000
+#: Line numbers that one entry of the map state covers.
+BLOCK = 4096
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _collector(key_col: str, first_line: int, timeout_ms: int | None):
-    """Keeps a response's lines until its end marker and every line before
-    the marker have been seen; returns them as one row."""
-    def answer(rid, lines: pd.DataFrame, complete: bool) -> pd.DataFrame:
-        return pd.DataFrame({key_col: [rid], "line_nos": [lines["line_no"].tolist()], "contents": [lines["content"].tolist()],
-                             "tools": [lines["tool_json"].tolist()], "complete": [complete]})
-
-    def collect(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else ([], [], [], None)
-        lines = pd.DataFrame({"line_no": list(held[0]), "content": list(held[1]), "tool_json": list(held[2])}, dtype="object")
-        marker = held[3]
-        if state.hasTimedOut:
-            state.remove()
-            yield answer(key[0], lines, False)
-            return
-        new = pd.concat(list(pdfs), ignore_index=True)
-        ends = new.loc[new["is_done"].astype(bool), "line_no"]
-        if len(ends):
-            marker = int(min([*ends] + ([] if marker is None else [marker])))
-        new = new.loc[~new["is_done"].astype(bool), ["line_no", "content", "tool_json"]].astype("object")
-        # A line number counts once: of lines delivered again the smallest.
-        lines = pd.concat([lines, new], ignore_index=True).sort_values(["line_no", "content", "tool_json"], na_position="last")
-        lines = lines.drop_duplicates("line_no").where(lambda d: d.notna(), None)
-        if marker is not None and int((lines["line_no"] < marker).sum()) == marker - first_line:
-            state.remove()
-            yield answer(key[0], lines[lines["line_no"] < marker], True)
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Streaming queries started inside keep their state in RocksDB."""
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before)
+
+
+class Assembler(StatefulProcessor):
+    """Keeps a response's fragments until its end marker and every line
+    before the marker have been seen; returns them as one row."""
+
+    def __init__(self, key_col: str, first_line: int, timeout_ms: int | None):
+        self.key_col, self.first_line, self.timeout_ms = key_col, first_line, timeout_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.parts = handle.getListState("parts", "line_no bigint, content string, tool_json string")
+        self.seen = handle.getMapState("seen", "block bigint", "bits binary")
+        self.progress = handle.getValueState("progress", "marker bigint, below bigint, timer bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        marker, below, timer = self.progress.get() or (None, 0, None)
+        known = marker
+        for lines in rows:
+            done = lines["is_done"].to_numpy(bool)
+            if done.any():
+                end = int(lines.loc[done, "line_no"].min())
+                marker = end if marker is None else min(marker, end)
+            body = lines[~done]
+            below += self._mark(body["line_no"].to_numpy("int64") - self.first_line, known)
+            body = body[body["content"].notna() | body["tool_json"].notna()]
+            if len(body):
+                text = body[["content", "tool_json"]].astype("object").where(lambda d: d.notna(), None)
+                self.parts.appendList(list(zip(body["line_no"].tolist(), text["content"], text["tool_json"])))
+        if marker != known:
+            below = self._count(marker - self.first_line)
+        if marker is not None and below >= marker - self.first_line:
+            yield self._leave(key, marker, timer)
             return
-        state.update((lines["line_no"].tolist(), lines["content"].tolist(), lines["tool_json"].tolist(), marker))
-        if timeout_ms is not None:
-            state.setTimeoutDuration(timeout_ms)
-    return collect
+        if self.timeout_ms is not None:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            timer = timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms
+            self.handle.registerTimer(timer)
+        self.progress.update((marker, below, timer))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state = self.progress.get()
+        if state is not None and state[2] == expiredTimerInfo.getExpiryTimeInMs():
+            yield self._leave(key, None, None)
+
+    def _mark(self, at: np.ndarray, marker: int | None) -> int:
+        """Marks line positions as seen; how many below a known marker are new."""
+        at, new = np.unique(at[at >= 0]), 0
+        for part in np.split(at, np.flatnonzero(np.diff(at // BLOCK)) + 1) if len(at) else ():
+            block = int(part[0]) // BLOCK
+            bits = self._bits(self.seen.getValue((block,)))
+            fresh = part[bits[part - block * BLOCK] == 0]
+            if len(fresh):
+                bits[fresh - block * BLOCK] = 1
+                self.seen.updateValue((block,), (np.packbits(bits).tobytes(),))
+                if marker is not None:
+                    new += int((fresh < marker - self.first_line).sum())
+        return new
+
+    def _count(self, end: int) -> int:
+        """Positions seen below ``end``; read when a marker is new."""
+        return sum(int(self._bits(bits)[:max(0, end - block * BLOCK)].sum()) for (block,), bits in self.seen.iterator())
+
+    @staticmethod
+    def _bits(held) -> np.ndarray:
+        return np.zeros(BLOCK, np.uint8) if held is None else np.unpackbits(np.frombuffer(bytes(held[0]), np.uint8))
+
+    def _leave(self, key, marker: int | None, timer: int | None) -> pd.DataFrame:
+        held = [p for p in self.parts.get() if marker is None or p[0] < marker]
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        for state in (self.parts, self.seen, self.progress):
+            state.clear()
+        return pd.DataFrame({self.key_col: [key[0]], "line_nos": [[p[0] for p in held]], "contents": [[p[1] for p in held]],
+                             "tools": [[p[2] for p in held]], "complete": [marker is not None]})
 
 
 def assembly_stream(lines: DataFrame, timeout_ms: int | None = DEFAULT_TIMEOUT_MS, key: str = "response_id",
@@ -69,21 +134,25 @@ def assembly_stream(lines: DataFrame, timeout_ms: int | None = DEFAULT_TIMEOUT_M
     """Streaming (or batch) event lines ``key, order, line``, numbered from
     ``first_line`` without gaps -> one row per finished response: ``key,
     content, tool_calls_json, n_lines`` (lines with content or tool calls),
-    ``complete``.  A line number counts once, as in ``assemble_responses``."""
+    ``complete``.  A line number counts once, as in ``assemble_responses``.
+    Lines after the marker, and lines without a number, are no part of a response."""
     p = chunk_fields(parse_event_lines(lines, key, order, line_col))
     deltas = p.schema["tool_deltas"].dataType
     slim = p.select(F.col(key), F.col(order).cast("bigint").alias("line_no"), F.coalesce("is_done", F.lit(False)).alias("is_done"),
                     F.when(F.col("content") != "", F.col("content")).alias("content"),
-                    F.when(F.size("tool_deltas") > 0, F.to_json("tool_deltas")).alias("tool_json"))
-    schema = f"`{key}` {lines.schema[key].dataType.simpleString()}, {_COLLECTED}"
-    whole = slim.groupBy(key).applyInPandasWithState(
-        _collector(key, first_line, timeout_ms), schema, STATE_SCHEMA, "append",
-        GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+                    F.when(F.size("tool_deltas") > 0, F.to_json("tool_deltas")).alias("tool_json")).where(F.col("line_no").isNotNull())
+    schema = (f"`{key}` {lines.schema[key].dataType.simpleString()}, line_nos array<bigint>, contents array<string>, "
+              "tools array<string>, complete boolean")
+    whole = slim.groupBy(key).transformWithStateInPandas(
+        Assembler(key, first_line, timeout_ms), schema, "append", "None" if timeout_ms is None else "ProcessingTime")
     part = F.transform(F.arrays_zip("line_nos", "contents", "tools"), lambda x: F.struct(
         x["line_nos"].alias("o"), x["contents"].alias("t"), F.from_json(x["tools"], deltas).alias("d")))
-    parts = F.array_sort(F.filter(part, lambda x: x["t"].isNotNull() | x["d"].isNotNull()), lambda a, b: (a["o"] - b["o"]).cast("int"))
-    row = whole.select(key, parts.alias("_parts"), "complete")
-    row = row.withColumn("_deltas", F.flatten(F.transform(F.filter("_parts", lambda x: x["d"].isNotNull()), lambda x: x["d"])))
-    return row.select(key, ordered_content("_parts").alias("content"),
+    row = whole.select(key, part.alias("_parts"), "complete")
+    sorted_of = lambda c: F.array_sort(F.transform(F.filter("_parts", lambda x: x[c].isNotNull()), lambda x: F.struct(x["o"], x[c])))
+    row = row.select(key, "complete", sorted_of("t").alias("_t"), sorted_of("d").alias("_d"),
+                     F.size(F.array_distinct(F.transform("_parts", lambda x: x["o"]))).cast("bigint").alias("n_lines"))
+    row = row.select(key, "complete", "n_lines", first_of_each("_t").alias("_t"),
+                     F.flatten(F.transform(first_of_each("_d"), lambda x: x["d"])).alias("_deltas"))
+    return row.select(key, F.when(F.size("_t") > 0, F.array_join(F.transform("_t", lambda x: x["t"]), "")).alias("content"),
                       F.when(F.size("_deltas") > 0, F.to_json(merged_calls("_deltas"))).alias("tool_calls_json"),
-                      F.size("_parts").cast("bigint").alias("n_lines"), "complete")
+                      "n_lines", "complete")

@@ -46,15 +46,16 @@ def test_stream_state_timeout_emits_incomplete(spark):
     import time
     import uuid
 
-    from repolens.streaming.assembly import assembly_stream
+    from repolens.streaming.assembly import assembly_stream, rocksdb_state
 
     base = spark.sparkContext.getCheckpointDir().rstrip("/") + f"/streams/timeout-{uuid.uuid4().hex}"
     line = "data: " + json.dumps({"choices": [{"index": 0, "delta": {"content": "partial"}}]})
     spark.createDataFrame([(9, 0, line)], "response_id bigint, line_no bigint, line string") \
         .write.parquet(f"{base}/in")
     src = spark.readStream.schema("response_id bigint, line_no bigint, line string").parquet(f"{base}/in")
-    q = (assembly_stream(src, timeout_ms=1000).writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", f"{base}/ckpt").trigger(processingTime="1 second").start(f"{base}/out"))
+    with rocksdb_state(spark):
+        q = (assembly_stream(src, timeout_ms=1000).writeStream.format("parquet").outputMode("append")
+             .option("checkpointLocation", f"{base}/ckpt").trigger(processingTime="1 second").start(f"{base}/out"))
     try:
         deadline = time.time() + 90
         rows = []

@@ -1,10 +1,13 @@
 """Repeated rows, repeated keys, null keys and equal positions: each row
 counts once, whatever it shares with others."""
 
+import json
+
 import pandas as pd
 from pyspark.sql import functions as F
 
 from repolens.operators import responses, sessions, summarize
+from repolens.session import scratch_folder
 from repolens.streaming import assembly
 
 
@@ -70,27 +73,99 @@ def test_lines_delivered_twice_count_once_in_batch_and_stream(spark):
     def text(c):
         return 'data: {"choices":[{"delta":{"content":"%s"}}]}' % c
     tool = 'data: {"choices":[{"delta":{"tool_calls":[{"index":0,"id":"i","function":{"name":"f","arguments":"{}"}}]}}]}'
-    lines = [(1, 0, text("a")), (1, 0, text("a")), (1, 1, text("c")), (1, 1, text("b")), (1, 2, tool), (1, 2, tool), (1, 3, "data: [DONE]"), (2, 0, "data: [DONE]")]
-    df = spark.createDataFrame(lines, "response_id int, line_no bigint, line string").repartition(3)
-    batch = {r["response_id"]: r for r in responses.assemble_responses(df).collect()}
-    assert batch[1]["content"] == "ab" and [(c["name"], c["arguments"]) for c in batch[1]["tool_calls"]] == [("f", "{}")]
-
-    class State:
-        exists, hasTimedOut, get = False, False, None
-
-        def update(self, v):
-            self.exists, self.get = True, v
-
-        def remove(self):
-            self.exists = False
-
-    # Two micro-batches: the second delivers lines of the first again.
-    state, collect = State(), assembly._collector("response_id", 0, None)
-    first = pd.DataFrame({"line_no": [1, 0, 3], "is_done": [False, False, True], "content": ["c", "a", None], "tool_json": [None, None, None]})
-    second = pd.DataFrame({"line_no": [1, 0, 2], "is_done": [False] * 3, "content": ["b", "a", None], "tool_json": [None, None, "[]"]})
-    assert list(collect((1,), iter([first]), state)) == []
-    (out,) = collect((1,), iter([second]), state)
-    assert out["contents"][0] == ["a", "b", None] and out["line_nos"][0] == [0, 1, 2] and not state.exists
+    done = "data: [DONE]"
+    # The marker first, then lines out of order, some again in a later micro-batch; a line after the marker.
+    waves = [[(1, 4, done), (1, 9, text("z")), (1, 1, text("c")), (2, 0, done)], [(1, 0, text("a")), (1, 1, text("b")), (1, 0, text("a")), (None, 0, text("n"))],
+             [(1, 2, tool), (1, 1, text("c")), (None, 1, done)], [(1, 3, text("d")), (1, 2, tool)]]
+    schema = "response_id int, line_no bigint, line string"
+    batch = {r["response_id"]: r for r in responses.assemble_responses(spark.createDataFrame(sum(waves, []), schema).where("line_no < 9").repartition(3)).collect()}
+    assert batch[1]["content"] == "abd" and [(c["name"], c["arguments"]) for c in batch[1]["tool_calls"]] == [("f", "{}")]
+    root = scratch_folder(spark, "streams/twice")
+    for n, wave in enumerate(waves):
+        spark.createDataFrame(wave, schema).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+        with assembly.rocksdb_state(spark):  # each wave restarts the query from its checkpoint
+            q = (assembly.assembly_stream(src, timeout_ms=None).writeStream.format("parquet").outputMode("append")
+                 .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start(f"{root}/out"))
+        q.awaitTermination()
+        got = {r["response_id"]: r for r in spark.read.parquet(f"{root}/out").collect()}
+        assert (1 in got) == (n == 3) and (None in got) == (n >= 2) and got[2]["content"] is None
+    assert got[1]["content"] == "abd" and got[1]["n_lines"] == 4 and got[1]["complete"] and got[None]["content"] == "n"
+    assert [(c["name"], c["arguments"]) for c in json.loads(got[1]["tool_calls_json"])] == [("f", "{}")]
+
+
+class _Handle:
+    """State in dictionaries; counts the fragments and entries written."""
+
+    def __init__(self):
+        self.appended, self.entries, self.timers = 0, 0, []
+
+    def getListState(self, name, schema):
+        handle, held = self, []
+
+        class L:
+            def appendList(self, xs):
+                handle.appended += len(xs)
+                held.extend(xs)
+
+            def get(self):
+                return iter(held)
+
+            def clear(self):
+                held.clear()
+        return L()
+
+    def getMapState(self, name, key, value):
+        handle, held = self, {}
+
+        class M:
+            getValue, clear = staticmethod(held.get), staticmethod(held.clear)
+
+            def updateValue(self, k, v):
+                handle.entries += 1
+                held[k] = v
+
+            def iterator(self):
+                return iter(list(held.items()))
+        return M()
+
+    def getValueState(self, name, schema):
+        held = []
+
+        class S:
+            def get(self):
+                return held[0] if held else None
+
+            def update(self, v):
+                held[:] = [v]
+            clear = staticmethod(held.clear)
+        return S()
+
+    def registerTimer(self, t):
+        self.timers.append(t)
+
+    def deleteTimer(self, t):
+        self.timers.remove(t)
+
+
+def test_a_micro_batch_writes_only_its_own_lines():
+    class Clock:
+        def __init__(self, t):
+            self.getCurrentProcessingTimeInMs = self.getExpiryTimeInMs = lambda: t
+
+    handle, a = _Handle(), assembly.Assembler("response_id", 0, 100)
+    a.init(handle)
+    per = 500
+    for n in range(40):
+        at = range(n * per, (n + 1) * per)
+        lines = pd.DataFrame({"line_no": list(at), "is_done": False, "content": ["x"] * per, "tool_json": [None] * per})
+        before = handle.appended, handle.entries
+        assert list(a.handleInputRows((1,), iter([lines]), Clock(n))) == []
+        assert handle.appended - before[0] == per and handle.entries - before[1] <= 2 and handle.timers == [n + 100]
+    assert list(a.handleExpiredTimer((1,), Clock(0), Clock(100))) == []      # an older timer
+    end = pd.DataFrame({"line_no": [40 * per], "is_done": [True], "content": [None], "tool_json": [None]})
+    (out,) = a.handleInputRows((1,), iter([end]), Clock(50))
+    assert len(out["contents"][0]) == 40 * per and out["complete"][0] and handle.timers == [] and a.progress.get() is None
 
 
 def test_generated_files_are_dealt_to_all_cores(spark):

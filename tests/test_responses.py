@@ -155,15 +155,16 @@ def test_stream_event_files(spark):
     import uuid
 
     from repolens.sources.events import read_event_files
-    from repolens.streaming.assembly import assembly_stream
+    from repolens.streaming.assembly import assembly_stream, rocksdb_state
 
     base = spark.sparkContext.getCheckpointDir().replace("file:", "").rstrip("/") + f"/evstream-{uuid.uuid4().hex}"
     os.makedirs(base + "/in")
     with open(base + "/in/a.txt", "w") as f:
         f.write("\n".join([_chunk("ab"), _chunk("cd"), "data: [DONE]"]))
     src = read_event_files(spark, base + "/in", stream=True)
-    q = (assembly_stream(src, timeout_ms=None, key="response").writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", base + "/ckpt").trigger(availableNow=True).start(base + "/out"))
+    with rocksdb_state(spark):
+        q = (assembly_stream(src, timeout_ms=None, key="response").writeStream.format("parquet").outputMode("append")
+             .option("checkpointLocation", base + "/ckpt").trigger(availableNow=True).start(base + "/out"))
     q.awaitTermination(120)
     rows = spark.read.parquet(base + "/out").collect()
     assert [(r.response.rsplit("/", 1)[-1], r.content, r.complete) for r in rows] == [("a.txt", "abcd", True)]
