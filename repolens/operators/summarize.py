@@ -200,17 +200,24 @@ def _call_fold(fn: Callable[[str], str], key: str):
 def summarize_change_sets(diffs: DataFrame, fn: Callable[[str], str] = first_words,
                           coordinator_fn: Callable[[str], str] | None = None, key: str = "change_set",
                           file_prompt: str = FILE_PROMPT, coordinator_prompt: str = COORDINATOR_PROMPT,
-                          max_concurrent: int | None = None, limit: int | None = None) -> DataFrame:
+                          max_concurrent: int | None = None, limit: int | None = None, ledger: str | None = None) -> DataFrame:
     """(cut at ``limit``, if given) -> batch -> per-batch call -> fold -> one coordinator
     call per change set -> strip code fences.  Output ``key, message,
     n_batches, n_failed, error``; ``message`` is null when no batch produced
-    a summary."""
+    a summary.  With a ``ledger`` folder the batches' calls are not repeated by
+    a later run (see ``calls.call_batches``)."""
     coordinator_fn = coordinator_fn or fn
     batches = size_batches(diffs, key, limit=limit)
     # The per-batch results feed two branches (the fold and the stats): call
     # the user's function once per batch and keep the answers (reliable
     # checkpoint in the shared folder), instead of calling it twice.
-    results = map_batches(batches, fn, file_prompt, key, max_concurrent).checkpoint(eager=True)
+    if ledger is not None:
+        from .calls import call_batches
+
+        bound = max_concurrent or MAX_CONCURRENT
+        results = call_batches(batches, ledger, fn, file_prompt, key, bound, min(2, bound)).checkpoint(eager=True)
+    else:
+        results = map_batches(batches, fn, file_prompt, key, max_concurrent).checkpoint(eager=True)
     sets = diffs.select(key).distinct()
     folded = fold_summaries(results, key, sets)
     prompts = folded.select(key, F.when(F.col("summaries").isNotNull(),

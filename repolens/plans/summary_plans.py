@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import PY_WHITESPACE
 from ..operators import summarize as SM
+from ..operators.calls import call_batches
+from ..session import scratch_folder
 from ..sources import views as V
 from ..sources.tables import Tables
 from .registry import register
@@ -94,6 +96,16 @@ def q_map_batches(spark, sf_dir):
     return r.select("change_set", "batch_no", F.array_join("files", ",").alias("files"), "summary", "error")
 
 
+@register("call_batches", "SELECT change_set, batch_no, paths AS files, summary, error FROM o_results", _BATCH)
+def q_call_batches(spark, sf_dir):
+    """I1 through a ledger that an earlier run, over the small batches, has begun."""
+    ledger = scratch_folder(spark, "ledger")
+    batches = SM.size_batches(V.v_diffs(Tables(spark, sf_dir))).checkpoint()
+    call_batches(batches.where("is_small"), ledger, demo_summarizer)
+    r = call_batches(batches, ledger, demo_summarizer)
+    return r.select("change_set", "batch_no", F.array_join("files", ",").alias("files"), "summary", "error")
+
+
 @register("fold_summaries", "SELECT change_set, summaries FROM o_fold", _BATCH)
 def q_fold_summaries(spark, sf_dir):
     d, r = _results(spark, sf_dir)
