@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import extract_mentions
 from ..operators import sessions as SS
 from ..operators import settings as S
+from ..operators.nested import merge_nested
 from ..sources import corpus as C
 from ..sources import views as V
 from ..sources.tables import Tables
@@ -29,6 +30,49 @@ def q_layered_overrides(spark, sf_dir):
     return S.layered_overrides(V.v_layers(Tables(spark, sf_dir)))
 
 
+# Nested layers: a stack of JSON documents per customer, one per order priority,
+# in five shapes that replace each other's scalars, arrays and subtrees.
+_SHAPES = ('{"a":@hi}', '{"a":{"b":@hi,"c":{"d":@lo}}}', '{"a":{},"e":{"f":{}}}', '{"a":{"c":@hi},"x.y":@lo,"list":[@lo,{"q":1}]}',
+           '{"a":{"c":{},"b":{"e":"t@lo"}},"e":null}')
+
+
+def _shape_sql(shape: str) -> str:
+    return "replace(replace('" + shape + "', '@hi', CAST(hi AS VARCHAR)), '@lo', CAST(lo AS VARCHAR))"
+
+
+_NESTED = {
+    "o_docs": f"""
+SELECT stack, priority, CASE (stack + priority) % 5 {" ".join(f"WHEN {i} THEN {_shape_sql(x)}" for i, x in enumerate(_SHAPES))} END AS settings
+FROM (SELECT o_custkey AS stack, CAST(substr(o_orderpriority, 1, 1) AS INT) AS priority, max(o_orderkey) AS hi, min(o_orderkey) AS lo
+      FROM orders GROUP BY ALL) o""",
+    "o_open": """
+WITH RECURSIVE t(stack, priority, path, v) AS (
+  SELECT stack, priority, '', CAST(settings AS JSON) FROM o_docs
+  UNION ALL
+  SELECT stack, priority, CASE WHEN path = '' THEN '' ELSE path || '.' END || replace(replace(k, '%', '%25'), '.', '%2E'), json_extract(v, '$."' || k || '"')
+  FROM (SELECT stack, priority, path, v, unnest(json_keys(v)) AS k FROM t WHERE json_type(v) = 'OBJECT') x)
+SELECT stack, priority, path AS key_path, CAST(v AS VARCHAR) AS value FROM t WHERE path <> '' AND (json_type(v) <> 'OBJECT' OR CAST(v AS VARCHAR) = '{}')""",
+    "o_left": """
+SELECT * FROM o_open l WHERE NOT EXISTS (
+  SELECT 1 FROM o_open m WHERE m.stack = l.stack AND m.priority > l.priority AND (
+    m.key_path = l.key_path OR (m.value <> '{}' AND starts_with(l.key_path, m.key_path || '.'))
+    OR (l.value <> '{}' AND starts_with(m.key_path, l.key_path || '.'))))""",
+}
+
+
+@register("nested_overrides", """
+SELECT stack, priority, key_path, value FROM o_left l WHERE value <> '{}' OR NOT EXISTS (
+  SELECT 1 FROM o_left m WHERE m.stack = l.stack AND starts_with(m.key_path, l.key_path || '.'))""", _NESTED)
+def q_nested_overrides(spark, sf_dir):
+    """J8 on nested documents, a stack of layers per customer."""
+    o = Tables(spark, sf_dir).orders.groupBy(F.col("o_custkey").alias("stack"), F.substring("o_orderpriority", 1, 1).cast("int").alias("priority")) \
+        .agg(F.max("o_orderkey").cast("string").alias("hi"), F.min("o_orderkey").cast("string").alias("lo"))
+    text = F.lit(None).cast("string")
+    for i, shape in enumerate(_SHAPES):
+        text = F.when((F.col("stack") + F.col("priority")) % 5 == i, F.replace(F.replace(F.lit(shape), F.lit("@hi"), "hi"), F.lit("@lo"), "lo")).otherwise(text)
+    return merge_nested(o.select("stack", "priority", text.alias("settings")), ["stack"])
+
+
 # Secret-key pattern for the settings view (the driver's keys have no
 # ``providers.*.api_key`` leaves): every ``.k0`` leaf counts as a secret.
 SECRET_PATTERN = r"^c[0-9]+\.k0$"
