@@ -127,6 +127,10 @@ def test_coverage(sources: DataFrame, files: DataFrame, path_col: str = "path")
                       F.coalesce("found", suggested).alias("path"))
 
 
+#: Characters of a gram that paths are searched by.
+GRAM = 3
+
+
 def _grams(text, n: int) -> Column:
     """Distinct substrings of length ``n`` (``n = 0``: the empty string)."""
     t = col(text)
@@ -137,6 +141,30 @@ def _grams(text, n: int) -> Column:
                                         lambda i: F.substring(t, i, n)))
 
 
+def _path_grams(files: DataFrame, lengths, *cols) -> DataFrame:
+    """``cols`` and ``gram`` for each distinct gram of the lower-cased path."""
+    grams = F.array_distinct(F.flatten(F.array(*[_grams("low", n) for n in lengths])))
+    return files.select(*cols, F.explode(grams).alias("gram"))
+
+
+def _gram_lengths(queries: DataFrame) -> list[int]:
+    """Lengths of the grams that ``queries`` need: at most 0, 1, 2 and 3."""
+    rows = queries.select(F.least(F.length("query"), F.lit(GRAM)).alias("n")).distinct().collect()
+    return sorted(r["n"] for r in rows if r["n"] is not None) or [GRAM]
+
+
+def rarest_grams(files: DataFrame, queries: DataFrame, lengths: list[int]) -> DataFrame:
+    """``query, gram, n``: for each query the one of its grams (three
+    characters; a shorter query whole) that the fewest paths ``low`` hold, and
+    how many do.  A query with a gram that no path holds has no row: nothing
+    contains it."""
+    own = F.when(F.length("query") < GRAM, F.array("query")).otherwise(_grams("query", GRAM))
+    q = queries.select("query", F.explode(own).alias("gram"))
+    held = _path_grams(files, lengths).join(q.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    best = q.join(held, "gram", "left").groupBy("query").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("b"))
+    return best.where(F.col("b.n") > 0).select("query", "b.gram", "b.n")
+
+
 def path_search(files: DataFrame, queries: DataFrame, k: int, path_col: str = "path",
                 query_col: str = "query") -> DataFrame:
     """Per query (lower-cased), the files whose name starts with it or
@@ -144,12 +172,13 @@ def path_search(files: DataFrame, queries: DataFrame, k: int, path_col: str = "p
     "path contains query" -- ranked by number of components of ``@path``,
     then lower-cased path (then path), top ``k``.
 
-    Containment is an equi join on the query's leading n-gram
-    (n = min(3, len); the empty query uses the empty gram every path has)
-    against the n-grams of every path -- no nested-loop join -- followed by
-    the exact check.  The per-query top-k is ``row_number() <= k``, which
-    Spark plans with a partial group limit before the shuffle, so a query
-    matching every file still ships at most ``k`` rows per map task.
+    Containment is an equi join of each query's rarest gram (see
+    ``rarest_grams``) with the grams of every path -- no nested-loop join --
+    followed by the exact check, so a gram that all paths hold joins only for
+    queries that have no other.  Only gram lengths that the queries have are
+    made.  The per-query top-k is ``row_number() <= k``, which Spark plans with
+    a partial group limit before the shuffle, so a query matching every file
+    still ships at most ``k`` rows per map task.
     """
     from pyspark.sql import Window
 
@@ -157,13 +186,10 @@ def path_search(files: DataFrame, queries: DataFrame, k: int, path_col: str = "p
     f = f.withColumn("low", F.lower(F.substring("option", 2, 1 << 30)))
     f = f.withColumn("ncomp", F.size(F.split("option", "/")))
     q = queries.select(F.lower(F.col(query_col)).alias("query")).distinct()
-    q = q.select("query", F.least(F.length("query"), F.lit(3)).alias("g"), F.substring("query", 1, 3).alias("gram"))
-    grams = f.select("option", "low", "ncomp",
-                     F.explode(F.array(*[F.struct(F.lit(n).alias("g"), _grams("low", n).alias("gs"))
-                                         for n in (0, 1, 2, 3)])).alias("x"))
-    grams = grams.select("option", "low", "ncomp", F.col("x.g").alias("g"), F.explode("x.gs").alias("gram"))
-    grams = grams.where(F.length("gram") == F.col("g"))
-    cand = q.join(grams, ["g", "gram"]).where(F.contains("low", "query")).select("query", "option", "low", "ncomp")
+    lengths = _gram_lengths(q)
+    best = rarest_grams(f, q, lengths).select("query", "gram")
+    cand = (_path_grams(f, lengths, "option", "low", "ncomp").join(best, "gram")
+            .where(F.contains("low", "query")).select("query", "option", "low", "ncomp"))
     w = Window.partitionBy("query").orderBy("ncomp", "low", "option")
     ranked = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("query", "rank", "option")
