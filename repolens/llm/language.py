@@ -39,7 +39,7 @@ MAX_TRAINING, BINS, SMOOTH = 2_000, 1 << 15, 0.5
 MAX_EVIDENCE = 60
 #: Smoothing weight of the level above a host; rejection limits.
 HOST_WEIGHT, MIN_POSTERIOR, MIN_TRIGRAMS = 20.0, 0.5, 30
-#: More labels than this are not a set of languages.
+#: Languages that a model tells apart at most: the labels with most texts.
 MAX_LANGUAGES = 500
 
 _CLASS = np.array([c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256)], np.uint32)
@@ -98,16 +98,17 @@ def score_column(spark, model: LanguageModel, text: Column) -> Column:
     return scores(text)
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", max_training: int = MAX_TRAINING) -> LanguageModel | None:
-    """Fit on about ``max_training`` texts of each label, drawn by hash.  What
-    the driver gets is bounded by bins times languages."""
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", max_training: int = MAX_TRAINING,
+        max_languages: int = MAX_LANGUAGES) -> LanguageModel | None:
+    """Fit on about ``max_training`` texts of each label, drawn by hash, for the
+    ``max_languages`` labels with most texts (equal numbers by code point);
+    texts of rarer labels are judged by these, and such a label is no evidence.
+    What the driver gets is bounded by bins times languages."""
     spark = labelled.sparkSession
     rows = labelled.select(F.col(label_col).alias("label"), F.col(text_col).alias("text")).dropna()
-    sizes = {r[0]: r[1] for r in rows.groupBy("label").count().limit(MAX_LANGUAGES + 1).collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_languages).collect()}
     if not sizes:
         return None
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} labels")
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, max_training / n))])
     drawn = F.pmod(F.xxhash64(F.lit(5), F.col("text")), F.lit(1 << 20)) < share[F.col("label")] * (1 << 20)
     sample = write_table(rows.where(drawn), "language-sample")
@@ -159,16 +160,16 @@ def _evidence(counts: DataFrame, n: int):
         return kinds.select(F.col(col).alias(f"__{col}"), F.array(*[
             F.log((F.col("c")[i] + 1.0) / (sums[i] + total[0])) for i in range(n)]).alias(f"__{col}_log"))
 
-    def smoothed(level: list[Column]) -> Column:
-        size = sum((F.col("c")[i] for i in range(n)), F.lit(0.0))
-        return F.array(*[(F.col("c")[i] + HOST_WEIGHT * level[i]) / (size + HOST_WEIGHT) for i in range(n)])
+    def smoothed(level: Column) -> Column:
+        size = F.aggregate("c", F.lit(0.0), lambda a, x: a + x)
+        return F.zip_with("c", level, lambda x, p: (x + HOST_WEIGHT * p) / (size + HOST_WEIGHT))
 
     known = counts.where(F.col("host").isNotNull())
     parents = (known.groupBy(parent_domain(F.col("host")).alias("parent")).agg(F.array(*_counts(n)).alias("c"))
-               .select("parent", smoothed([F.lit(x) for x in world]).alias("p")))
+               .select("parent", smoothed(F.array(*[F.lit(x) for x in world])).alias("p")))
     hosts = known.groupBy("host").agg(F.array(*_counts(n)).alias("c")).withColumn("parent", parent_domain(F.col("host")))
     hosts = hosts.join(parents, "parent").select(F.col("host").alias("__host"),
-                                                 F.transform(smoothed([F.col("p")[i] for i in range(n)]), lambda x: F.log(x)).alias("__host_log"))
+                                                 F.transform(smoothed(F.col("p")), lambda x: F.log(x)).alias("__host_log"))
     return given_language("declared"), given_language("suffix"), hosts, [math.log(x) for x in world]
 
 

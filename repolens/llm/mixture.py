@@ -133,9 +133,11 @@ def take(docs: DataFrame, sources: DataFrame) -> DataFrame:
 
 def mix_rows(docs: DataFrame, weigh, share: float = 1.5, max_repeat: int = 2) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as the mix takes it,
-    with the columns of ``docs``."""
+    with the columns of ``docs``, whatever their names."""
     _, sources = plan_mixture(docs, weigh, share, max_repeat)
-    s = broadcast_if_small(sources.select(F.col("source").alias("__s"), F.col("base").alias("__base"), F.col("cut").alias("__cut")))
-    copies = F.col("__base") + F.when(document_hash(F.col("doc_id"), F.col("text")) < F.col("__cut"), 1).otherwise(0)
-    return (docs.join(s, _same(F.col("source"), F.col("__s")))
-            .withColumn("__n", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*docs.columns))
+    # The row travels as one struct, so no column of it can clash.
+    rows = docs.select(F.struct("*").alias("row"), F.col("source").alias("of"), document_hash(F.col("doc_id"), F.col("text")).alias("hash"))
+    s = broadcast_if_small(sources.select("source", "base", "cut"))
+    copies = F.col("base") + F.when(F.col("hash") < F.col("cut"), 1).otherwise(0)
+    return (rows.join(s, _same(F.col("of"), F.col("source")))
+            .select("row", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select("row.*"))

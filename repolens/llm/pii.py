@@ -14,8 +14,8 @@ Defined results: a null text is an empty one and has no spans (its sanitised
 text is null).  Repeated rows count once per row as documents, but copies of
 one surrounding count once as support, so groups of copies alone make no
 term.  Texts are scanned whole, in time linear in their length.  An empty
-table gives an empty result.  Other columns pass through; ``spans`` and
-``sanitised`` replace columns of the same name.
+table gives an empty result.  Other columns pass through; only the ``spans`` of
+``find_spans`` replace a column of that name.
 """
 
 from __future__ import annotations
@@ -241,7 +241,8 @@ def span_string(spans: Column) -> Column:
 
 def sanitise(docs: DataFrame, text_col: str = "text", terms: DataFrame | None = None) -> DataFrame:
     """``docs`` with the text sanitised: ``strong`` spans go, all others become
-    ``[KIND]``.  Overlapping spans are replaced as one, named by the first."""
+    ``[KIND]``.  Overlapping spans are replaced as one, named by the first.
+    All other columns stay as they are, whatever their names."""
     terms = write_table(revealing_terms(docs, text_col), "pii-terms") if terms is None else terms
 
     @F.arrow_udf("string")
@@ -259,5 +260,6 @@ def sanitise(docs: DataFrame, text_col: str = "text", terms: DataFrame | None =
             out.append("".join([*parts, text[at:]]) if at else text)
         return pa.array(out, pa.string())
 
-    found = find_spans(docs.drop("spans"), terms, text_col)
-    return found.withColumn(text_col, cleaned(F.col(text_col), F.col("spans"))).drop("spans").select(*[c for c in docs.columns if c != "spans"])
+    # The row travels as one struct, so no column of it can clash.
+    found = find_spans(docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text")), terms).withColumn("text", cleaned(F.col("text"), F.col("spans")))
+    return found.select(*[(F.col("text") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])

@@ -226,8 +226,9 @@ def test_language_odd_rows(spark):
     assert abs(rows[5]["confidence"] - 1) < 1 and rows[1]["text_language"] is None
     assert language.identify(odd.limit(0), model, F.col("lang"), F.col("source")).count() == 0
     assert language.fit(docs.limit(0)) is None and language.fit(docs.withColumn("lang", F.lit(None).cast("string"))) is None
-    with pytest.raises(ValueError):
-        language.fit(spark.range(600).select(F.col("id").cast("string").alias("lang"), F.lit("a b").alias("text")))
+    many = language.fit(spark.range(600).select(F.col("id").cast("string").alias("lang"), F.lit("a b").alias("text")))
+    assert len(many.languages) == language.MAX_LANGUAGES
+    assert language.identify(docs, many, F.col("lang"), F.col("source")).count() == docs.count()
 
 
 def test_language_query_finds_the_labels(spark):
@@ -235,3 +236,24 @@ def test_language_query_finds_the_labels(spark):
     assert len(rows) == 200 and sum(r["language"] == r["lang"] for r in rows) >= 198 and sum(r["keep"] for r in rows) >= 199
     pages = QUERIES["language_id_pages"](spark, SF_SMALL).collect()
     assert pages and all(r["language"] in ("de", "en", "es", "fr") for r in pages)
+
+
+def test_sanitise_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "write to a@b.org", "mine", 1, 2), (2, None, None, 3, 4)], "doc_id long, text string, spans string, row int, `a.b` int")
+    got = pii.sanitise(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [(1, "write to [EMAIL]", "mine", 1, 2), (2, None, None, 3, 4)]
+
+
+def test_more_labels_than_languages(spark):
+    """The labels with most texts are the languages; every row is judged."""
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+    texts = [" ".join(random.Random(k * 1000 + j).choice(words[k * 3:k * 3 + 30]) for j in range(40)) for k in range(40)]
+    rows = [(i, texts[i % 40], f"x{chr(97 + i % 40 // 26)}{chr(97 + i % 40 % 26)}" if i % 40 < 30 else f"rare{i}", "h.org") for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = language.fit(docs, max_languages=20)
+    counts = sorted(((-n, lang) for lang, n in ((r[0], r[1]) for r in docs.groupBy("lang").count().collect())))
+    assert model.languages == sorted(lang for _, lang in counts[:20])
+    out = language.identify(docs, model, F.col("lang"), F.col("source")).collect()
+    assert len(out) == 800 and {r["language"] for r in out} <= set(model.languages)
+    right = [r["language"] == r["lang"] for r in out if r["lang"] in model.languages]
+    assert sum(right) >= 0.95 * len(right)

@@ -67,6 +67,9 @@ def test_mixture_cases(spark):
     mixed = mixture.mix_rows(docs, mixture.cyclic_weights)
     assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in out)
     assert mixture.mix_rows(docs.limit(0), mixture.cyclic_weights).count() == 0
+    odd = docs.selectExpr("doc_id", "text", "source", "doc_id AS base", "'x' AS cut", "1 AS hash", "2 AS `of`", "3 AS __n", "4 AS row", "5 AS `a.b`")
+    assert sorted(map(str, mixture.mix_rows(odd, mixture.cyclic_weights).select("doc_id", "base", "cut", "__n").collect())) == \
+        sorted(str(r) for r in mixed.selectExpr("doc_id", "doc_id AS base", "'x' AS cut", "3 AS __n").collect())
 
 
 def test_targets_reshare_until_none_is_above(spark):
