@@ -6,23 +6,52 @@ from the driver: a frontier join against the edge table, an anti join (or
 min-label aggregate) against what is known, and a reliable ``checkpoint()``
 into the session's checkpoint folder so lineage stays one round deep and a
 lost executor only recomputes the current round.  The driver only reads
-``isEmpty`` per round to decide termination.
+``isEmpty`` per round to decide termination; all joins are dealt by key
+(``by_key``), so no table passes through it for a broadcast.
+
+The trees (G1, G3) find the edges that each root reaches in such rounds, deal
+them by root and walk one root after another in tasks.  Roots with more edges
+or branches than a task should hold or list are walked level by level with
+joins instead.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from itertools import chain, groupby, islice
+from operator import itemgetter
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, IntegralType, StructField, StructType
 
 from ..functions.names import normalize_name, requirement_name
+from ..session import scratch_folder
+
+#: Edges of one root that a task holds, branches of one root that it lists.
+ROOT_EDGES, ROOT_BRANCHES = 500_000, 1_000_000
+#: Rows of an Arrow batch that a walk returns.
+BATCH = 10_000
 
 
 def _ckpt(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """As ``_ckpt``, in compressed columns: for tables that grow with the result."""
+    path = scratch_folder(df.sparkSession, "graph")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def by_key(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the graph: dealt by key, never broadcast."""
+    return df.hint("merge")
+
+
 def reverse_deps(dists: DataFrame, requires: DataFrame, key_col: str = "p_partkey") -> DataFrame:
     """For every target name, the packages that require it, each with
     the *first* (lowest position) of its matching requirement strings.
@@ -38,7 +67,7 @@ def reverse_deps(dists: DataFrame, requires: DataFrame, key_col: str = "p_partke
 def _installed_roots(roots: DataFrame, installed: DataFrame | None) -> DataFrame:
     r = roots.select(F.col("node")).distinct()
     if installed is not None:
-        r = r.join(installed.select("node").distinct(), "node", "left_semi")
+        r = r.join(by_key(installed.select("node").distinct()), "node", "left_semi")
     return r
 
 
@@ -58,8 +87,8 @@ def reachable(edges: DataFrame, roots: DataFrame, installed: DataFrame | None =
     frontier = _ckpt(_installed_roots(roots, installed))
     visited, parts = frontier, 1
     while True:
-        nxt = (frontier.join(e, frontier.node == e.a).select(F.col("b").alias("node")).distinct()
-               .join(visited, "node", "left_anti"))
+        nxt = (frontier.join(by_key(e), frontier.node == e.a).select(F.col("b").alias("node")).distinct()
+               .join(by_key(visited), "node", "left_anti"))
         nxt = _ckpt(nxt)
         if nxt.isEmpty():
             return visited
@@ -82,11 +111,11 @@ def reachable_by_jumps(edges: DataFrame, roots: DataFrame, installed: DataFrame
     e = _ckpt(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct())
     degree = e.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b"))
     single = _ckpt(degree.where("n = 1").select("a", "b"))
-    forks = _ckpt(e.join(degree.where("n > 1").select("a"), "a", "left_semi"))
+    forks = _ckpt(e.join(by_key(degree.where("n > 1").select("a")), "a", "left_semi"))
     jumps, steps, most = [single], 1, single.count()
     while steps < most:
         last = jumps[-1]
-        further = _ckpt(last.join(last.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")))
+        further = _ckpt(last.join(by_key(last.select(F.col("a").alias("b"), F.col("b").alias("c"))), "b").select("a", F.col("c").alias("b")))
         if further.isEmpty():
             break
         jumps, steps = [*jumps, further], 2 * steps
@@ -95,95 +124,236 @@ def reachable_by_jumps(edges: DataFrame, roots: DataFrame, installed: DataFrame
     while not new.isEmpty():
         chain = new
         for jump in jumps:
-            ahead = _ckpt(chain.join(jump, chain.node == jump.a).select(F.col("b").alias("node")).distinct())
+            ahead = _ckpt(chain.join(by_key(jump), chain.node == jump.a).select(F.col("b").alias("node")).distinct())
             if ahead.isEmpty():
                 break
             chain = _ckpt(chain.union(ahead).distinct())
         known = _ckpt(known.union(chain).distinct())
-        new = _ckpt(chain.join(forks, chain.node == forks.a).select(F.col("b").alias("node")).distinct().join(known, "node", "left_anti"))
+        new = _ckpt(chain.join(by_key(forks), chain.node == forks.a).select(F.col("b").alias("node")).distinct().join(by_key(known), "node", "left_anti"))
         known = known.union(new)
     return known
 
 
+def _reached_edges(e: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Per root, the edges that leave the nodes it reaches (in at most
+    ``max_depth`` steps): ``root`` and the columns of ``e (_s, _d, ..)``.
+    Each (root, node) is followed once."""
+    frontier = _written(roots.select(F.col("node").alias("root"), "node"))
+    known, found = frontier, []
+    while max_depth is None or len(found) < max_depth:
+        step = _written(frontier.join(by_key(e), F.col("node") == F.col("_s")).select("root", *e.columns))
+        found.append(step)
+        frontier = _written(step.where(F.col("_d").isNotNull()).select("root", F.col("_d").alias("node")).distinct()
+                            .join(by_key(known), ["root", "node"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        known = known.unionAll(frontier)
+    return reduce(DataFrame.unionAll, found) if found else e.select(F.col("_s").alias("root"), *e.columns).limit(0)
+
+
+def _in_tasks(reached: DataFrame, rows_of, columns: list, *order) -> DataFrame:
+    """Deals reached edges by root and gives ``rows_of(root, children)`` of
+    each root, children in ``order`` by parent.  ``columns``: name, Spark type
+    and Arrow type of the rows; None stands for that of a node."""
+    node = reached.schema["root"].dataType
+    schema = StructType([StructField(name, (ArrayType(node) if name == "path" else node) if kind is None else kind) for name, kind, _ in columns])
+
+    def run(batches):
+        first = next(batches, None)
+        if first is None:
+            return
+        node_of = {"path": pa.list_(first.schema.field("root").type)}
+        out = pa.schema([(name, node_of.get(name, first.schema.field("root").type) if kind is None else kind) for name, _, kind in columns])
+        edges = (row for b in chain([first], batches) for row in zip(*(c.to_pylist() for c in b.columns)))
+
+        def rows():
+            for root, group in groupby(edges, itemgetter(0)):
+                children: dict = {}
+                for _, parent, *child in group:
+                    children.setdefault(parent, []).append(child)
+                yield from rows_of(root, children)
+
+        found = rows()
+        while held := list(islice(found, BATCH)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), out.types)], schema=out)
+
+    return reached.repartition("root").sortWithinPartitions("root", "_s", *order).mapInArrow(run, schema)
+
+
+def _roots_with_many_edges(e: DataFrame, reached: DataFrame) -> DataFrame | None:
+    """``root``s of more than ``ROOT_EDGES`` reached edges, None if there are none."""
+    if e.count() <= ROOT_EDGES:
+        return None
+    large = _ckpt(reached.groupBy("root").count().where(F.col("count") > ROOT_EDGES).select("root"))
+    return None if large.isEmpty() else large
+
+
+def _without(reached: DataFrame, large: DataFrame | None) -> DataFrame:
+    return reached if large is None else reached.join(by_key(large), "root", "left_anti")
+
+
+def _branches(root, children: dict, max_depth: int | None) -> Iterator[tuple]:
+    """Every branch below ``root``: depth, parent, child (node and what its
+    edge tells of it), path to the parent, whether the child is on that path.
+    ``path`` is one list that goes on changing."""
+    path, on, todo = [root], {root}, [iter(children.get(root, ()))]
+    while todo:
+        child = next(todo[-1], None)
+        if child is None:
+            todo.pop()
+            on.discard(path.pop())
+            continue
+        node = child[0]
+        again = node in on if node is not None else None
+        yield len(path), path[-1], child, path, again
+        if again is False and (max_depth is None or len(path) < max_depth):
+            path.append(node)
+            on.add(node)
+            todo.append(iter(children.get(node, ())))
+
+
+def _levels(e: DataFrame, level: DataFrame, max_depth: int | None) -> DataFrame:
+    """The branches below those of ``level`` (depth 0), level by level."""
+    levels, d = [], 0
+    while max_depth is None or d < max_depth:
+        d += 1
+        level = _written(level.where(~F.col("recursive")).select("root", "node", "path").join(by_key(e), F.col("node") == F.col("_s"))
+                         .select("root", F.lit(d).alias("depth"), F.col("node").alias("parent"), F.col("_d").alias("node"),
+                                 F.concat("path", F.array("_d")).alias("path"),
+                                 F.array_contains("path", F.col("_d")).alias("recursive"), *e.columns[2:]))
+        if level.isEmpty():
+            break
+        levels.append(level)
+    return reduce(DataFrame.unionByName, levels) if levels else level.limit(0)
+
+
 def dep_tree(edges: DataFrame, roots: DataFrame, installed: DataFrame | None = None,
-             max_depth: int | None = None) -> DataFrame:
+             max_depth: int | None = None, tag: str | None = None) -> DataFrame:
     """G1: every branch from every root; a child already on its own branch
     becomes a leaf marked ``recursive`` and is not expanded (the guard is
     per branch, so shared nodes expand once per branch).  Output ``root,
-    depth, parent, node, path ARRAY, recursive``.
+    depth, parent, node, path ARRAY, recursive``, and ``tag``: a column of
+    ``edges`` about ``dst`` and of ``roots`` about ``node``, if one is named.
 
     Every simple branch is walked to its end, so the output is as large as
     the number of branches; ``max_depth`` cuts it where a caller asks for a
     cut.  ``reachable`` (G2) and ``preorder_tree`` (G3) hold the same
-    structure in at most one row per root and edge."""
-    e = _ckpt(edges.select(F.col("src").alias("_s"), F.col("dst").alias("_d")))
+    structure in at most one row per root and edge.  The branches are listed
+    while they are read: what is stored grows with the edges that the roots
+    reach, not with the branches."""
+    extra = [tag] if tag else []
+    e = _ckpt(edges.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), *extra))
     r = _installed_roots(roots, installed)
-    level = _ckpt(r.select(F.col("node").alias("root"), F.lit(0).alias("depth"), F.lit(None).cast(r.schema["node"].dataType)
-                           .alias("parent"), "node", F.array("node").alias("path"), F.lit(False).alias("recursive")))
-    levels = [level]
-    d = 0
-    while max_depth is None or d < max_depth:
-        d += 1
-        nxt = (level.where(~F.col("recursive")).join(e, F.col("node") == F.col("_s"))
-               .select("root", F.lit(d).alias("depth"), F.col("node").alias("parent"), F.col("_d").alias("node"),
-                       F.concat("path", F.array("_d")).alias("path"),
-                       F.array_contains("path", F.col("_d")).alias("recursive")))
-        nxt = _ckpt(nxt)
-        if nxt.isEmpty():
-            break
-        levels.append(nxt)
-        level = nxt
-    return reduce(DataFrame.unionByName, levels)
+    if tag:
+        r = r.join(by_key(roots.groupBy("node").agg(F.min(tag).alias(tag))), "node")
+    r = _ckpt(r)
+    kind = r.schema["node"].dataType
+    top = r.select(F.col("node").alias("root"), F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent"), "node",
+                   F.array("node").alias("path"), F.lit(False).alias("recursive"), *extra)
+    if max_depth is not None and max_depth < 1:
+        return top
+    reached = _reached_edges(e, r, max_depth)
+    # Roots that one task would not hold or list.
+    large = _roots_with_many_edges(e, reached)
 
+    def many(root, children):
+        if next(islice(_branches(root, children, max_depth), ROOT_BRANCHES, None), None):
+            yield (root,)
 
-def preorder_tree(edges: DataFrame, roots: DataFrame, installed: DataFrame | None = None,
-                  as_text: bool = True) -> DataFrame:
-    """The display tree per root with children in name order, where the
-    first visit of a node in preorder is expanded and later visits are shown
-    as ``repeated`` leaves.
-
-    The first-visit path of a node is its lexicographically smallest simple
-    path from the root (nodes compared as
-    text or, with ``as_text=False``, as they are), found by label
-    correcting: each round relaxes the edges of the labels that the last
-    round changed and keeps the minimum label per (root, node), until no
-    label changes.  Then
+    def walk(root, children):
+        for depth, parent, (node, *about), path, again in _branches(root, children, max_depth):
+            yield (root, depth, parent, node, [*path, node], again, *about)
+
+    small = _without(reached, large)
+    more = _ckpt(_in_tasks(small, many, [("root", None, None)]))
+    if not more.isEmpty():
+        small, large = _without(small, more), more if large is None else large.union(more)
+    told = [(tag, e.schema[tag].dataType, pa.string())] if tag else []
+    out = top.unionByName(_in_tasks(small, walk, [
+        ("root", None, None), ("depth", IntegerType(), pa.int32()), ("parent", None, None), ("node", None, None), ("path", None, None),
+        ("recursive", BooleanType(), pa.bool_()), *told]))
+    return out if large is None else out.unionByName(_levels(e, _ckpt(top.join(by_key(large), "root", "left_semi")), max_depth))
+
+
+def _display(root, children: dict) -> Iterator[tuple]:
+    """The rows below ``root`` of a depth-first walk: depth, parent, node,
+    whether the node was shown before."""
+    seen, path, todo = {root}, [root], [iter(children.get(root, ()))]
+    while todo:
+        child = next(todo[-1], None)
+        if child is None:
+            todo.pop()
+            path.pop()
+            continue
+        node = child[0]
+        again = node in seen if node is not None else None
+        yield root, len(path), path[-1], node, again
+        if again is False:
+            seen.add(node)
+            path.append(node)
+            todo.append(iter(children.get(node, ())))
+
+
+def _labelled_display(e: DataFrame, r: DataFrame) -> DataFrame:
+    """The rows of ``_display`` by label correcting.  The first-visit path of a
+    node is its lexicographically smallest simple path from the root: each
+    round relaxes the edges of the labels that the last round changed and
+    keeps the minimum label per (root, node), until no label changes.  Then
     every edge leaving a reached node is one displayed row, ``repeated``
-    unless it is the child's own first-visit path.  A root without metadata
-    is one ``missing`` row.  Output ``root, depth, parent, node, repeated,
-    missing``."""
-    kind = (lambda c: F.col(c).cast("string")) if as_text else F.col
-    e = _ckpt(edges.select(kind("src").alias("_s"), kind("dst").alias("_d")).distinct())
-    all_roots = roots.select(kind("node").alias("node")).distinct()
-    inst = (installed.select(kind("node").alias("node")).distinct()
-            if installed is not None else None)
-    r = all_roots if inst is None else all_roots.join(inst, "node", "left_semi")
-    labels = _ckpt(r.select(F.col("node").alias("root"), "node", F.array("node").alias("label"), F.lit(1).alias("_new")))
+    unless it is the child's own first-visit path."""
+    labels = _written(r.select(F.col("node").alias("root"), "node", F.array("node").alias("label"), F.lit(1).alias("_new")))
     while not labels.where(F.col("_new") == 1).isEmpty():
-        cand = (labels.where(F.col("_new") == 1).join(e, F.col("node") == F.col("_s"))
+        cand = (labels.where(F.col("_new") == 1).join(by_key(e), F.col("node") == F.col("_s"))
                 .where(~F.array_contains("label", F.col("_d")))
                 .select("root", F.col("_d").alias("node"), F.concat("label", F.array("_d")).alias("label")))
         # Tag where the winning label comes from: 0 = already known, 1 = new
         # this round (ties keep the known one), so "did anything change" is a
-        # filter on the checkpointed result instead of another shuffle join.
+        # filter on the written result instead of another shuffle join.
         both = labels.withColumn("_new", F.lit(0)).unionByName(cand.withColumn("_new", F.lit(1)))
         best = both.groupBy("root", "node").agg(F.min(F.struct("label", "_new")).alias("b"))
-        labels = _ckpt(best.select("root", "node", F.col("b.label").alias("label"), F.col("b._new").alias("_new")))
+        labels = _written(best.select("root", "node", F.col("b.label").alias("label"), F.col("b._new").alias("_new")))
     labels = labels.drop("_new")
-    lab = labels.alias("p")
-    rows = (lab.join(e, F.col("p.node") == F.col("_s"))
-            .join(labels.select("root", F.col("node").alias("_d"), F.col("label").alias("child_label")),
-                  ["root", "_d"], "left")
-            .select("root", F.size("p.label").alias("depth"), F.col("p.node").alias("parent"),
-                    F.col("_d").alias("node"),
-                    (F.col("child_label") != F.concat("p.label", F.array("_d"))).alias("repeated"),
-                    F.lit(False).alias("missing")))
-    top = r.select(F.col("node").alias("root"), F.lit(0).alias("depth"), F.lit(None).cast(r.schema["node"].dataType).alias("parent"),
-                   "node", F.lit(False).alias("repeated"), F.lit(False).alias("missing"))
-    out = top.unionByName(rows)
-    if inst is not None:
-        miss = all_roots.join(inst, "node", "left_anti").select(
-            F.col("node").alias("root"), F.lit(0).alias("depth"), F.lit(None).cast(r.schema["node"].dataType).alias("parent"), "node",
-            F.lit(False).alias("repeated"), F.lit(True).alias("missing"))
-        out = out.unionByName(miss)
-    return out
+    return (labels.alias("p").join(by_key(e), F.col("p.node") == F.col("_s"))
+            .join(by_key(labels.select("root", F.col("node").alias("_d"), F.col("label").alias("child_label"))), ["root", "_d"], "left")
+            .select("root", F.size("p.label").alias("depth"), F.col("p.node").alias("parent"), F.col("_d").alias("node"),
+                    (F.col("child_label") != F.concat("p.label", F.array("_d"))).alias("repeated")))
+
+
+def preorder_tree(edges: DataFrame, roots: DataFrame, installed: DataFrame | None = None,
+                  as_text: bool = True) -> DataFrame:
+    """The display tree per root with children in name order (nodes
+    compared as text or, with ``as_text=False``, as they are), where the
+    first visit of a node in preorder is expanded and later visits are shown
+    as ``repeated`` leaves: every edge leaving a reached node is one row.  A
+    root without metadata is one ``missing`` row.  Output ``root, depth,
+    parent, node, repeated, missing``.
+
+    The edges that each root reaches are dealt by root and walked depth first
+    in tasks; roots that reach more than ``ROOT_EDGES`` are labelled by joins."""
+    shown = (lambda c: F.col(c).cast("string")) if as_text else F.col
+    # Whole numbers travel as such and are compared as text.
+    whole = all(isinstance(f.dataType, IntegralType) for f in (edges.schema["src"], edges.schema["dst"], roots.schema["node"]))
+    kind = (lambda c: F.col(c).cast("bigint")) if as_text and whole else shown
+    e = _ckpt(edges.select(kind("src").alias("_s"), kind("dst").alias("_d")).distinct())
+    all_roots = _ckpt(roots.select(kind("node").alias("node")).distinct())
+    inst = (installed.select(kind("node").alias("node")).distinct()
+            if installed is not None else None)
+    r = all_roots if inst is None else _ckpt(all_roots.join(by_key(inst), "node", "left_semi"))
+    reached = _reached_edges(e, r)
+    large = _roots_with_many_edges(e, reached)
+    rows = _in_tasks(_without(reached, large), _display, [
+        ("root", None, None), ("depth", IntegerType(), pa.int32()), ("parent", None, None), ("node", None, None),
+        ("repeated", BooleanType(), pa.bool_())], shown("_d"))
+    in_text = lambda df, *cols: df.withColumns({c: shown(c) for c in cols})
+    rows = in_text(rows, "root", "parent", "node")
+    if large is not None:
+        rows = rows.unionByName(_labelled_display(in_text(e, "_s", "_d"), in_text(large.select(F.col("root").alias("node")), "node")))
+    rows = rows.withColumn("missing", F.lit(False))
+
+    def alone(nodes, missing):
+        n = nodes.select(shown("node").alias("node"))
+        return n.select(F.col("node").alias("root"), F.lit(0).alias("depth"), F.lit(None).cast(n.schema["node"].dataType).alias("parent"),
+                        "node", F.lit(False).alias("repeated"), F.lit(missing).alias("missing"))
+
+    out = alone(r, False).unionByName(rows)
+    return out if inst is None else out.unionByName(alone(all_roots.join(by_key(inst), "node", "left_anti"), True))

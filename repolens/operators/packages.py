@@ -40,8 +40,8 @@ def package_graph(dists: DataFrame, requires: DataFrame, key_col: str = "p_partk
     one = named.groupBy("norm").agg(F.min(F.struct("name", "version")).alias("d")).select(F.lit(0).alias("all"), "norm", "d.name", "d.version")
     nodes = (distributed_row_number(one, ["all"], "norm", "node")
              .select(F.col("node").cast("bigint").alias("node"), "norm", "name", "version").checkpoint(eager=True))
-    number = nodes.select("norm", "node")
-    edges = (installed_edges(requires, dists, key_col).join(named.select(F.col("key").alias("pkg"), "norm"), "pkg").join(number, "norm")
+    number = graph.by_key(nodes.select("norm", "node"))
+    edges = (installed_edges(requires, dists, key_col).join(graph.by_key(named.select(F.col("key").alias("pkg"), "norm")), "pkg").join(number, "norm")
              .select(F.col("node").alias("src"), F.col("dep").alias("norm")).join(number, "norm").select("src", F.col("node").alias("dst")).distinct())
     return PackageGraph(nodes, edges.checkpoint(eager=True))
 
@@ -50,31 +50,30 @@ def package_roots(pkgs: PackageGraph, external: DataFrame, aliases: dict | None
     """``(norm, node)`` of external references (``ref``, see
     ``audit.classify_refs``); node is null where nothing is installed."""
     names = external.select(normalize_name(alias_install_name("ref", aliases)).alias("norm")).where(F.col("norm").isNotNull()).distinct()
-    return names.join(pkgs.nodes.select("norm", "node"), "norm", "left")
+    return names.join(graph.by_key(pkgs.nodes.select("norm", "node")), "norm", "left")
 
 
 def _named(rows: DataFrame, pkgs: PackageGraph, version_of: str, *cols: str) -> DataFrame:
     """Numbers in ``cols`` to names; ``version`` is that of ``version_of``."""
     for c in cols:
         n = pkgs.nodes.select(F.col("node").alias(f"_{c}"), F.col("name").alias(f"{c}_name"), F.col("version").alias(f"{c}_version"))
-        rows = rows.join(n, F.col(c) == F.col(f"_{c}"), "left").drop(f"_{c}")
+        rows = rows.join(graph.by_key(n), F.col(c) == F.col(f"_{c}"), "left").drop(f"_{c}")
     keep = [c for c in rows.columns if not c.endswith(("_name", "_version")) and c not in cols]
     return rows.select(*[F.col(f"{c}_name").alias(c) for c in cols], F.col(f"{version_of}_version").alias("version"), *keep)
 
 
-def _named_paths(rows: DataFrame, pkgs: PackageGraph) -> DataFrame:
-    """Arrays of numbers in ``path`` to ``names``, one join for all steps."""
-    steps = rows.select("path").distinct().select("path", F.posexplode("path").alias("pos", "node"))
-    found = (steps.join(pkgs.nodes.select("node", "name"), "node").groupBy("path")
-             .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("names")))
-    return rows.join(found, "path")
-
-
 def package_tree(pkgs: PackageGraph, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """G1: ``root, parent, node, version, depth, recursive, names`` (the
-    branch's names from the root on)."""
-    tree = graph.dep_tree(pkgs.edges, roots.where(F.col("node").isNotNull()), max_depth=max_depth)
-    return _named(_named_paths(tree, pkgs).drop("path"), pkgs, "node", "root", "parent", "node")
+    branch's names from the root on).  The walk runs on names, one for each
+    package, and takes the versions along."""
+    nodes = pkgs.nodes.select("node", "name", "version")
+    to = nodes.select(F.col("node").alias("dst"), F.col("name").alias("dst_name"), "version")
+    of = nodes.select(F.col("node").alias("src"), F.col("name").alias("src_name"))
+    edges = (pkgs.edges.join(graph.by_key(to), "dst").join(graph.by_key(of), "src")
+             .select(F.col("src_name").alias("src"), F.col("dst_name").alias("dst"), "version"))
+    start = roots.select("node").join(graph.by_key(nodes), "node").select(F.col("name").alias("node"), "version")
+    tree = graph.dep_tree(edges, start, max_depth=max_depth, tag="version")
+    return tree.select("root", "parent", "node", "version", "depth", "recursive", F.col("path").alias("names"))
 
 
 def package_reach(pkgs: PackageGraph, roots: DataFrame, direction: str = "out") -> DataFrame:

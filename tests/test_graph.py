@@ -160,3 +160,60 @@ def test_reachable_by_jumps_needs_few_rounds(spark, monkeypatch):
         assert sorted(r["node"] for r in got.collect()) == sorted(reach)
     none = G.reachable_by_jumps(chain.limit(0), start)
     assert [r["node"] for r in none.collect()] == [7]
+
+
+def _stored(monkeypatch):
+    """Rows that the operators write or checkpoint."""
+    counts = []
+    for name in ("_ckpt", "_written"):
+        if plain := getattr(G, name, None):
+            def keep(df, plain=plain):
+                counts.append((out := plain(df)).count())
+                return out
+            monkeypatch.setattr(G, name, keep)
+    return counts
+
+
+def test_trees_store_edges_not_branches_or_labels(spark, monkeypatch):
+    """Twelve diamonds in a row have 2^12 branches on 48 edges, a chain has
+    one label of each length: what is stored follows the edges."""
+    stored = _stored(monkeypatch)
+    diamonds = [(3 * k + a, 3 * k + b) for k in range(12) for a, b in ((0, 1), (0, 2), (1, 3), (2, 3))]
+    assert G.dep_tree(_edges(spark, diamonds), _nodes(spark, [0])).count() == 1 + sum(2 * 2 ** (k + 1) for k in range(12))
+    assert sum(stored) < 250
+    stored.clear()
+    chain = [(k, k + 1) for k in range(30)]
+    assert G.preorder_tree(_edges(spark, chain), _nodes(spark, [0])).count() == 31
+    assert sum(stored) < 150
+
+
+def test_roots_too_large_for_a_task(spark, monkeypatch):
+    """Roots with more edges (1) or branches (41) than a task takes are walked by joins, with the same rows."""
+    rnd = random.Random(5)
+    pairs = sorted({(a, b) for a, b in ((rnd.randint(1, 6), rnd.randint(1, 6)) for _ in range(14)) if a != b})
+    pairs += [(20, 21)] + [(a, b) for a in (41, 42, 43) for b in (41, 42, 43) if a != b]
+    monkeypatch.setattr(G, "ROOT_EDGES", 7)
+    monkeypatch.setattr(G, "ROOT_BRANCHES", 5)
+    edges, roots = _edges(spark, pairs), _nodes(spark, [1, 20, 41])
+    got = sorted((r.root, r.depth, r.parent, r.node, r.recursive) for r in G.dep_tree(edges, roots).collect())
+    assert got == sorted(x for root in (1, 20, 41) for x in _py_branches(_adj(pairs), root, 10 ** 6))
+    _check_display([(r.root, r.depth, r.parent, r.node, r.repeated) for r in G.preorder_tree(edges, roots).collect()], pairs, [1, 20, 41])
+
+
+def test_no_table_passes_through_the_driver(spark, monkeypatch, capsys):
+    """No join of a round or of the graph's views is a broadcast."""
+    from repolens.plans.graph_plans import _graph, _tree
+    from repolens.sources.tables import Tables
+
+    from .conftest import SF_SMALL
+
+    for name in ("_ckpt", "_written"):
+        if plain := getattr(G, name, None):
+            monkeypatch.setattr(G, name, lambda df, plain=plain: (df.explain(), plain(df))[1])
+    for df in (*_graph(Tables(spark, SF_SMALL))[:2], *_tree(Tables(spark, SF_SMALL))[:2]):
+        df.explain()
+    edges, roots = _edges(spark, [(1, 2), (2, 3), (1, 3)]), _nodes(spark, [1])
+    for walk in (G.reachable, G.reachable_by_jumps, G.dep_tree, G.preorder_tree):
+        walk(edges, roots, roots).explain()
+    plans = capsys.readouterr().out
+    assert "SortMergeJoin" in plans and "Broadcast" not in plans
