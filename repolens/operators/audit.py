@@ -109,7 +109,7 @@ def installed_edges(requires: DataFrame, dists: DataFrame, pkg_col: str = "p_par
     r = requires.select(F.col(pkg_col).alias("pkg"), requirement_name("requirement").alias("req"))
     r = r.where(F.col("req").isNotNull()).select("pkg", normalize_name("req", strip_extras=False).alias("dep"))
     inst = dists.select(normalize_name("name", strip_extras=False).alias("dep")).distinct()
-    return r.join(inst, "dep", "left_semi").select("pkg", "dep").distinct()
+    return r.join(inst.hint("merge"), "dep", "left_semi").select("pkg", "dep").distinct()
 
 
 def used_install_names(external_refs: DataFrame, aliases: dict | None = None) -> DataFrame:

@@ -25,8 +25,8 @@ _G = {
 
 def _graph(t: Tables):
     inst = t.part.select(F.col("p_partkey").alias("node"))
-    edges = V.v_edges(t).join(inst.select(F.col("node").alias("dst")), "dst", "left_semi")
-    roots = inst.join(edges.select(F.col("dst").alias("node")), "node", "left_anti")
+    edges = V.v_edges(t).join(G.by_key(inst.select(F.col("node").alias("dst"))), "dst", "left_semi")
+    roots = inst.join(G.by_key(edges.select(F.col("dst").alias("node"))), "node", "left_anti")
     return edges, roots, inst
 
 
@@ -88,8 +88,8 @@ _TREE = {
 
 def _tree(t: Tables):
     inst = t.part.select(F.col("p_partkey").alias("node"))
-    edges = V.v_tree_edges(t).join(inst.select(F.col("node").alias("dst")), "dst", "left_semi")
-    return edges, inst.join(edges.select(F.col("dst").alias("node")), "node", "left_anti"), inst
+    edges = V.v_tree_edges(t).join(G.by_key(inst.select(F.col("node").alias("dst"))), "dst", "left_semi")
+    return edges, inst.join(G.by_key(edges.select(F.col("dst").alias("node"))), "node", "left_anti"), inst
 
 
 @register("dep_tree", """

@@ -98,11 +98,11 @@ def v_requires(t: Tables) -> DataFrame:
     """Requirement strings per distribution: ``p_partkey, pos, requirement``."""
     a = t.part.select("p_partkey", "p_size")
     b = t.part.select(F.col("p_partkey").alias("b_key"), F.col("p_name").alias("b_name"))
-    r0 = (a.join(b, b.b_key == _half("p_partkey"))
+    r0 = (a.join(b.hint("merge"), b.b_key == _half("p_partkey"))
           .select("p_partkey", F.lit(0).alias("pos"),
                   F.concat(F.regexp_replace("b_name", " ", "_"), F.lit("_"), _s("b_key"),
                            F.lit("[extra]>=1.0")).alias("requirement")))
-    r1 = (a.join(b, b.b_key == F.col("p_size"))
+    r1 = (a.join(b.hint("merge"), b.b_key == F.col("p_size"))
           .select("p_partkey", F.lit(1).alias("pos"),
                   F.concat(F.upper(F.regexp_replace("b_name", " ", "-")), F.lit("-"), _s("b_key"),
                            F.lit(" <2")).alias("requirement")))
@@ -113,7 +113,7 @@ def v_requires(t: Tables) -> DataFrame:
 def v_tree_requires(t: Tables) -> DataFrame:
     """Requirement strings along ``v_tree_edges``: ``p_partkey, pos, requirement``."""
     n = v_dists(t).select(F.col("p_partkey").alias("dst"), "name")
-    e = v_tree_edges(t).join(n, "dst")
+    e = v_tree_edges(t).join(n.hint("merge"), "dst")
     return e.select(F.col("src").alias("p_partkey"), F.col("dst").alias("pos"), F.concat(F.upper("name"), F.lit(">=1.0")).alias("requirement"))
 
 
