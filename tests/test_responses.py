@@ -168,3 +168,124 @@ def test_stream_event_files(spark):
     q.awaitTermination(120)
     rows = spark.read.parquet(base + "/out").collect()
     assert [(r.response.rsplit("/", 1)[-1], r.content, r.complete) for r in rows] == [("a.txt", "abcd", True)]
+
+
+class _State:
+    """One key's value, list or map state in memory; counts the calls."""
+
+    def __init__(self, calls):
+        self.calls, self.value, self.items, self.map = calls, None, [], {}
+
+    def _count(self, name):
+        self.calls.append(name)
+
+    def get(self):
+        self._count("get")
+        return self.value
+
+    def update(self, value):
+        self._count("update")
+        self.value = value
+
+    def appendValue(self, value):
+        self._count("append")
+        self.items.append(value)
+
+    def appendList(self, values):
+        self._count("append")
+        self.items += values
+
+    def getValue(self, key):
+        self._count("get")
+        return self.map.get(key)
+
+    def updateValue(self, key, value):
+        self._count("update")
+        self.map[key] = value
+
+    def iterator(self):
+        self._count("iterator")
+        return iter(list(self.map.items()))
+
+    def clear(self):
+        self._count("clear")
+        self.value, self.items, self.map = None, [], {}
+
+
+class _ListState(_State):
+    def get(self):
+        self._count("get")
+        return iter(list(self.items))
+
+
+class _Handle:
+    def __init__(self):
+        self.calls, self.states = [], []
+
+    def _new(self, kind):
+        self.states.append(kind(self.calls))
+        return self.states[-1]
+
+    def getListState(self, *_):
+        return self._new(_ListState)
+
+    def getMapState(self, *_):
+        return self._new(_State)
+
+    getValueState = getMapState
+
+
+def _assembler():
+    from repolens.streaming.assembly import Assembler
+
+    a, handle = Assembler("response_id", 0, None), _Handle()
+    a.init(handle)
+    return a, handle
+
+
+def _feed(a, lines):
+    from pyspark.sql import Row
+
+    rows = [Row(response_id=7, line_no=n, is_done=text is None, content=text, tool_json=None) for n, text in lines]
+    return list(a.handleInputRows((7,), iter(rows), None))
+
+
+def test_assembler_makes_few_calls_on_the_state():
+    """Each call is a message to the JVM: two for a short response's
+    micro-batch, whatever it brings."""
+    a, handle = _assembler()
+    waves = [(4, None)], [(1, "b"), (3, "d")], [(0, "a"), (2, "c"), (2, "again")]
+    out = []
+    for wave in waves:
+        before = len(handle.calls)
+        out += _feed(a, wave)
+        assert len(handle.calls) - before <= 2, handle.calls[before:]
+    assert [sorted(zip(r["line_nos"], r["contents"])) for r in out] == [[(0, "a"), (1, "b"), (2, "again"), (2, "c"), (3, "d")]]
+    assert out[0]["complete"] and all(not s.value and not s.items and not s.map for s in handle.states)
+    handle.calls.clear()
+    assert _feed(a, [(0, "x"), (1, None)])[0]["contents"] == ["x"] and handle.calls == ["get"]
+
+
+def test_assembler_keeps_long_responses_in_chunks(monkeypatch):
+    """Long chunks are appended and not written again; line numbers go on
+    over several blocks, the marker comes first, between or last."""
+    import random
+
+    from repolens.streaming import assembly
+
+    monkeypatch.setattr(assembly, "CHUNK_LINES", 700)
+    n = 3 * assembly.BLOCK + 5
+    lines = [(i, f"w{i} ") for i in range(n)] + [(n, None)]
+    random.Random(3).shuffle(lines)
+    for at in (0, n // 2, n):
+        order = [x for x in lines if x[1] is not None]
+        order.insert(at, (n, None))
+        a, handle = _assembler()
+        out, sizes = [], []
+        for k in range(0, len(order), 1500):
+            assert not out
+            out += _feed(a, order[k:k + 1500])
+            sizes.append(len(handle.states[0].items))
+        assert sizes[:-1] == sorted(sizes[:-1]) and max(sizes) > 3
+        assert sorted(zip(out[0]["line_nos"], out[0]["contents"])) == sorted(x for x in lines if x[1] is not None)
+        assert all(not s.value and not s.items and not s.map for s in handle.states)
