@@ -79,6 +79,8 @@ def _frequent_tokens(texts: DataFrame) -> np.ndarray:
         for b in batches:
             sets = [shingle_set(s.as_py()) for s in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets) >> np.uint64(2) if sets else [], pa.int64())], names=["t"])
+            del sets
+            W.give_back()
     sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE_ONE_IN)) == 0).distinct()
     often = sample.mapInArrow(tokens, "t long").groupBy("t").count().where(F.col("count") >= FREQUENT)
     often = write_table(often, "jaccard-frequent")
@@ -107,9 +109,11 @@ def _nodes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             behind.append(n - early)
             prefixes.append(t[:max(n - _least_overlap(n) + 1, early)] if n else t)
         offsets = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
-        flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
+        flat = pa.array(np.concatenate(prefixes) if prefixes else np.empty(0, np.int64), pa.int64())
+        del prefixes
+        W.give_back()
         return pa.StructArray.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(behind, pa.int64()),
-                                           pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64()))], fields=list(kind))
+                                           pa.ListArray.from_arrays(offsets, flat)], fields=list(kind))
 
     return docs.select("doc_id", sketch(F.col("text")).alias("s")).select("doc_id", "s.*")
 
@@ -130,7 +134,10 @@ def _shared_tokens(sketch: DataFrame) -> DataFrame:
             k = shared.value
             keep = k[np.minimum(np.searchsorted(k, flat), len(k) - 1)] == flat if len(k) else np.zeros(len(flat), bool)
             before = np.concatenate([[0], np.cumsum(keep)])
-            return pa.ListArray.from_arrays(before[offsets].astype(np.int32), pa.array(flat[keep], pa.int64()))
+            out = pa.ListArray.from_arrays(before[offsets].astype(np.int32), pa.array(flat[keep], pa.int64()))
+            del flat, keep, before
+            W.give_back()
+            return out
 
         rows = sketch.select("node", "n", "behind", F.explode(only_shared(F.col("prefix"))).alias("t"))
     else:
@@ -173,7 +180,7 @@ def _families(rows: DataFrame) -> DataFrame:
 def _linked(a: list[np.ndarray], b: list[np.ndarray] | None) -> list[tuple[int, int]]:
     """Places (i, j) of all linked pairs of a and b, or within a."""
     every = a if b is None else a + b
-    tokens, owner = np.concatenate(every), np.repeat(np.arange(len(every)), [len(x) for x in every])
+    tokens, owner = np.concatenate(every), np.repeat(np.arange(len(every), dtype=np.int32), [len(x) for x in every])
     _, token, times = np.unique(tokens, return_inverse=True, return_counts=True)
     keep = times[token] > 1  # a token of one node only adds to no overlap
     token, owner, size = token[keep], owner[keep], np.array([len(x) for x in every])
@@ -197,7 +204,7 @@ def _linked(a: list[np.ndarray], b: list[np.ndarray] | None) -> list[tuple[int,
     token, owner = token[order], owner[order]
     split = int(np.searchsorted(rows, len(a))) if b is not None else 0
     left, right = (len(rows), len(rows)) if b is None else (split, len(rows) - split)
-    both, step = np.zeros((left, right), np.float32), 8192
+    both, step = np.zeros((left, right), np.float32), 2048
     for at in range(0, int(token[-1]) + 1 if len(token) else 0, step):
         lo, hi = np.searchsorted(token, [at, at + step])
         m = np.zeros((len(rows), min(step, int(token[-1]) + 1 - at)), np.float32)
@@ -264,8 +271,10 @@ def _open(batches, counted: bool = False):
                 docs[side.as_py()].append(doc.as_py())
                 nodes[side.as_py()].append(node.as_py())
                 sizes[side.as_py()].append(size.as_py())
+        W.give_back()
     if key is not None:
         yield edges()
+    W.give_back()
 
 
 def _links(docs: DataFrame, family: DataFrame, classes: DataFrame, counted: bool = False) -> DataFrame:

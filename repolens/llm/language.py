@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, write_table
-from .words import hold
+from .words import give_back, hold
 
 #: Training texts a language (expected number, drawn by hash; the bound on
 #: what is read for training), trigram bins, smoothing counts.
@@ -65,6 +65,7 @@ def _training_counts(batches):
             for bins in _trigrams(text):
                 sums.setdefault(label, np.zeros(BINS, np.int64))
                 sums[label] += np.bincount(bins, minlength=BINS)
+        give_back()
     for label, n in sums.items():
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())],
@@ -93,7 +94,9 @@ def score_column(spark, model: LanguageModel, text: Column) -> Column:
     @F.arrow_udf("array<double>")
     def scores(a: pa.Array) -> pa.Array:
         hold("language")
-        return pa.array([shared.value.score(s.as_py()) for s in a], pa.list_(pa.float64()))
+        out = pa.array([shared.value.score(s.as_py()) for s in a], pa.list_(pa.float64()))
+        give_back()
+        return out
 
     return scores(text)
 

@@ -7,6 +7,7 @@ import ctypes
 import gc
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 _MAX_CACHED = 1 << 17
@@ -28,6 +29,16 @@ class _WordHashes(dict):
 
 _hashes = _WordHashes()
 _holder: list = [None, None]
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system.  Arrow's and C's allocators keep
+    some 50 MB of a worker otherwise, also while it waits between stages, and
+    an executor's JVM and workers share one limit."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def hold(name: str, release=None) -> None:
@@ -38,9 +49,7 @@ def hold(name: str, release=None) -> None:
         if _holder[1] is not None:
             _holder[1]()
             gc.collect()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            give_back()
         _holder[:] = name, release
 
 

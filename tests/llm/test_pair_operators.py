@@ -238,3 +238,37 @@ def test_nearest_query_recall(spark):
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
     want = _brute_nearest(rows, 20, 20)
     assert sum(len(got[q] & set(want[q])) for q in want) >= 0.9 * sum(map(len, want.values()))
+
+
+def test_jaccard_worker_gives_memory_back():
+    """What a batch took does not stay with a worker: in a process of its own,
+    Arrow's freed buffers are gone when a batch of nodes was compared."""
+    import os
+    import subprocess
+    import sys
+
+    code = """
+import re
+import pyarrow as pa
+from repolens.llm import jaccard as J, words as W
+
+def held():
+    with open("/proc/self/smaps_rollup") as f:
+        return int(re.search(r"Anonymous: +([0-9]+)", f.read())[1]) / 1024
+
+texts = [" ".join(f"a{k}b{i}" for i in range(200)) for k in range(20)]
+node = lambda t: J.xxhash.xxh3_64_intdigest(J.shingle_set(t).tobytes()) - (1 << 63)
+n = len(texts)
+cols = [[1] * n, [0] * n, [0] * n, [0] * n, list(range(n)), [node(t) for t in texts], texts, [1] * n]
+batch = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["family", "i", "j", "side", "rep", "node", "text", "size"])
+list(J._open(iter([batch])))
+before = held()
+many = [pa.array(["x" * 100_000]) for _ in range(2_000)]
+assert held() - before > 150
+del many[::2]
+del many
+list(J._open(iter([batch])))
+assert held() - before < 40, held() - before
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
