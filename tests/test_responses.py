@@ -289,3 +289,23 @@ def test_assembler_keeps_long_responses_in_chunks(monkeypatch):
         assert sizes[:-1] == sorted(sizes[:-1]) and max(sizes) > 3
         assert sorted(zip(out[0]["line_nos"], out[0]["contents"])) == sorted(x for x in lines if x[1] is not None)
         assert all(not s.value and not s.items and not s.map for s in handle.states)
+
+
+def test_stream_keeps_responses_beside_a_null_id(spark):
+    """A null id in a batch leaves the other ids what they are."""
+    import uuid
+
+    from repolens.streaming.assembly import assembly_stream, rocksdb_state
+
+    base = spark.sparkContext.getCheckpointDir().rstrip("/") + f"/nullid-{uuid.uuid4().hex}"
+    ids = [None, *range(20)]
+    for wave in ([(i, 1, "data: [DONE]") for i in ids], [(i, 0, _chunk(f"r{i}")) for i in ids]):
+        _lines(spark, wave).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    src = (spark.readStream.schema("response_id bigint, line_no bigint, line string").option("maxFilesPerTrigger", 1)
+           .parquet(f"{base}/in"))
+    with rocksdb_state(spark):
+        q = (assembly_stream(src, timeout_ms=None).writeStream.format("parquet").outputMode("append")
+             .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start(f"{base}/out"))
+    q.awaitTermination(120)
+    rows = spark.read.parquet(f"{base}/out").collect()
+    assert sorted((str(r.response_id), r.content) for r in rows) == sorted((str(i), f"r{i}") for i in ids)
