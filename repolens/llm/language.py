@@ -88,7 +88,9 @@ class LanguageModel:
 
 
 def score_column(spark, model: LanguageModel, text: Column) -> Column:
-    """array<double>: the log-likelihoods of ``LanguageModel.score``."""
+    """array<double>: the log-likelihoods of ``LanguageModel.score``.  Marked as
+    not deterministic, else Spark moves it into filters on the scores, too, and
+    every task scores its texts twice, in two Python workers at a time."""
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("array<double>")
@@ -98,7 +100,7 @@ def score_column(spark, model: LanguageModel, text: Column) -> Column:
         give_back()
         return out
 
-    return scores(text)
+    return scores.asNondeterministic()(text)
 
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", max_training: int = MAX_TRAINING,

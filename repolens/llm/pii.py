@@ -160,14 +160,14 @@ def revealing_terms(docs: DataFrame, text_col: str = "text", discloses: float =
                     min_support: int = MIN_SUPPORT) -> DataFrame:
     """(value, term, docs, support, disclosure) of the terms that disclose a
     protected value, counted over all documents."""
-    spark, texts = docs.sparkSession, docs.select(F.col(text_col).alias("text"))
+    texts = docs.select(F.col(text_col).alias("text"))
     near = (texts.mapInArrow(_contexts, "value string, term string, context long")
             .groupBy("value", "term", "context").agg(F.count(F.lit(1)).alias("n"))
             .groupBy("value", "term").agg(F.sum("n").alias("docs"), F.count(F.lit(1)).alias("support")))
     near = write_table(near.where((F.col("support") >= min_support) | (F.col("term") == "")), "pii-near")
     pairs = near.where(F.col("term") != "")
     if not pairs.limit(1).count():
-        return spark.createDataFrame([], "value string, term string, docs long, support long, disclosure double")
+        return pairs.select("value", "term", "docs", "support", F.lit(None).cast("double").alias("disclosure")).where(F.lit(False))
     values = near.where(F.col("term") == "").select("value", F.col("docs").alias("value_docs"))
     df = (texts.mapInArrow(_frequencies, "term string, docs long").groupBy("term").agg(F.sum("docs").alias("term_docs"))
           .join(pairs.select("term").distinct(), "term"))
@@ -209,29 +209,55 @@ def _present(texts: DataFrame, terms: DataFrame) -> DataFrame:
             .groupBy("h1", "h2").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("here")))
 
 
-def find_spans(docs: DataFrame, terms: DataFrame, text_col: str = "text", max_broadcast: int = BROADCAST_ROWS) -> DataFrame:
-    """``docs`` with ``spans``: base spans and revealing terms, by kind as in
-    KINDS, then start.  Up to ``max_broadcast`` terms (counted) go to every
-    task; a longer list is joined to the texts by their words."""
-    text, listed = F.coalesce(F.col(text_col), F.lit("")), (
+def _with_spans(docs: DataFrame, terms: DataFrame, text_col: str, max_broadcast: int, out: str, kind: str, result) -> DataFrame:
+    """``docs`` with the column ``out``: ``result(texts, spans)``, made in the
+    Python call that finds the spans (a second one would need a second worker
+    beside the first for every task)."""
+    text, listed = F.col(text_col), (
         terms.groupBy("term").agg(F.when(F.max("disclosure") >= REMOVES, "strong").otherwise("term").alias("kind")))
     if is_small(listed, max_broadcast):
         known = docs.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in listed.collect()})
 
-        @F.arrow_udf(SPAN_TYPE)
-        def spans(a: pa.Array) -> pa.Array:
-            return _span_array([_all_spans(s.as_py(), known.value) for s in a])
+        @F.arrow_udf(kind)
+        def judged(a: pa.Array) -> pa.Array:
+            texts = a.to_pylist()
+            return result(texts, [_all_spans(s or "", known.value) for s in texts])
 
-        return docs.withColumn("spans", spans(text))
+        return docs.withColumn(out, judged(text))
 
-    @F.arrow_udf(SPAN_TYPE)
-    def joined_spans(a: pa.Array, here: pa.Array) -> pa.Array:
-        return _span_array([_all_spans(s.as_py(), dict(h.as_py() or ())) for s, h in zip(a, here)])
+    @F.arrow_udf(kind)
+    def joined(a: pa.Array, here: pa.Array) -> pa.Array:
+        texts = a.to_pylist()
+        return result(texts, [_all_spans(s or "", dict(h.as_py() or ())) for s, h in zip(texts, here)])
 
-    keys = [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
-    here = _present(docs.select(*keys, text).distinct(), listed).select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.col("here").alias("__here"))
-    out = docs.join(here, (keys[0] == F.col("__h1")) & (keys[1] == F.col("__h2")), "left")
-    return out.withColumn("spans", joined_spans(text, F.col("__here"))).select(*[c for c in docs.columns if c != "spans"], "spans")
+    whole = F.coalesce(text, F.lit(""))
+    keys = [F.xxhash64(whole).alias("h1"), F.xxhash64(F.lit(1), whole).alias("h2")]
+    here = _present(docs.select(*keys, whole).distinct(), listed).select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.col("here").alias("__here"))
+    found = docs.join(here, (keys[0] == F.col("__h1")) & (keys[1] == F.col("__h2")), "left")
+    return found.withColumn(out, joined(text, F.col("__here"))).select(*[c for c in docs.columns if c != out], out)
+
+
+def find_spans(docs: DataFrame, terms: DataFrame, text_col: str = "text", max_broadcast: int = BROADCAST_ROWS) -> DataFrame:
+    """``docs`` with ``spans``: base spans and revealing terms, by kind as in
+    KINDS, then start.  Up to ``max_broadcast`` terms (counted) go to every
+    task; a longer list is joined to the texts by their words."""
+    return _with_spans(docs, terms, text_col, max_broadcast, "spans", SPAN_TYPE, lambda texts, found: _span_array(found))
+
+
+def _cleaned(texts: list, found: list) -> pa.Array:
+    """Texts without their spans; a null text stays null."""
+    out = []
+    for text, spans in zip(texts, found):
+        if text is None:
+            out.append(None)
+            continue
+        at, parts = 0, []
+        for kind, start, end in sorted(spans, key=lambda x: (x[1], -x[2])):
+            if start >= at:
+                parts += [text[at:start], "" if kind == "strong" else f"[{kind.upper()}]"]
+            at = max(at, end)
+        out.append("".join([*parts, text[at:]]) if at else text)
+    return pa.array(out, pa.string())
 
 
 def span_string(spans: Column) -> Column:
@@ -239,27 +265,12 @@ def span_string(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def sanitise(docs: DataFrame, text_col: str = "text", terms: DataFrame | None = None) -> DataFrame:
+def sanitise(docs: DataFrame, text_col: str = "text", terms: DataFrame | None = None, max_broadcast: int = BROADCAST_ROWS) -> DataFrame:
     """``docs`` with the text sanitised: ``strong`` spans go, all others become
     ``[KIND]``.  Overlapping spans are replaced as one, named by the first.
     All other columns stay as they are, whatever their names."""
     terms = write_table(revealing_terms(docs, text_col), "pii-terms") if terms is None else terms
-
-    @F.arrow_udf("string")
-    def cleaned(a: pa.Array, spans: pa.Array) -> pa.Array:
-        out = []
-        for s, found in zip(a, spans):
-            text, at, parts = s.as_py(), 0, []
-            if text is None:
-                out.append(None)
-                continue
-            for x in sorted(found.as_py() or (), key=lambda x: (x["start"], -x["end"])):
-                if x["start"] >= at:
-                    parts += [text[at:x["start"]], "" if x["kind"] == "strong" else f"[{x['kind'].upper()}]"]
-                at = max(at, x["end"])
-            out.append("".join([*parts, text[at:]]) if at else text)
-        return pa.array(out, pa.string())
-
     # The row travels as one struct, so no column of it can clash.
-    found = find_spans(docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text")), terms).withColumn("text", cleaned(F.col("text"), F.col("spans")))
-    return found.select(*[(F.col("text") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    found = _with_spans(rows, terms, "text", max_broadcast, "clean", "string", _cleaned)
+    return found.select(*[(F.col("clean") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])

@@ -48,3 +48,15 @@ def test_odd_rows_and_extra_columns(spark):
     assert once.groupBy("doc_id").count().where("count > 1").count() == 0
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert P.identify_language(spark, unlabelled, SF_SMALL).count() == len(rows)
+
+
+def test_a_task_needs_one_python_worker_at_a_time(spark, monkeypatch):
+    """Two Python steps of one stage run in two workers for every task, and
+    all stay for the next stages: an executor's memory has no room for them."""
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    steps = lambda df: df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+    written, write = [], P.language.write_table
+    monkeypatch.setattr(P.language, "write_table", lambda df, *a, **k: written.append(steps(df)) or write(df, *a, **k))
+    assert steps(P.identify_language(spark, docs, SF_SMALL)) == 1 and max(written) == 1
+    assert steps(P.remove_personal_data(spark, docs, SF_SMALL)) == 1
+    assert steps(P.encode(spark, docs, SF_SMALL)) == 1

@@ -144,6 +144,16 @@ def test_revealing_terms_become_spans(spark):
     assert pii.sanitise(docs.limit(0)).count() == 0 and pii.revealing_terms(docs.limit(0)).count() == 0
 
 
+def test_sanitise_by_join_equals_broadcast(spark):
+    docs = _pii_docs(spark)
+    terms = pii.revealing_terms(docs).localCheckpoint()
+    by_broadcast, by_join = (sorted(map(repr, pii.sanitise(docs, terms=terms, max_broadcast=n).collect())) for n in (100, 0))
+    assert by_broadcast == by_join and len(by_join) == docs.count()
+    # Spans that overlap go as one, the first names it; a null text stays null.
+    got = pii._cleaned(["ab cd ef", None, "", "abc"], [[("card", 3, 5), ("email", 0, 4)], [], [], [("strong", 1, 2)]])
+    assert got.to_pylist() == ["[EMAIL] ef", None, "", "ac"]
+
+
 def test_copies_alone_make_no_term(spark):
     docs = spark.createDataFrame([(i, "quux frobnicates q@q.org daily") for i in range(50)] + [(99, "other words")], "doc_id long, text string")
     assert pii.revealing_terms(docs).count() == 0
