@@ -9,10 +9,12 @@ lost executor only recomputes the current round.  The driver only reads
 ``isEmpty`` per round to decide termination; all joins are dealt by key
 (``by_key``), so no table passes through it for a broadcast.
 
-The trees (G1, G3) find the edges that each root reaches in such rounds, deal
-them by root and walk one root after another in tasks.  Roots with more edges
-or branches than a task should hold or list are walked level by level with
-joins instead.
+The display tree (G3) finds the edges that each root reaches in such rounds,
+deals them by root and walks one root after another in tasks.  The tree of all
+branches (G1) does so by groups of roots, whose shared edges are found, dealt
+and held once, and lists the branches of a group many at a time, as arrays.
+Roots with more edges or branches than a task should hold or list are walked
+level by level with joins instead.
 """
 
 from __future__ import annotations
@@ -22,18 +24,22 @@ from functools import reduce
 from itertools import chain, groupby, islice
 from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, IntegralType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, IntegralType, StringType, StructField, StructType
 
 from ..functions.names import normalize_name, requirement_name
 from ..session import scratch_folder
 
 #: Edges of one root that a task holds, branches of one root that it lists.
 ROOT_EDGES, ROOT_BRANCHES = 500_000, 1_000_000
-#: Rows of an Arrow batch that a walk returns.
-BATCH = 10_000
+#: Edges of a group of roots that a task holds; roots of a group, and groups that share a mask.
+GROUP_EDGES, GROUP_ROOTS, MASK = 2_000_000, 50_000, 64
+#: Rows of an Arrow batch that a walk returns (up to twice as many in G1), and nodes on their paths.
+BATCH, BATCH_NODES = 10_000, 1_000_000
 
 
 def _ckpt(df: DataFrame) -> DataFrame:
@@ -192,24 +198,142 @@ def _without(reached: DataFrame, large: DataFrame | None) -> DataFrame:
     return reached if large is None else reached.join(by_key(large), "root", "left_anti")
 
 
-def _branches(root, children: dict, max_depth: int | None) -> Iterator[tuple]:
-    """Every branch below ``root``: depth, parent, child (node and what its
-    edge tells of it), path to the parent, whether the child is on that path.
-    ``path`` is one list that goes on changing."""
-    path, on, todo = [root], {root}, [iter(children.get(root, ()))]
-    while todo:
-        child = next(todo[-1], None)
-        if child is None:
-            todo.pop()
-            on.discard(path.pop())
-            continue
-        node = child[0]
-        again = node in on if node is not None else None
-        yield len(path), path[-1], child, path, again
-        if again is False and (max_depth is None or len(path) < max_depth):
-            path.append(node)
-            on.add(node)
-            todo.append(iter(children.get(node, ())))
+def _reached_by_groups(e: DataFrame, starts: DataFrame, max_depth: int | None, compact_every: int = 8) -> DataFrame:
+    """As ``_reached_edges`` for groups of roots: ``group`` and the columns of
+    ``e``.  ``starts (group, node)``; the groups that reach a node are bits of
+    masks (``word, node, mask``), so a round handles a node once for ``MASK`` groups."""
+    known = frontier = _written(starts.groupBy((F.col("group") / MASK).cast("int").alias("word"), "node")
+                                .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(group % {MASK} AS int))")).alias("mask")))
+    rounds, parts = 1, 1
+    while max_depth is None or rounds < max_depth:
+        step = (frontier.join(by_key(e), F.col("node") == F.col("_s")).where(F.col("_d").isNotNull())
+                .groupBy("word", F.col("_d").alias("node")).agg(F.bit_or("mask").alias("mask")))
+        both = known.withColumn("new", F.lit(0).cast("bigint")).unionByName(step.select("word", "node", F.lit(0).cast("bigint").alias("mask"), F.col("mask").alias("new")))
+        frontier = _written(both.groupBy("word", "node").agg(F.bit_or("mask").alias("old"), F.bit_or("new").alias("new"))
+                            .select("word", "node", F.col("new").bitwiseAND(F.bitwise_not("old")).alias("mask")).where("mask <> 0"))
+        if frontier.isEmpty():
+            break
+        known, rounds, parts = known.unionAll(frontier), rounds + 1, parts + 1
+        if parts > compact_every:
+            known, parts = _written(known.groupBy("word", "node").agg(F.bit_or("mask").alias("mask"))), 1
+    # The rounds of a node have no group in common.
+    found = known.join(by_key(e), F.col("node") == F.col("_s"))
+    bits = F.filter(F.sequence(F.lit(0), F.lit(MASK - 1)), lambda bit: F.getbit("mask", bit) == 1)
+    return found.select("word", F.explode(bits).alias("bit"), *e.columns).select((F.col("word") * MASK + F.col("bit")).alias("group"), *e.columns)
+
+
+class _Held:
+    """The edges of a group in arrays, in ``order`` of their sources: nodes are
+    numbered, -1 is null, the children of node ``i`` are
+    ``child[start[i]:start[i] + degree[i]]``."""
+
+    def __init__(self, source: pa.Array, target: pa.Array):
+        coded = pa.concat_arrays([source, target]).dictionary_encode()
+        codes = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)
+        self.nodes, of = coded.dictionary, codes[:len(source)]
+        self.order = np.argsort(of, kind="stable")
+        self.child = codes[len(source):][self.order]
+        self.degree = np.append(np.bincount(of, minlength=len(self.nodes)), 0)  # the last one is that of null
+        self.start = np.cumsum(self.degree) - self.degree
+        text = pa.types.is_string(self.nodes.type) or pa.types.is_binary(self.nodes.type)
+        #: Long names count as several nodes.
+        self.width = 1 + (pc.max(pc.binary_length(self.nodes)).as_py() or 0) // 32 if text else 1
+
+    def codes(self, nodes: pa.Array) -> np.ndarray:
+        """The numbers of those of ``nodes`` that have edges."""
+        return pc.index_in(nodes, self.nodes).drop_null().to_numpy(zero_copy_only=False).astype(np.int32)
+
+    def named(self, codes: np.ndarray, names: pa.Array | None = None) -> pa.Array:
+        """Nodes (or their ``names``) of numbers."""
+        none = codes < 0
+        return (self.nodes if names is None else names).take(pa.array(codes, mask=none if none.any() else None))
+
+    def branches(self, roots: np.ndarray, max_depth: int | None, texts: pa.Array | None = None, sep: str = "", go_on=None) -> Iterator[tuple]:
+        """Every branch below ``roots``, many at a time: their paths to the
+        child (numbers, a column each), whether the child is on the path before,
+        the child's edge, and the path's ``texts`` joined by ``sep``.  Of what
+        is found, ``go_on(roots)`` tells the branches to follow.
+
+        Branches of one depth are followed together, about as many as have
+        ``BATCH`` children; the others wait, so what is held grows with the depth."""
+        todo = [(roots[None, :], None if texts is None else self.named(roots, texts))]
+        while todo:
+            paths, text = todo.pop()
+            length, last = len(paths), paths[-1]
+            degree = self.degree[last]
+            ends = np.cumsum(degree)
+            most = max(1, min(BATCH, BATCH_NODES // self.width // (length + 1)))
+            if len(last) > 1 and ends[-1] > 2 * most:
+                cuts = np.unique(np.searchsorted(ends, np.arange(most, ends[-1], most)))
+                cuts = cuts[(cuts > 0) & (cuts < len(last))]
+                cuts = [0, *(cuts if len(cuts) else [len(last) // 2]), len(last)]
+                todo += [(paths[:, a:b], None if text is None else text.slice(a, b - a)) for a, b in zip(cuts[-2::-1], cuts[:0:-1])]
+                continue
+            parents = np.repeat(np.arange(len(last)), degree)
+            edges = np.arange(len(parents)) + np.repeat(self.start[last] - ends + degree, degree)
+            for at in range(0, len(edges), 2 * most):  # more than one for a path with many children
+                of, edge = parents[at:at + 2 * most], edges[at:at + 2 * most]
+                child = self.child[edge]
+                found = np.append(paths.take(of, axis=1), child[None, :], axis=0)
+                again = (found[:-1] == child).any(axis=0)
+                joined = None if text is None else pc.binary_join_element_wise(text.take(pa.array(of)), self.named(child, texts), sep, null_handling="skip")
+                yield found, again, edge, joined
+                if max_depth is None or length < max_depth:
+                    more = ~again & (self.degree[child] > 0)
+                    if go_on is not None:
+                        more &= go_on(found[0])
+                    more = np.flatnonzero(more)
+                    if len(more):
+                        todo.append((found.take(more, axis=1), None if text is None else joined.take(pa.array(more))))
+
+
+def _many(held: _Held, roots: np.ndarray, max_depth: int | None) -> np.ndarray:
+    """Those of ``roots`` that have more than ``ROOT_BRANCHES`` branches."""
+    counts = np.zeros(len(held.nodes), np.int64)
+    for found, *_ in held.branches(roots, max_depth, go_on=lambda root: counts[root] <= ROOT_BRANCHES):
+        root = found[0]
+        first = np.flatnonzero(np.append(True, root[1:] != root[:-1]))  # a root's branches lie together
+        counts[root[first]] += np.diff(np.append(first, len(root)))
+    return roots[counts[roots] > ROOT_BRANCHES]
+
+
+def _by_groups(edges: DataFrame, roots: DataFrame, groups: int | None, rows_of, schema: StructType) -> DataFrame:
+    """Deals ``edges (group, _s, _d, ..)`` and ``roots (group, node)`` by group
+    and gives the record batches ``rows_of(held, roots, about)`` of each, where
+    ``about`` are the further columns of the edges in their held order.
+    ``groups``: how many, if they are numbered."""
+    both = edges.unionByName(roots.select("group", F.col("node").alias("_s"), F.lit(True).alias("_root")), allowMissingColumns=True)
+    # A task has one numbered group, or groups that follow each other.
+    dealt = both.repartition("group").sortWithinPartitions("group") if groups is None else both.repartitionById(groups, "group")
+
+    def one(batches):
+        t = pa.Table.from_batches(batches).combine_chunks()
+        is_root = t["_root"].is_valid()
+        edges, roots = t.filter(pc.invert(is_root)), t.filter(is_root)
+        column = lambda t, c: pa.concat_arrays(t[c].chunks) if t[c].num_chunks else pa.array([], t.schema.field(c).type)
+        if not edges.num_rows or not roots.num_rows:
+            return
+        held = _Held(column(edges, "_s"), column(edges, "_d"))
+        about = [column(edges, c).take(pa.array(held.order)) for c in edges.column_names if c not in ("group", "_s", "_d", "_root")]
+        starts = held.codes(column(roots, "_s"))
+        del t, edges, roots, is_root
+        yield from rows_of(held, starts, about)
+
+    def run(batches):
+        kept, now = [], None
+        for batch in batches:
+            runs, at = pc.run_end_encode(batch.column("group")), 0
+            for end, group in zip(runs.run_ends.to_pylist(), runs.values.to_pylist()):
+                if kept and group != now:
+                    yield from one(kept)
+                    kept = []
+                now = group
+                kept.append(batch.slice(at, end - at))
+                at = end
+        if kept:
+            yield from one(kept)
+
+    return dealt.mapInArrow(run, schema)
 
 
 def _levels(e: DataFrame, level: DataFrame, max_depth: int | None) -> DataFrame:
@@ -228,51 +352,79 @@ def _levels(e: DataFrame, level: DataFrame, max_depth: int | None) -> DataFrame:
 
 
 def dep_tree(edges: DataFrame, roots: DataFrame, installed: DataFrame | None = None,
-             max_depth: int | None = None, tag: str | None = None) -> DataFrame:
+             max_depth: int | None = None, tag: str | None = None, sep: str | None = None) -> DataFrame:
     """G1: every branch from every root; a child already on its own branch
     becomes a leaf marked ``recursive`` and is not expanded (the guard is
     per branch, so shared nodes expand once per branch).  Output ``root,
     depth, parent, node, path ARRAY, recursive``, and ``tag``: a column of
     ``edges`` about ``dst`` and of ``roots`` about ``node``, if one is named.
+    With ``sep``, ``path`` is text: its nodes joined by ``sep``, as ``array_join`` does.
 
     Every simple branch is walked to its end, so the output is as large as
     the number of branches; ``max_depth`` cuts it where a caller asks for a
     cut.  ``reachable`` (G2) and ``preorder_tree`` (G3) hold the same
     structure in at most one row per root and edge.  The branches are listed
-    while they are read: what is stored grows with the edges that the roots
-    reach, not with the branches."""
+    while they are read: what is stored grows with the edges that groups of
+    roots reach, not with the branches.  Roots of a group that reaches more
+    than ``GROUP_EDGES`` are walked each for itself."""
     extra = [tag] if tag else []
-    e = _ckpt(edges.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), *extra))
+    kind = reduce(DataFrame.unionAll, [edges.select("src"), edges.select("dst"), roots.select("node")]).schema[0].dataType
+    e = _ckpt(edges.select(F.col("src").cast(kind).alias("_s"), F.col("dst").cast(kind).alias("_d"), *extra))
     r = _installed_roots(roots, installed)
     if tag:
         r = r.join(by_key(roots.groupBy("node").agg(F.min(tag).alias(tag))), "node")
-    r = _ckpt(r)
-    kind = r.schema["node"].dataType
+    r = _ckpt(r.withColumn("node", F.col("node").cast(kind)))
     top = r.select(F.col("node").alias("root"), F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent"), "node",
                    F.array("node").alias("path"), F.lit(False).alias("recursive"), *extra)
-    if max_depth is not None and max_depth < 1:
-        return top
-    reached = _reached_edges(e, r, max_depth)
-    # Roots that one task would not hold or list.
-    large = _roots_with_many_edges(e, reached)
 
-    def many(root, children):
-        if next(islice(_branches(root, children, max_depth), ROOT_BRANCHES, None), None):
-            yield (root,)
+    def shown(rows):
+        return rows if sep is None else rows.withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), sep))
 
-    def walk(root, children):
-        for depth, parent, (node, *about), path, again in _branches(root, children, max_depth):
-            yield (root, depth, parent, node, [*path, node], again, *about)
-
-    small = _without(reached, large)
-    more = _ckpt(_in_tasks(small, many, [("root", None, None)]))
+    if max_depth is not None and max_depth < 1:
+        return shown(top)
+    # Numbers and texts are joined in the tasks, other kinds after them.
+    as_text = sep is not None and isinstance(kind, IntegralType | StringType)
+    schema = StructType([StructField("root", kind), StructField("depth", IntegerType()), StructField("parent", kind), StructField("node", kind),
+                         StructField("path", StringType() if as_text else ArrayType(kind)), StructField("recursive", BooleanType()),
+                         *([StructField(tag, e.schema[tag].dataType)] if tag else [])])
+
+    def many(held, starts, about):
+        yield pa.RecordBatch.from_arrays([held.named(_many(held, starts, max_depth))], names=["root"])
+
+    def walk(held, starts, about):
+        texts = held.nodes.cast(pa.string()) if as_text else None
+        for found, again, edge, text in held.branches(starts, max_depth, texts, sep):
+            length, n = found.shape
+            recursive = pa.array(again, mask=found[-1] < 0)  # null of a null child
+            path = text if as_text else pa.ListArray.from_arrays(np.arange(0, n * length + 1, length, dtype=np.int32), held.named(found.T.ravel()))
+            yield pa.RecordBatch.from_arrays(
+                [held.named(found[0]), pa.array(np.full(n, length - 1, np.int32)), held.named(found[-2]), held.named(found[-1]), path, recursive,
+                 *(c.take(pa.array(edge)) for c in about)], names=schema.names)
+
+    n = r.count()
+    groups = min(max(1, n), max(MASK, 2 * e.sparkSession.sparkContext.defaultParallelism, -(-n // GROUP_ROOTS)))
+    starts = r.where(F.col("node").isNotNull()).select(F.pmod(F.xxhash64("node"), F.lit(groups)).cast("int").alias("group"), "node")
+    reached = _written(_reached_by_groups(e, starts, max_depth))
+    dealt, large = [(reached, starts, groups)], None
+    if e.count() > GROUP_EDGES:
+        full = _ckpt(reached.groupBy("group").count().where(F.col("count") > GROUP_EDGES).select("group"))
+        if not full.isEmpty():
+            alone = _ckpt(starts.join(by_key(full), "group", "left_semi").select("node"))
+            of_root = _reached_edges(e, alone, max_depth)
+            large = _roots_with_many_edges(e, of_root)
+            dealt = [(reached.join(by_key(full), "group", "left_anti"), starts.join(by_key(full), "group", "left_anti"), groups),
+                     (_without(of_root, large).withColumnRenamed("root", "group"),
+                      _without(alone.select(F.col("node").alias("root")), large).select(F.col("root").alias("group"), F.col("root").alias("node")), None)]
+    # Roots that one task would not list.
+    more = _ckpt(reduce(DataFrame.unionAll, [_by_groups(edges, nodes, k, many, StructType([StructField("root", kind)])) for edges, nodes, k in dealt]))
     if not more.isEmpty():
-        small, large = _without(small, more), more if large is None else large.union(more)
-    told = [(tag, e.schema[tag].dataType, pa.string())] if tag else []
-    out = top.unionByName(_in_tasks(small, walk, [
-        ("root", None, None), ("depth", IntegerType(), pa.int32()), ("parent", None, None), ("node", None, None), ("path", None, None),
-        ("recursive", BooleanType(), pa.bool_()), *told]))
-    return out if large is None else out.unionByName(_levels(e, _ckpt(top.join(by_key(large), "root", "left_semi")), max_depth))
+        dealt = [(edges, nodes.join(by_key(more), F.col("node") == F.col("root"), "left_anti"), k) for edges, nodes, k in dealt]
+        large = more if large is None else large.union(more)
+    walked = reduce(DataFrame.unionAll, [_by_groups(edges, nodes, k, walk, schema) for edges, nodes, k in dealt])
+    rest = [] if large is None else [_levels(e, _ckpt(top.join(by_key(large), "root", "left_semi")), max_depth)]
+    if as_text:
+        return reduce(DataFrame.unionByName, [shown(top), walked, *map(shown, rest)])
+    return shown(reduce(DataFrame.unionByName, [top, walked, *rest]))
 
 
 def _display(root, children: dict) -> Iterator[tuple]:

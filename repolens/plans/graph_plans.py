@@ -103,9 +103,7 @@ SELECT root, depth, parent, node, array_to_string(path, '>') AS path, recursive
 def q_dep_tree(spark, sf_dir):
     """Every branch to its end."""
     edges, roots, inst = _tree(Tables(spark, sf_dir))
-    tree = G.dep_tree(edges, roots, inst)
-    return tree.select("root", "depth", "parent", "node",
-                       F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "recursive")
+    return G.dep_tree(edges, roots, inst, sep=">")
 
 
 @register("preorder_tree")

@@ -217,3 +217,48 @@ def test_no_table_passes_through_the_driver(spark, monkeypatch, capsys):
         walk(edges, roots, roots).explain()
     plans = capsys.readouterr().out
     assert "SortMergeJoin" in plans and "Broadcast" not in plans
+
+
+def test_dep_tree_stores_edges_shared_by_roots_once_a_group(spark, monkeypatch):
+    """2,000 roots over a chain of 8 reach 18,000 edges: 8 for each of 64 groups and one for each root."""
+    stored = _stored(monkeypatch)
+    pairs = [(k, k + 1) for k in range(8)] + [(r, 0) for r in range(1000, 3000)]
+    assert G.dep_tree(_edges(spark, pairs), _nodes(spark, range(1000, 3000))).count() == 2000 * 10
+    assert sum(stored) < 12_000
+
+
+@pytest.mark.parametrize("limits", [{"BATCH": 3, "BATCH_NODES": 5, "MASK": 2}, {"GROUP_EDGES": 4, "ROOT_EDGES": 11, "ROOT_BRANCHES": 6}])
+def test_branches_in_arrays(spark, monkeypatch, limits):
+    """Branches followed many at a time are those of a plain walk: edges that
+    come twice, null children, loops, a hub, names with versions; paths as arrays or text."""
+    for name, value in limits.items():
+        monkeypatch.setattr(G, name, value)
+    pairs = [(1, 2), (2, 3), (3, 1), (1, 3), (3, 4), (2, 2), (3, None), (None, 4), (5, 4), (1, 2)] + [(30, k) for k in range(31, 40)] + [(31, 30), (32, 1)]
+    roots = [1, 3, 5, 30, 77, None]
+    want = []
+
+    def walk(path):
+        for s, d in pairs:
+            if s == path[-1] and s is not None:
+                again = None if d is None else d in path
+                want.append((path[0], len(path), s, d, (*path, d), again))
+                if again is False:
+                    walk((*path, d))
+    for root in roots:
+        want.append((root, 0, None, root, (root,), False))
+        walk((root,))
+    name = lambda k: None if k is None else f"n{k}"
+    text = lambda path: ">".join(str(k) for k in path if k is not None)
+    order = lambda rows: sorted(rows, key=str)
+    edges, starts = _edges(spark, pairs), _nodes(spark, roots)
+    rows = G.dep_tree(edges, starts).collect()
+    assert order((r.root, r.depth, r.parent, r.node, tuple(r.path), r.recursive) for r in rows) == order(want)
+    if "ROOT_EDGES" in limits:
+        return
+    rows = G.dep_tree(edges, starts, sep=">", max_depth=3).collect()
+    assert order((r.root, r.depth, r.parent, r.node, r.path, r.recursive) for r in rows) == order((*w[:4], text(w[4]), w[5]) for w in want if w[1] <= 3)
+    named = spark.createDataFrame([(name(s), name(d), f"v{d}") for s, d in pairs], "src string, dst string, version string")
+    tops = spark.createDataFrame([(name(k), f"v{k}") for k in roots if k], "node string, version string")
+    rows = G.dep_tree(named, tops, tag="version").collect()
+    assert order((r.root, r.depth, r.parent, r.node, tuple(r.path), r.recursive, r.version) for r in rows) == order(
+        (name(w[0]), w[1], name(w[2]), name(w[3]), tuple(map(name, w[4])), w[5], f"v{w[3]}") for w in want if w[0])
